@@ -66,7 +66,7 @@ from pairwright.plans.recipes import (
     RECIPES,
     TRAINVAL,
     Recipe,
-    prompt_leaks,
+    recipe_leaks,
     recipe_samples,
 )
 from pairwright.schemas import LABEL_COLUMNS, PROBABILITY_COLUMNS
@@ -85,7 +85,7 @@ EVAL_BATCH_SIZE = 50
 EVAL_SHARDS = 4
 LOSS_WINDOW = 20
 LOSS_EVERY = 10
-SCORER_COUNT = 3
+SCORERS = ("s0", "s1", "s2")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -265,7 +265,8 @@ def shuffle_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _measured(spark: SparkSession, sf_dir: str, templates: list[Template], swap: bool) -> DataFrame:
     pairs = views.judged_pairs(spark, sf_dir).withColumnRenamed("id", "row_id")
-    return with_sample_lengths(pairs, templates, swap, MAX_LENGTH)
+    # A few numbers per pair, written before the ranking reads them twice.
+    return stage(with_sample_lengths(pairs, templates, swap, MAX_LENGTH), "measured")
 
 
 def _training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,13 +336,13 @@ def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     scorers = F.array(
         *[
             F.struct(
-                F.lit(f"s{s}").alias("scorer"),
+                F.lit(scorer).alias("scorer"),
                 *[
                     F.col("embedding")[3 * s + c].cast("double").alias(name)
                     for c, name in enumerate(LOGIT_COLUMNS)
                 ],
             )
-            for s in range(SCORER_COUNT)
+            for s, scorer in enumerate(SCORERS)
         ]
     )
     return views.table(spark, sf_dir, "embeddings").select(
@@ -362,7 +363,7 @@ def softmax_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = ensemble_mean(softmax_probs(_logits(spark, sf_dir)), SCORER_COUNT)
+    means = ensemble_mean(softmax_probs(_logits(spark, sf_dir)), SCORERS)
     return means.select("row_id", *[rounded(name) for name in PROBABILITY_COLUMNS])
 
 
@@ -385,7 +386,7 @@ def soft_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attach_soft_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     logits = _logits(spark, sf_dir)
-    means = ensemble_mean(softmax_probs(logits), SCORER_COUNT)
+    means = ensemble_mean(softmax_probs(logits), SCORERS)
     pairs = views.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("row_id"),
         F.pmod("label", F.lit(3)).alias("true_class"),
@@ -459,16 +460,11 @@ STAGE3 = ("stage3/m0", "stage3/m0val", "stage3/m3", "stage3/m3val")
 
 def recipe_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts both trained on and validated on, for the two kinds of last-stage recipe."""
-    folded = views.folded_plan(spark, sf_dir)
-    found = []
-    for name in ("stage3/m0", "stage3/m0val"):
-        recipe = RECIPES[name]
-        train, valid = (
-            folded.where(F.expr(source.predicate)) if source.predicate else folded
-            for source in (recipe.train[0], recipe.valid[0])
-        )
-        leaks = prompt_leaks(train, valid)
-        found.append(leaks.withColumn("recipe", F.lit(name)))
+    tables = views.recipe_tables(spark, sf_dir, TRAINVAL, EXTRA)
+    found = [
+        recipe_leaks(RECIPES[name], tables).withColumn("recipe", F.lit(name))
+        for name in ("stage3/m0", "stage3/m0val")
+    ]
     return reduce(DataFrame.unionByName, found).select(
         "recipe", key_text(F.col("prompt_key")).alias("prompt_key"), "n_train", "n_valid"
     )
@@ -498,7 +494,7 @@ def io_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
             corpus.select(
                 F.lit(f"corpus-{kind}").alias("route"),
                 F.col("row_id").alias("id"),
-                F.lit(None).cast("int").alias("fold"),
+                F.lit(-1).alias("fold"),
                 F.to_json(F.transform("chosen", lambda turn: turn["content"])).alias("prompt"),
                 F.to_json(F.transform("rejected", lambda turn: turn["content"])).alias(
                     "response_a"
@@ -513,10 +509,10 @@ def io_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_preds(spark, path).select(
             F.lit("preds").alias("route"),
             F.col("row_id").alias("id"),
-            F.lit(None).cast("int").alias("fold"),
+            F.lit(-1).alias("fold"),
             F.col("scorer").alias("prompt"),
-            F.lit(None).cast("string").alias("response_a"),
-            F.lit(None).cast("string").alias("response_b"),
+            F.lit("").alias("response_a"),
+            F.lit("").alias("response_b"),
             *[
                 F.round(F.col(name), 6).alias(label)
                 for name, label in zip(PROBABILITY_COLUMNS, LABEL_COLUMNS)

@@ -7,6 +7,8 @@ engines differ on what else it takes in. Sub-word tokenizers come in through
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +22,23 @@ def token_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def truncate_tokens(text: Column, limit: int) -> Column:
     """The text up to its `limit`-th token; a text within the limit comes back as it is."""
-    words = F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0))
-    kept = F.array_join(F.slice(words, 1, limit), "")
-    # A text of n tokens holds at least 2n - 1 characters, so short ones skip the regex.
-    return F.when((F.length(text) < 2 * limit) | (F.size(words) <= limit), text).otherwise(kept)
+
+    def cut(whole: Column) -> Column:
+        words = F.regexp_extract_all(whole, F.lit(SPACED_WORD), F.lit(0))
+        kept = bind(
+            words,
+            lambda found: F.when(F.size(found) <= limit, whole).otherwise(
+                F.array_join(F.slice(found, 1, limit), "")
+            ),
+        )
+        # n tokens take at least 2n - 1 characters, so short texts skip the regex.
+        return F.when(F.length(whole) < 2 * limit, whole).otherwise(kept)
+
+    return bind(text, cut)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +21,26 @@ def softmax_probs(logits: DataFrame) -> DataFrame:
     return logits.withColumns(dict(zip(PROBABILITY_COLUMNS, probabilities))).drop(*LOGIT_COLUMNS)
 
 
-def ensemble_mean(predictions: DataFrame, n_scorers: int) -> DataFrame:
-    """Mean over scorers per row and class.
+def ensemble_mean(predictions: DataFrame, scorers: Sequence[str]) -> DataFrame:
+    """Mean over the named scorers per row and class.
 
-    Ends the job when a row lacks a scorer, or has one twice: a mean over the
-    wrong members looks like any other mean.
+    Ends the job when a row lacks one of them, has one twice, or has a stranger:
+    a mean over the wrong members looks like any other mean.
     """
     stop = F.raise_error(
-        F.concat(F.lit("row without all its scorers: "), F.col("row_id").cast("string"))
+        F.concat(F.lit("row without just its scorers: "), F.col("row_id").cast("string"))
     ).cast("double")
-    complete = F.col("_n") == n_scorers
+    once = [f"_has_{number}" for number in range(len(scorers))]
     means = predictions.groupBy("row_id").agg(
-        # Rows and distinct scorers agree only if every scorer came once. The
-        # number of scorers of a row is small, so its set is too.
-        F.when(F.size(F.collect_set("scorer")) == F.count("*"), F.count("*")).alias("_n"),
+        F.count("*").alias("_n"),
+        *[F.count_if(F.col("scorer") == s).alias(name) for s, name in zip(scorers, once)],
         *[F.avg(name).alias(name) for name in PROBABILITY_COLUMNS],
     )
+    complete = reduce(and_, [F.col(name) == 1 for name in once], F.col("_n") == len(scorers))
     checked: dict[str, Column] = {
         name: F.when(complete, F.col(name)).otherwise(stop) for name in PROBABILITY_COLUMNS
     }
-    return means.withColumns(checked).drop("_n")
+    return means.withColumns(checked).drop("_n", *once)
 
 
 def attach_predictions(pairs: DataFrame, means: DataFrame) -> DataFrame:

@@ -77,8 +77,11 @@ def fit_preference(pairs: DataFrame, settings: FitSettings = FitSettings()) -> P
             regParam=settings.penalty,
         )
     )
-    rows = weighted_classes(pairs.select("response_a", "response_b", *LABEL_COLUMNS))
-    return Pipeline(stages=stages).fit(_with_words(rows))
+    # Words first: a soft-labelled row is split into classes after its texts are.
+    worded = _with_words(pairs.select("response_a", "response_b", *LABEL_COLUMNS))
+    return Pipeline(stages=stages).fit(
+        weighted_classes(worded.drop("response_a", "response_b"))
+    )
 
 
 def predict_preference(

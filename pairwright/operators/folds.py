@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import label_index
@@ -13,37 +13,139 @@ from pairwright.operators.ranks import rank_within
 STRATUM = ("n_a", "n_b", "n_tie")
 
 
-def group_folds(pairs: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
-    """(prompt_key, n_a, n_b, n_tie, fold), one row per prompt.
-
-    Prompts with the same class counts form a stratum and are dealt out to the
-    folds in turn, in seeded order, so each stratum is even to one prompt. The
-    strata start at different folds, or the rare ones would all fill fold 0.
-    """
+def prompt_groups(pairs: DataFrame) -> DataFrame:
+    """(prompt_key, n_a, n_b, n_tie, n_rows): the class counts of each prompt."""
     label = label_index()
-    groups = pairs.groupBy("prompt_key").agg(
-        *[F.count_if(label == position).alias(name) for position, name in enumerate(STRATUM)]
+    return pairs.groupBy("prompt_key").agg(
+        *[F.count_if(label == position).alias(name) for position, name in enumerate(STRATUM)],
+        F.count("*").alias("n_rows"),
     )
+
+
+def _in_dealing_order(groups: DataFrame, seed: int) -> DataFrame:
+    """`_turn`: 0-based place among all prompts, big ones first, like by like.
+
+    Prompts with the same class counts form a stratum and are ranked inside it
+    by many tasks; only the list of strata is put in order by one.
+    """
     hashed = groups.withColumn("_hash", seeded_hash(seed, key_text(F.col("prompt_key"))))
-    dealt = rank_within(
+    ranked = rank_within(
         hashed,
         keys=list(STRATUM),
         order=["_hash", "prompt_key"],
         bucket=F.substring("_hash", 1, 3),
-        rank="_turn",
+        rank="_rank",
         size="_size",
     )
-    start = F.col("n_a") * 7 + F.col("n_b") * 3 + F.col("n_tie")
-    fold = F.pmod(F.col("_turn") - 1 + start, F.lit(k)).cast("int")
-    return dealt.select("prompt_key", *STRATUM, fold.alias("fold"))
+    # Distinct class counts: a list of S of them takes more than S rows of its
+    # own to come about, and real ones number a few hundred.
+    strata = groups.groupBy(*STRATUM, "n_rows").agg(F.count("*").alias("_n"))
+    before = (
+        Window.partitionBy(F.lit(0))
+        .orderBy(F.desc("n_rows"), F.desc("n_a"), F.desc("n_b"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = strata.select(
+        *STRATUM, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    return (
+        ranked.join(starts, list(STRATUM))
+        .withColumn("_turn", F.col("_start") + F.col("_rank") - 1)
+        .drop("_hash", "_start")
+    )
+
+
+def _there_and_back(turn: Column, k: int) -> Column:
+    """0 … k-1, k-1 … 0, 0 …: who gets the bigger of a round gets the smaller of the next."""
+    place = F.pmod(turn, F.lit(k))
+    odd_round = F.pmod(F.floor(turn / k), F.lit(2)) == 1
+    return F.when(odd_round, k - 1 - place).otherwise(place).cast("int")
+
+
+def _single_limits(dealt: DataFrame, k: int) -> DataFrame:
+    """Per class of one-row prompts, the ranks at which the next fold begins.
+
+    Prompts of several rows fall out unevenly; one may hold a third of all
+    rows. One-row prompts make up for it: each fold gets them in the measure
+    it is behind its even share of their class.
+    """
+    several = F.col("n_rows") > 1
+    held = dealt.groupBy("fold").agg(
+        *[F.sum(name).alias(f"all_{name}") for name in STRATUM],
+        *[F.sum(F.when(several, F.col(name)).otherwise(0)).alias(name) for name in STRATUM],
+    )
+    # At most k rows become one, and that one becomes three: a row per class.
+    by_fold = F.collect_list(F.struct("fold", *STRATUM))
+    whole = held.agg(
+        by_fold.alias("_held"),
+        *[F.sum(f"all_{name}").alias(f"all_{name}") for name in STRATUM],
+        *[F.sum(F.col(f"all_{name}") - F.col(name)).alias(f"one_{name}") for name in STRATUM],
+    )
+    folds = F.sequence(F.lit(0), F.lit(k - 1))
+
+    def limits(name: str) -> Column:
+        total, singles = F.col(f"all_{name}"), F.col(f"one_{name}")
+
+        def behind(fold: Column) -> Column:
+            own = F.get(F.filter("_held", lambda one: one["fold"] == fold), F.lit(0))
+            return F.greatest(total - F.coalesce(own[name], F.lit(0)) * k, F.lit(0))
+
+        gaps = F.transform(folds, behind)
+        running = F.transform(
+            folds,
+            lambda fold: F.aggregate(
+                F.slice(gaps, 1, fold + 1), F.lit(0).cast("long"), lambda x, y: x + y
+            ),
+        )
+        share = F.transform(
+            running, lambda one: F.floor(singles * (one / F.element_at(running, -1)))
+        )
+        even = F.transform(folds, lambda fold: F.floor(singles * ((fold + 1) / k)))
+        return F.slice(F.when(F.element_at(running, -1) > 0, share).otherwise(even), 1, k - 1)
+
+    classes = [
+        F.struct(
+            *[F.lit(int(one == name)).cast("long").alias(one) for one in STRATUM],
+            limits(name).alias("_limits"),
+        )
+        for name in STRATUM
+    ]
+    return whole.select(F.inline(F.array(*classes)))
+
+
+def group_folds(pairs: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
+    """(prompt_key, n_a, n_b, n_tie, fold), one row per prompt.
+
+    All prompts are dealt out to the folds there and back, biggest first and
+    like by like, so that sizes and classes come out close; then the one-row
+    prompts are shared out again to close what gaps remain.
+    """
+    dealt = _in_dealing_order(prompt_groups(pairs), seed).withColumn(
+        "fold", _there_and_back(F.col("_turn"), k)
+    )
+    # Three rows, whatever the data.
+    limits = F.broadcast(_single_limits(dealt, k))
+    passed = F.size(F.filter("_limits", lambda limit: limit < F.col("_rank")))
+    fold = F.when(F.col("_limits").isNull(), F.col("fold")).otherwise(passed)
+    return dealt.join(limits, list(STRATUM), "left").select(
+        "prompt_key", *STRATUM, "n_rows", fold.cast("int").alias("fold")
+    )
 
 
 def assign_folds(
     pairs: DataFrame, k: int = 5, seed: int = 0, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Pairs with their fold."""
-    folds = group_folds(pairs, k, seed).select("prompt_key", "fold")
-    return salted_join(pairs, folds, "prompt_key", "inner", ["id"], hot_rows=hot_rows)
+    groups = group_folds(pairs, k, seed)
+    return salted_join(
+        pairs,
+        groups.select("prompt_key", "fold"),
+        "prompt_key",
+        "inner",
+        ["id"],
+        hot_rows=hot_rows,
+        counts=prompt_groups(pairs).select("prompt_key", "n_rows"),
+    )
 
 
 def fold_sizes(pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.turns import key_text, seeded_hash, turns_key
@@ -137,36 +137,38 @@ def fetch_texts(plan: DataFrame, rows: DataFrame) -> DataFrame:
     """Add prompt, response_a and response_b to a pair plan.
 
     One pass over `rows`: both sides are looked up together and folded back by
-    pair. A candidate row belongs to one pair at most, so no key is hot.
+    pair, side A bringing the plan's columns along. A candidate row belongs to
+    one pair at most, so no key is hot.
     """
-    sides = plan.select(
+    at_a = F.col("side") == "a"
+    sides = plan.withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b")))).select(
         "id",
-        F.explode(
-            F.array(
-                F.struct(F.lit("a").alias("side"), F.col("row_a").alias("row_id")),
-                F.struct(F.lit("b").alias("side"), F.col("row_b").alias("row_id")),
-            )
-        ).alias("_side"),
-    ).select("id", "_side.*")
+        "side",
+        F.when(at_a, F.col("row_a")).otherwise(F.col("row_b")).alias("row_id"),
+        F.when(at_a, F.struct(*plan.columns)).alias("_plan"),
+    )
     found = sides.join(rows.select("row_id", "prompt", "response"), "row_id")
 
-    def of(side: str, column: str):
+    def of(side: str, column: str) -> Column:
         return F.any_value(F.when(F.col("side") == side, F.col(column)), F.lit(True))
 
     texts = found.groupBy("id").agg(
+        F.any_value("_plan", F.lit(True)).alias("_plan"),
         of("a", "prompt").alias("prompt"),
         of("b", "prompt").alias("_prompt_b"),
         of("a", "response").alias("response_a"),
         of("b", "response").alias("response_b"),
     )
-    # Equal keys must mean equal prompts; turn counts must agree.
-    sound = (F.col("prompt") == F.col("_prompt_b")) & (
-        F.size("response_a") == F.size("response_b")
-    ) & (F.size("prompt") == F.size("response_a"))
+    # Equal keys must mean equal prompts, and both answers a turn per prompt turn.
+    sound = (
+        (F.col("prompt") == F.col("_prompt_b"))
+        & (F.size("prompt") == F.size("response_a"))
+        & (F.size("prompt") == F.size("response_b"))
+    )
     prompt = F.when(sound, F.col("prompt")).otherwise(
         F.raise_error(F.lit("the two rows of a pair do not belong together"))
     )
-    return plan.join(texts.withColumn("prompt", prompt).drop("_prompt_b"), "id")
+    return texts.select("_plan.*", prompt.alias("prompt"), "response_a", "response_b")
 
 
 def mine_pairs(rows: DataFrame, seed: int = 42, carry: Sequence[str] = ()) -> DataFrame:

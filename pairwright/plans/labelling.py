@@ -25,7 +25,7 @@ def pseudo_label(
     pairs: DataFrame, scorers: Mapping[str, Scorer], inputs: Sequence[str]
 ) -> DataFrame:
     """`pairs` with the scorers' mean probabilities as labels."""
-    means = ensemble_mean(score_all(pairs, scorers, inputs), len(scorers))
+    means = ensemble_mean(score_all(pairs, scorers, inputs), list(scorers))
     return attach_predictions(pairs, means)
 
 

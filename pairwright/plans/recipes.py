@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.templates import JOINT, SPLIT, Template
+from pairwright.functions.turns import turns_key
 from pairwright.operators.augment import flatten_samples, sample_texts, with_sample_lengths
 from pairwright.operators.ensemble import concat_sources
 from pairwright.operators.folds import filter_rows
 from pairwright.operators.packing import ordered_batches, plan_batches, seeded_batches
 from pairwright.sources.corpora import CORPUS_NAMES
+from pairwright.staging import stage
 
 # Table names a recipe may ask for.
 TRAINVAL = "trainval"  # labelled pairs with a fold
@@ -127,7 +129,11 @@ def recipe_batches(
     seed: int = 0,
     shards: int = SHARDS,
 ) -> DataFrame:
-    """Micro-batch plan of one side, without texts."""
+    """Micro-batch plan of one side, without texts.
+
+    The lengths are staged: a few numbers per row that the ranking reads twice,
+    where a second run over the texts would cost far more.
+    """
     training = side == "train"
     measured = with_sample_lengths(
         recipe_rows(recipe, side, tables),
@@ -137,6 +143,7 @@ def recipe_batches(
         system_role=recipe.member.system_role,
         keep=("source_no", "row_id"),
     )
+    measured = stage(measured, "measured")
     if training:
         batched = seeded_batches(measured, recipe.member.batch_size, seed)
     else:
@@ -162,3 +169,12 @@ def prompt_leaks(train: DataFrame, valid: DataFrame) -> DataFrame:
         .agg(F.sum("_train").alias("n_train"), F.sum("_valid").alias("n_valid"))
         .where((F.col("n_train") > 0) & (F.col("n_valid") > 0))
     )
+
+
+def recipe_leaks(recipe: Recipe, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Prompts a recipe both trains on and validates on."""
+    train, valid = (
+        recipe_rows(recipe, side, tables).select(turns_key(F.col("prompt")).alias("prompt_key"))
+        for side in ("train", "valid")
+    )
+    return prompt_leaks(train, valid)
