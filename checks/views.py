@@ -100,7 +100,7 @@ def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folded_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_folds(judged_plan(spark, sf_dir), FOLDS, FOLD_SEED)
+    return assign_folds(stage(judged_plan(spark, sf_dir), "plan"), FOLDS, FOLD_SEED)
 
 
 def known_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import reduce
+from itertools import accumulate
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import label_index
 from pairwright.functions.turns import key_text, seeded_hash
-from pairwright.operators.joins import HOT_ROWS, salted_join
+from pairwright.operators.joins import salted_join
 from pairwright.operators.ranks import rank_within
+from pairwright.operators.skew import HOT_ROWS
+from pairwright.staging import stage
 
 STRATUM = ("n_a", "n_b", "n_tie")
 
+# Steps of the golden ratio spread evenly over an interval, wherever they begin.
+GOLDEN = 0.6180339887498949
+# A prompt is big if it holds more than one part in BIG_SHARE of a fold.
+BIG_SHARE = 10
+
 
 def prompt_groups(pairs: DataFrame) -> DataFrame:
     """(prompt_key, n_a, n_b, n_tie, n_rows): the class counts of each prompt."""
@@ -22,7 +35,7 @@ def prompt_groups(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _in_dealing_order(groups: DataFrame, seed: int) -> DataFrame:
+def _in_dealing_order(groups: DataFrame, seed: int, hot_rows: int) -> DataFrame:
     """`_turn`: 0-based place among all prompts, big ones first, like by like.
 
     Prompts with the same class counts form a stratum and are ranked inside it
@@ -33,9 +46,10 @@ def _in_dealing_order(groups: DataFrame, seed: int) -> DataFrame:
         hashed,
         keys=list(STRATUM),
         order=["_hash", "prompt_key"],
-        bucket=F.substring("_hash", 1, 3),
+        bucket=F.substring("_hash", 1, 2),
         rank="_rank",
         size="_size",
+        hot_rows=hot_rows,
     )
     # Distinct class counts: a list of S of them takes more than S rows of its
     # own to come about, and real ones number a few hundred.
@@ -55,96 +69,90 @@ def _in_dealing_order(groups: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def _there_and_back(turn: Column, k: int) -> Column:
-    """0 … k-1, k-1 … 0, 0 …: who gets the bigger of a round gets the smaller of the next."""
-    place = F.pmod(turn, F.lit(k))
-    odd_round = F.pmod(F.floor(turn / k), F.lit(2)) == 1
-    return F.when(odd_round, k - 1 - place).otherwise(place).cast("int")
+def _place(turn: Column) -> Column:
+    """A number in [0, 1) per turn; any run of turns fills the interval evenly."""
+    steps = turn * GOLDEN
+    return steps - F.floor(steps)
 
 
-def _single_limits(dealt: DataFrame, k: int) -> DataFrame:
-    """Per class of one-row prompts, the ranks at which the next fold begins.
+def _shares(gaps: Sequence[int]) -> list[float]:
+    """Running shares of the gaps, without the last, which is 1."""
+    total = sum(gaps)
+    if total == 0:
+        return [(fold + 1) / len(gaps) for fold in range(len(gaps) - 1)]
+    return [running / total for running in list(accumulate(gaps))[:-1]]
 
-    Prompts of several rows fall out unevenly; one may hold a third of all
-    rows. One-row prompts make up for it: each fold gets them in the measure
-    it is behind its even share of their class.
-    """
-    several = F.col("n_rows") > 1
-    held = dealt.groupBy("fold").agg(
-        *[F.sum(name).alias(f"all_{name}") for name in STRATUM],
-        *[F.sum(F.when(several, F.col(name)).otherwise(0)).alias(name) for name in STRATUM],
-    )
-    # At most k rows become one, and that one becomes three: a row per class.
-    by_fold = F.collect_list(F.struct("fold", *STRATUM))
-    whole = held.agg(
-        by_fold.alias("_held"),
-        *[F.sum(f"all_{name}").alias(f"all_{name}") for name in STRATUM],
-        *[F.sum(F.col(f"all_{name}") - F.col(name)).alias(f"one_{name}") for name in STRATUM],
-    )
-    folds = F.sequence(F.lit(0), F.lit(k - 1))
-
-    def limits(name: str) -> Column:
-        total, singles = F.col(f"all_{name}"), F.col(f"one_{name}")
-
-        def behind(fold: Column) -> Column:
-            own = F.get(F.filter("_held", lambda one: one["fold"] == fold), F.lit(0))
-            return F.greatest(total - F.coalesce(own[name], F.lit(0)) * k, F.lit(0))
-
-        gaps = F.transform(folds, behind)
-        running = F.transform(
-            folds,
-            lambda fold: F.aggregate(
-                F.slice(gaps, 1, fold + 1), F.lit(0).cast("long"), lambda x, y: x + y
-            ),
-        )
-        share = F.transform(
-            running, lambda one: F.floor(singles * (one / F.element_at(running, -1)))
-        )
-        even = F.transform(folds, lambda fold: F.floor(singles * ((fold + 1) / k)))
-        return F.slice(F.when(F.element_at(running, -1) > 0, share).otherwise(even), 1, k - 1)
-
-    classes = [
-        F.struct(
-            *[F.lit(int(one == name)).cast("long").alias(one) for one in STRATUM],
-            limits(name).alias("_limits"),
-        )
-        for name in STRATUM
+
+def _passed(value: Column, limits: Sequence[float], strictly: bool) -> Column:
+    """How many of the ascending `limits` the value has reached (or passed)."""
+    reached = [(value > one if strictly else value >= one).cast("int") for one in limits]
+    return reduce(add, reached, F.lit(0))
+
+
+def _loads(dealt: DataFrame, k: int) -> list[dict[str, int]]:
+    """Class counts per fold: k rows of three numbers, all that the driver sees."""
+    sums = dealt.groupBy("fold").agg(*[F.sum(name).alias(name) for name in STRATUM])
+    found = {row["fold"]: row for row in sums.collect()}
+    return [
+        {name: found[fold][name] if fold in found else 0 for name in STRATUM}
+        for fold in range(k)
     ]
-    return whole.select(F.inline(F.array(*classes)))
 
 
-def group_folds(pairs: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
-    """(prompt_key, n_a, n_b, n_tie, fold), one row per prompt.
+def group_folds(
+    groups: DataFrame, k: int = 5, seed: int = 0, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """(prompt_key, n_a, n_b, n_tie, n_rows, fold) from `prompt_groups`, one row per prompt.
 
-    All prompts are dealt out to the folds there and back, biggest first and
-    like by like, so that sizes and classes come out close; then the one-row
-    prompts are shared out again to close what gaps remain.
+    In three rounds, each making up for the one before. The few prompts with a
+    large share of the rows are dealt to the folds evenly; the other prompts of
+    several rows in the measure each fold is behind its even share; the one-row
+    prompts in the measure it is behind its share of their class.
     """
-    dealt = _in_dealing_order(prompt_groups(pairs), seed).withColumn(
-        "fold", _there_and_back(F.col("_turn"), k)
-    )
-    # Three rows, whatever the data.
-    limits = F.broadcast(_single_limits(dealt, k))
-    passed = F.size(F.filter("_limits", lambda limit: limit < F.col("_rank")))
-    fold = F.when(F.col("_limits").isNull(), F.col("fold")).otherwise(passed)
-    return dealt.join(limits, list(STRATUM), "left").select(
-        "prompt_key", *STRATUM, "n_rows", fold.cast("int").alias("fold")
-    )
+    ordered = stage(_in_dealing_order(groups, seed, hot_rows), "dealing-order")
+    sums = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in STRATUM]
+    singles = [
+        F.count_if((F.col("n_rows") == 1) & (F.col(name) == 1)).alias(f"single_{name}")
+        for name in STRATUM
+    ]
+    whole = ordered.agg(*sums, *singles).first()
+    total = sum(whole[name] for name in STRATUM)
+    place = _place(F.col("_turn"))
+
+    even = _passed(place, _shares([1] * k), strictly=False)
+    big = F.col("n_rows") * (BIG_SHARE * k) > total
+    held = _loads(ordered.where(big).withColumn("fold", even), k)
+    gaps = [max(0, total - k * sum(one.values())) for one in held]
+    several = F.when(big, even).otherwise(_passed(place, _shares(gaps), strictly=False))
+
+    held = _loads(ordered.where("n_rows > 1").withColumn("fold", several), k)
+    single = F.lit(0)
+    for name in STRATUM:
+        shares = _shares([max(0, whole[name] - k * one[name]) for one in held])
+        limits = [math.floor(whole[f"single_{name}"] * share) for share in shares]
+        ranked = _passed(F.col("_rank"), limits, strictly=True)
+        single = F.when(F.col(name) == 1, ranked).otherwise(single)
+    fold = F.when(F.col("n_rows") > 1, several).otherwise(single)
+    return ordered.select("prompt_key", *STRATUM, "n_rows", fold.cast("int").alias("fold"))
 
 
 def assign_folds(
     pairs: DataFrame, k: int = 5, seed: int = 0, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Pairs with their fold."""
-    groups = group_folds(pairs, k, seed)
+    """Pairs with their fold.
+
+    `pairs` is read twice, so hand in a written table. The class counts per
+    prompt are staged: five numbers that several steps go over.
+    """
+    groups = stage(prompt_groups(pairs), "prompt-groups")
     return salted_join(
         pairs,
-        groups.select("prompt_key", "fold"),
+        group_folds(groups, k, seed, hot_rows).select("prompt_key", "fold"),
         "prompt_key",
         "inner",
         ["id"],
         hot_rows=hot_rows,
-        counts=prompt_groups(pairs).select("prompt_key", "n_rows"),
+        counts=groups.select("prompt_key", "n_rows"),
     )
 
 

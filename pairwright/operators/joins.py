@@ -7,29 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is spread over several tasks.
-HOT_ROWS = 1_000_000
-# Length of the list of keys to spread. Any key that is not among the biggest
-# thousand holds at most a thousandth of the rows, so it needs no spreading.
-# This bounds the broadcast list; it never leaves a row out of the result.
-HOT_KEYS = 1_000
-# Pieces one key is spread over.
-MAX_PIECES = 4_096
-
+from pairwright.operators.skew import HOT_ROWS, hot_keys, key_counts
 
-def hot_keys(
-    df: DataFrame, key: str, hot_rows: int = HOT_ROWS, counts: DataFrame | None = None
-) -> DataFrame:
-    """(key, pieces) of the keys worth spreading: at most HOT_KEYS rows."""
-    if counts is None:
-        counts = df.groupBy(key).agg(F.count("*").alias("n_rows"))
-    pieces = F.least(F.ceil(F.col("n_rows") / hot_rows).cast("int"), F.lit(MAX_PIECES))
-    return (
-        counts.where(F.col("n_rows") > hot_rows)
-        .orderBy(F.desc("n_rows"), key)
-        .limit(HOT_KEYS)
-        .select(F.col(key), pieces.alias("_pieces"))
-    )
+# Pieces one key is spread over, at most.
+MAX_PIECES = 4_096
 
 
 def salted_join(
@@ -43,18 +24,25 @@ def salted_join(
 ) -> DataFrame:
     """Join `left` to `right` on `key`, which must be unique in `right`.
 
-    Rows of a hot key go to `pieces` tasks by the hash of `spread_by` and meet
-    a copy of the one `right` row there. `right` grows by at most
-    HOT_KEYS * MAX_PIECES rows; all other keys keep piece 0.
-    `how` is inner, left, left_semi or left_anti. Pass `counts` (key, n_rows)
-    when the row counts per key are at hand already.
+    Rows of a hot key go to several tasks by the hash of `spread_by` and meet a
+    copy of the one `right` row there; all other keys keep piece 0. `right`
+    grows by HOT_KEYS * MAX_PIECES rows at most. `how` is inner, left,
+    left_semi or left_anti. Pass `counts` (key, n_rows) of `left` when they are
+    at hand already.
     """
-    # The list has at most HOT_KEYS rows by construction, so it may be broadcast.
-    hot = F.broadcast(hot_keys(left, key, hot_rows, counts))
-    piece = F.when(
-        F.col("_pieces").isNull(), F.lit(0)
-    ).otherwise(F.pmod(F.xxhash64(*spread_by), F.col("_pieces")).cast("int"))
-    spread = left.join(hot, key, "left").withColumn("_piece", piece).drop("_pieces")
+    if counts is None:
+        counts = key_counts(left, [key])
+    pieces = F.least(F.ceil(F.col("n_rows") / hot_rows), F.lit(MAX_PIECES)).cast("int")
+    # HOT_KEYS rows by construction, whatever the data.
+    hot = F.broadcast(
+        hot_keys(counts, [key], hot_rows).select(F.col(key), pieces.alias("_pieces"))
+    )
+    own = F.pmod(F.xxhash64(*spread_by), F.col("_pieces")).cast("int")
+    spread = (
+        left.join(hot, key, "left")
+        .withColumn("_piece", F.when(F.col("_pieces").isNull(), 0).otherwise(own))
+        .drop("_pieces")
+    )
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)
     copied = right.join(hot, key, "left").withColumn("_piece", F.explode(copies)).drop("_pieces")
     return spread.join(copied, [key, "_piece"], how).drop("_piece")

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.turns import key_text, seeded_hash, turns_key
-from pairwright.operators.joins import HOT_ROWS, salted_join
+from pairwright.operators.joins import salted_join
 from pairwright.operators.ranks import rank_within
+from pairwright.operators.skew import HOT_ROWS, key_counts
 
 
 def candidate_keys(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -30,7 +31,7 @@ def candidate_keys(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
 def prompt_counts(keys: DataFrame) -> DataFrame:
     """Rows per prompt."""
-    return keys.groupBy("prompt_key").agg(F.count("*").alias("n_rows"))
+    return key_counts(keys, ["prompt_key"])
 
 
 def attach_prompt_counts(keys: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -92,7 +93,9 @@ def first_per_model(keys: DataFrame, seed: int, carry: Sequence[str] = ()) -> Da
     )
 
 
-def pair_plan(keys: DataFrame, seed: int = 42, carry: Sequence[str] = ()) -> DataFrame:
+def pair_plan(
+    keys: DataFrame, seed: int = 42, carry: Sequence[str] = (), hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Which row meets which: models 1 and 2 of a prompt, 3 and 4, and so on.
 
     Columns: id, prompt_key, pair_no, row_a, row_b, model_a, model_b and, per
@@ -100,7 +103,7 @@ def pair_plan(keys: DataFrame, seed: int = 42, carry: Sequence[str] = ()) -> Dat
     an odd model is left over.
     """
     firsts = first_per_model(dedup_keys(keys, carry), seed, carry)
-    # 256 slots per prompt: even a prompt that every model answered is spread.
+    # A prompt answered by very many models is numbered in 256 slots.
     ranked = rank_within(
         firsts,
         keys=["prompt_key"],
@@ -108,6 +111,7 @@ def pair_plan(keys: DataFrame, seed: int = 42, carry: Sequence[str] = ()) -> Dat
         bucket=F.substring("shuffle_key", 1, 2),
         rank="model_no",
         size="n_models",
+        hot_rows=hot_rows,
     ).where(F.col("n_models") >= 2)
     member = F.struct("model_no", "row_id", "model", "response_key", *carry)
     pair_no = F.expr("(model_no - 1) div 2")

@@ -12,19 +12,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.turns import seeded_hash
+from pairwright.operators.skew import HOT_ROWS, hot_keys, key_counts
 from pairwright.staging import stage
 
 _PARTITION_BITS = 33  # monotonically_increasing_id: partition above, row position below
 
 
-def _offsets(counts: DataFrame, keys: Sequence[str], slot: str, size: str) -> DataFrame:
-    """Replace `_n` by the rows before each (keys, slot), and add the rows per keys."""
-    constant = F.lit(0).alias("_all")
-    whole = Window.partitionBy(*(keys or [constant]))
-    before = whole.orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumns(
-        {"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), size: F.sum("_n").over(whole)}
-    ).drop("_n")
+def _offsets(counts: DataFrame, keys: Sequence[str], slot: str) -> DataFrame:
+    """Replace the counts `_n` by `_before`, the rows of the keys' earlier slots."""
+    before = (
+        Window.partitionBy(*(keys or [F.lit(0)]))
+        .orderBy(slot)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    running = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    return counts.withColumn("_before", running).drop("_n")
 
 
 def rank_within(
@@ -34,22 +36,39 @@ def rank_within(
     bucket: Column,
     rank: str = "rank",
     size: str = "group_size",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """1-based position of each row among the rows of its keys, and their number.
 
-    `bucket` must not fall as `order` rises and must have a fixed number of
-    values (leading hash digits), so that a group holding a third of all rows
-    is still numbered by many tasks.
+    An ordinary group is numbered in one window. A hot one is cut by `bucket`
+    and numbered by as many tasks: `bucket` must not fall as `order` rises and
+    must have 256 values at most (two leading hash digits).
     """
-    slotted = df.withColumn("_slot", bucket)
-    counts = slotted.groupBy(*keys, "_slot").agg(F.count("*").alias("_n"))
-    offsets = _offsets(counts, keys, "_slot", size)
-    inside = Window.partitionBy(*keys, "_slot").orderBy(*order)
-    numbered = slotted.withColumn("_inside", F.row_number().over(inside))
+    counts = key_counts(df, keys)
+    # HOT_KEYS rows by construction, whatever the data.
+    hot = F.broadcast(hot_keys(counts, keys, hot_rows).withColumnRenamed("n_rows", "_rows"))
+    slotted = df.join(hot, list(keys), "left").withColumn(
+        "_slot", F.when(F.col("_rows").isNotNull(), bucket).otherwise("")
+    )
+    group = Window.partitionBy(*keys, "_slot")
+    numbered = slotted.withColumns(
+        {
+            "_inside": F.row_number().over(group.orderBy(*order)),
+            "_here": F.count("*").over(group),
+        }
+    )
+    hot_slots = (
+        df.join(hot.select(*keys), list(keys), "left_semi")
+        .groupBy(*keys, bucket.alias("_slot"))
+        .agg(F.count("*").alias("_n"))
+    )
+    # HOT_KEYS * 256 rows of a key and a number at most.
+    offsets = F.broadcast(_offsets(hot_slots, keys, "_slot").select(*keys, "_slot", "_before"))
     return (
-        numbered.join(offsets, [*keys, "_slot"])
-        .withColumn(rank, (F.col("_before") + F.col("_inside")).cast("long"))
-        .drop("_slot", "_inside", "_before")
+        numbered.join(offsets, [*keys, "_slot"], "left")
+        .withColumn(rank, F.coalesce("_before", F.lit(0)) + F.col("_inside"))
+        .withColumn(size, F.coalesce("_rows", "_here"))
+        .drop("_slot", "_inside", "_here", "_before", "_rows")
     )
 
 
@@ -69,8 +88,9 @@ def global_rank(
     hashed = df.withColumn("_hash", seeded_hash(seed, F.col(row_id)))
     slotted = hashed.withColumn("_slot", F.substring("_hash", 1, digits))
     counts = slotted.groupBy("_slot").agg(F.count("*").alias("_n"))
-    # Without keys, at most 16 ** digits rows meet in one window.
-    offsets = _offsets(counts, [], "_slot", size)
+    # At most 16 ** digits rows meet in these windows.
+    counts = counts.withColumn(size, F.sum("_n").over(Window.partitionBy(F.lit(0))))
+    offsets = _offsets(counts, [], "_slot")
     inside = Window.partitionBy("_slot").orderBy("_hash", row_id)
     numbered = slotted.withColumn("_inside", F.row_number().over(inside))
     return (
@@ -107,7 +127,7 @@ def ordered_rank(
         F.count("*").alias("_n"), F.min("_place").alias("_first")
     )
     # Per keys, or over all, one row for each range partition that holds some.
-    spans = _offsets(counts, keys, "_slot", "_size").drop("_size")
+    spans = _offsets(counts, keys, "_slot")
     return (
         staged.join(spans, [*keys, "_slot"])
         .withColumn(rank, F.col("_before") + F.col("_place") - F.col("_first") + 1)
