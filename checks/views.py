@@ -46,8 +46,22 @@ SCORERS = {
 PAIR_TEXTS = ("prompt", "response_a", "response_b")
 
 
+# The driver's tables as they are, so that no footer is read for a schema.
+SCHEMAS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "benchmark": "item_id long, text string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "events": (
+        "event_id long, ts timestamp_ntz, user_id long, event_type string, value double,"
+        " props string"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def first_word(text: str) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairwright.functions.text import truncate_tokens
+from pairwright.functions.text import count_words, token_count, truncate_tokens
 
 NULL_TURN = "null"
 
@@ -46,8 +46,8 @@ class ChatMarkup:
     user: str
     assistant: str
 
-    def message(self, role: str, text: Column) -> Column:
-        return F.concat(F.lit(self.opening.format(role=role)), text, F.lit(self.closing))
+    def message(self, role: str, text: str) -> str:
+        return self.opening.format(role=role) + text + self.closing
 
 
 # The labels and the answer opener that a judge model is trained on.
@@ -141,21 +141,26 @@ def render(
     )
 
 
-def wrap_chat(
-    template: Template, conversation: Column, system_role: bool, markup: ChatMarkup = MARKUP
-) -> Column:
-    """Instruction, conversation, and the opened answer of the judge."""
+def chat_frame(template: Template, system_role: bool, markup: ChatMarkup = MARKUP) -> list[str]:
+    """What stands before and after the conversation: instruction, and the judge's opened answer."""
+    before = template.instruction + "\n"
     if system_role:
-        messages = F.concat(
-            markup.message(markup.system, F.lit(template.instruction)),
-            markup.message(markup.user, conversation),
+        before = (
+            markup.message(markup.system, template.instruction)
+            + markup.opening.format(role=markup.user)
         )
     else:
-        messages = markup.message(
-            markup.user, F.concat(F.lit(template.instruction + "\n"), conversation)
-        )
-    opened = F.lit(markup.opening.format(role=markup.assistant) + template.suffix)
-    return F.concat(messages, opened)
+        before = markup.opening.format(role=markup.user) + before
+    after = markup.closing + markup.opening.format(role=markup.assistant) + template.suffix
+    return [before, after]
+
+
+def wrap_chat(
+    template: Template, conversation: Column, system_role: bool, markup: ChatMarkup = MARKUP
+) -> Column:
+    """The conversation as a chat that the judge model is to answer."""
+    before, after = chat_frame(template, system_role, markup)
+    return F.concat(F.lit(before), conversation, F.lit(after))
 
 
 def judge_text(
@@ -170,3 +175,67 @@ def judge_text(
     """Rendered and wrapped: the text a judge model reads."""
     conversation = render(template, prompt, response_a, response_b, max_length)
     return wrap_chat(template, conversation, system_role, markup)
+
+
+def turn_tokens(turns: Column, upto: Column) -> Column:
+    """Tokens of the first `upto` turns; a null turn is read as one word."""
+    return F.aggregate(
+        F.slice(turns, F.lit(1), upto),
+        F.lit(0),
+        lambda total, turn: total + token_count(F.coalesce(turn, F.lit(NULL_TURN))),
+    )
+
+
+def judged_length(
+    template: Template,
+    turns: Column,
+    prompt_tokens: Column,
+    a_tokens: Column,
+    b_tokens: Column,
+    max_length: int | None = None,
+    system_role: bool = False,
+    markup: ChatMarkup = MARKUP,
+) -> Column:
+    """Token count of `judge_text`, worked out from the counts of its turns.
+
+    Blocks begin and end with a line break, so their tokens add up. Only a cut
+    may glue the last word of a side to the literal after it. Thus one count of
+    each turn serves every template and mirror, and no text is put together.
+    """
+    before, after = chat_frame(template, system_role, markup)
+    user, label_a, label_b = (
+        count_words(f"\n### {label}:\n")
+        for label in (template.user_label, template.a_label, template.b_label)
+    )
+    if template.joint:
+        literals = [before + template.head, template.tail + after]
+        sides = [
+            turns * (user + label_a + label_b) + prompt_tokens + a_tokens + b_tokens
+        ]
+    else:
+        literals = [before + template.head, template.separator, template.tail + after]
+        sides = [
+            turns * (user + label_a) + prompt_tokens + a_tokens,
+            turns * (user + label_b) + prompt_tokens + b_tokens,
+        ]
+    limit = None if max_length is None else template.side_limit(max_length)
+    empty = count_words("".join(literals))
+
+    def around(ends: list[str]) -> int:
+        """Tokens of the literals alone, with one-word sides that end so."""
+        parts = [literals[0]]
+        for end, literal in zip(ends, literals[1:]):
+            parts += ["\nword" + end, literal]
+        return count_words("".join(parts)) - len(ends)
+
+    whole = ["\n"] * len(sides)
+    fixed = around(whole)
+    length = F.lit(fixed)
+    for number, tokens in enumerate(sides):
+        if limit is None:
+            length = length + tokens
+            continue
+        glued = around(whole[:number] + [""] + whole[number + 1 :]) - fixed
+        length = length + F.when(tokens > limit, limit + glued).otherwise(tokens)
+    bare = F.lit(limit == 0) | (turns == 0)
+    return F.when(bare, empty).otherwise(length).cast("int")

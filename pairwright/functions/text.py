@@ -7,6 +7,7 @@ engines differ on what else it takes in. Sub-word tokenizers come in through
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ WORD = "[^ \t\n\r]+"
 SPACED_WORD = "[ \t\n\r]*[^ \t\n\r]+"
 
 
+def count_words(text: str) -> int:
+    """`token_count` of a literal."""
+    return len(re.findall(WORD, text))
+
+
 def token_count(text: Column) -> Column:
     """Number of whitespace tokens in the whole text."""
     return F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))

@@ -8,9 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import label_vector
-from pairwright.functions.templates import MARKUP, ChatMarkup, Template, judge_text
-from pairwright.functions.text import token_count
-from pairwright.schemas import LABEL_COLUMNS
+from pairwright.functions.templates import (
+    MARKUP,
+    ChatMarkup,
+    Template,
+    judge_text,
+    judged_length,
+    turn_tokens,
+)
+from pairwright.schemas import LABEL_COLUMNS, TURN_COLUMNS
 
 _MIRRORED = (
     ("model_a", "model_b"),
@@ -87,35 +93,45 @@ def with_sample_lengths(
 ) -> DataFrame:
     """One row per source row with its `samples`, measured but without text.
 
-    Batches are planned from a few numbers per sample. They are taken where the
-    row is read, so the shuffles after this never move a prompt.
+    Batches are planned from a few numbers per sample. Each turn is counted
+    once for all variants, where the row is read; no prompt is put together and
+    none is moved by the shuffles after this.
     """
-    winners = [F.col(name) for name in LABEL_COLUMNS]
+    turns = F.least(F.size("prompt"), F.size("response_a"), F.size("response_b"))
+    counted = pairs.select(*keep, *LABEL_COLUMNS, *TURN_COLUMNS, turns.alias("_turns")).select(
+        *keep,
+        *LABEL_COLUMNS,
+        "_turns",
+        *[turn_tokens(F.col(c), F.col("_turns")).alias(f"_{c}") for c in TURN_COLUMNS],
+    )
+    winner_a, winner_b, tie = (F.col(name) for name in LABEL_COLUMNS)
     variants = []
     for swapped in (False, True) if include_swap else (False,):
-        order = (1, 0) if swapped else (0, 1)
-        responses = (F.col("response_a"), F.col("response_b"))
-        label = label_vector([winners[order[0]], winners[order[1]], winners[2]])
+        answers = [F.col("_response_a"), F.col("_response_b")]
+        winners = [winner_a, winner_b]
+        if swapped:
+            answers.reverse()
+            winners.reverse()
         for template in templates:
-            text = judge_text(
+            length = judged_length(
                 template,
-                F.col("prompt"),
-                responses[order[0]],
-                responses[order[1]],
-                max_length,
-                system_role,
-                markup,
+                F.col("_turns"),
+                F.col("_prompt"),
+                *answers,
+                max_length=max_length,
+                system_role=system_role,
+                markup=markup,
             )
             variants.append(
                 F.struct(
                     F.lit(len(variants)).alias("variant_no"),
                     F.lit(swapped).alias("swapped"),
                     F.lit(template.name).alias("template"),
-                    label.alias("label"),
-                    token_count(text).alias("seq_len"),
+                    label_vector([*winners, tie]).alias("label"),
+                    length.alias("seq_len"),
                 )
             )
-    return pairs.select(*keep, F.array(*variants).alias("samples"))
+    return counted.select(*keep, F.array(*variants).alias("samples"))
 
 
 def flatten_samples(rows: DataFrame) -> DataFrame:

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.skew import HOT_ROWS, hot_keys, key_counts
 
-# Pieces one key is spread over, at most.
-MAX_PIECES = 4_096
-
 
 def salted_join(
     left: DataFrame,
@@ -25,14 +22,14 @@ def salted_join(
     """Join `left` to `right` on `key`, which must be unique in `right`.
 
     Rows of a hot key go to several tasks by the hash of `spread_by` and meet a
-    copy of the one `right` row there; all other keys keep piece 0. `right`
-    grows by HOT_KEYS * MAX_PIECES rows at most. `how` is inner, left,
-    left_semi or left_anti. Pass `counts` (key, n_rows) of `left` when they are
-    at hand already.
+    copy of the one `right` row there; all other keys keep piece 0. A piece is
+    about `hot_rows` rows, so `right` grows by one row per `hot_rows` rows of
+    `left`, and HOT_KEYS more at most. `how` is inner, left, left_semi or
+    left_anti. Pass `counts` (key, n_rows) of `left` when they are at hand.
     """
     if counts is None:
         counts = key_counts(left, [key])
-    pieces = F.least(F.ceil(F.col("n_rows") / hot_rows), F.lit(MAX_PIECES)).cast("int")
+    pieces = F.ceil(F.col("n_rows") / hot_rows).cast("int")
     # HOT_KEYS rows by construction, whatever the data.
     hot = F.broadcast(
         hot_keys(counts, [key], hot_rows).select(F.col(key), pieces.alias("_pieces"))

@@ -103,12 +103,12 @@ def pair_plan(
     an odd model is left over.
     """
     firsts = first_per_model(dedup_keys(keys, carry), seed, carry)
-    # A prompt answered by very many models is numbered in 256 slots.
+    # A prompt answered by very many models is numbered in 4,096 slots.
     ranked = rank_within(
         firsts,
         keys=["prompt_key"],
         order=["shuffle_key", "row_id"],
-        bucket=F.substring("shuffle_key", 1, 2),
+        bucket=F.substring("shuffle_key", 1, 3),
         rank="model_no",
         size="n_models",
         hot_rows=hot_rows,

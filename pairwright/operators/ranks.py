@@ -41,8 +41,8 @@ def rank_within(
     """1-based position of each row among the rows of its keys, and their number.
 
     An ordinary group is numbered in one window. A hot one is cut by `bucket`
-    and numbered by as many tasks: `bucket` must not fall as `order` rises and
-    must have 256 values at most (two leading hash digits).
+    and numbered by as many tasks: `bucket` must not fall as `order` rises, and
+    its values must be few (leading digits of a hash).
     """
     counts = key_counts(df, keys)
     # HOT_KEYS rows by construction, whatever the data.
@@ -62,9 +62,9 @@ def rank_within(
         .groupBy(*keys, bucket.alias("_slot"))
         .agg(F.count("*").alias("_n"))
     )
-    # HOT_KEYS * 256 rows of a key and a number at most.
-    offsets = F.broadcast(_offsets(hot_slots, keys, "_slot").select(*keys, "_slot", "_before"))
+    offsets = _offsets(hot_slots, keys, "_slot").select(*keys, "_slot", "_before")
     return (
+        # The rows are partitioned by (keys, slot) already; only the offsets move.
         numbered.join(offsets, [*keys, "_slot"], "left")
         .withColumn(rank, F.coalesce("_before", F.lit(0)) + F.col("_inside"))
         .withColumn(size, F.coalesce("_rows", "_here"))

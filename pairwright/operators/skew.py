@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A key with more rows than this is spread over several tasks.
-HOT_ROWS = 1_000_000
-# Length of the list of keys to spread. Any key that is not among the biggest
-# thousand holds at most a thousandth of the rows, so it needs no spreading.
-# This bounds what is broadcast; it never leaves a row out of a result.
-HOT_KEYS = 1_000
+HOT_ROWS = 100_000
+# Length of the list of keys to spread: a few megabytes to broadcast, whatever
+# the data. A key that is not among the biggest hundred thousand holds at most
+# a hundred-thousandth of the rows, so it needs no spreading. This bounds the
+# list; it never leaves a row out of a result.
+HOT_KEYS = 100_000
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -79,5 +79,5 @@ def test_salted_join_equals_a_plain_join(spark, how, hot_rows):
 
 
 def test_hot_list_is_bounded(spark):
-    many = spark.range(5 * HOT_KEYS).select((F.col("id") % (2 * HOT_KEYS)).alias("key"))
+    many = spark.range(4 * HOT_KEYS).select((F.col("id") % (2 * HOT_KEYS)).alias("key"))
     assert hot_keys(key_counts(many, ["key"]), ["key"], hot_rows=1).count() == HOT_KEYS

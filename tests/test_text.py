@@ -10,8 +10,11 @@ from pairwright.functions.templates import (
     LOCALIZED,
     MARKUP,
     SPLIT,
+    Template,
     judge_text,
+    judged_length,
     render,
+    turn_tokens,
 )
 from pairwright.functions.text import token_count, truncate_tokens
 from pairwright.functions.turns import decode_turns, encode_turns
@@ -112,3 +115,25 @@ def test_turn_lists_survive_json(spark):
     assert [r.t for r in back] == lists
     spaced = spark.createDataFrame([('["a", "\\u00e9", null]',)], "j string")
     assert spaced.select(decode_turns(F.col("j")).alias("t")).first().t == ["a", "é", None]
+
+
+@pytest.mark.parametrize("system_role", [True, False])
+@pytest.mark.parametrize("max_length", [None, 0, 1, 2, 9, 14, 15, 16, 40, 4096])
+def test_lengths_without_rendering(spark, max_length, system_role):
+    rows = PAIRS + [
+        (["q " * 9, "x"], ["a\tb\n", " "], ["", "\n\nend"]),
+        (["", ""], ["", ""], [None, ""]),
+    ]
+    odd = Template("odd", False, "head ", " tail", "say", "go", "U", "long label A", "B", " mid ")
+    table = spark.createDataFrame(
+        [(i, *row) for i, row in enumerate(rows)],
+        "n int, p array<string>, a array<string>, b array<string>",
+    )
+    sides = [F.col(c) for c in "pab"]
+    turns = F.least(*[F.size(c) for c in "pab"])
+    counts = [turn_tokens(one, turns) for one in sides]
+    for template in (JOINT, SPLIT, LOCALIZED, odd):
+        text = judge_text(template, *sides, max_length, system_role)
+        length = judged_length(template, turns, *counts, max_length, system_role)
+        found = table.select("n", token_count(text).alias("own"), length.alias("length"))
+        assert [(r.n, r.length) for r in found.collect()] == [(r.n, r.own) for r in found.collect()]
