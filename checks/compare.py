@@ -10,6 +10,7 @@ from pathlib import Path
 
 import duckdb
 import pandas as pd
+from pyspark.sql import DataFrame
 
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
@@ -38,6 +39,24 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
+# Spark type -> type the SQL twin must have.
+_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+}
+
+
+def type_difference(frame: DataFrame, relation: duckdb.DuckDBPyRelation) -> str | None:
+    """Columns whose types differ, or None."""
+    ours = {name: _TYPES.get(kind, kind) for name, kind in frame.dtypes}
+    theirs = {name: str(kind) for name, kind in zip(relation.columns, relation.types)}
+    unlike = {name: (ours.get(name), kind) for name, kind in theirs.items() if ours.get(name) != kind}
+    return f"types {unlike}" if unlike else None
+
+
 def difference(ours: pd.DataFrame, theirs: pd.DataFrame) -> str | None:
     """What differs between two results, or None."""
     if sorted(ours.columns) != sorted(theirs.columns):
@@ -74,7 +93,7 @@ def main(sf_dir: str, names: list[str]) -> int:
         relation = connection.sql(ORACLES[name])
         theirs = relation.df()
         twin = time.time() - start
-        found = difference(ours, theirs)
+        found = type_difference(frame, relation) or difference(ours, theirs)
         failures += found is not None
         verdict = "ok" if found is None else f"DIFFERS {found}"
         print(

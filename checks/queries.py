@@ -67,7 +67,7 @@ from pairwright.plans.recipes import (
     TRAINVAL,
     Recipe,
     recipe_leaks,
-    recipe_samples,
+    recipe_lengths,
 )
 from pairwright.schemas import LABEL_COLUMNS, PROBABILITY_COLUMNS
 from pairwright.sources.corpora import CORPUS_NAMES, read_corpus, write_corpus
@@ -422,13 +422,13 @@ def sources_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _recipe_counts(
     recipe: Recipe, side: str, tables: dict[str, DataFrame]
 ) -> DataFrame:
-    samples = recipe_samples(recipe, side, tables)
+    samples = flatten_samples(recipe_lengths(recipe, side, tables))
     return (
         samples.groupBy("source_no", "swapped", "template")
         .agg(
             F.count("*").alias("n_samples"),
-            F.sum(token_count(F.col("input_text")).cast("long")).alias("n_tokens"),
-            F.round(F.sum("winner_model_a"), 6).alias("mass_a"),
+            F.sum("seq_len").alias("n_tokens"),
+            F.round(F.sum(F.col("label")[0]), 6).alias("mass_a"),
         )
         .select(
             F.lit(recipe.name).alias("recipe"),

@@ -122,6 +122,18 @@ def recipe_samples(recipe: Recipe, side: str, tables: Mapping[str, DataFrame]) -
     )
 
 
+def recipe_lengths(recipe: Recipe, side: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Samples by their lengths and labels, one row per pair; no text is put together."""
+    return with_sample_lengths(
+        recipe_rows(recipe, side, tables),
+        recipe.templates(side),
+        include_swap=side == "train",
+        max_length=recipe.member.max_length,
+        system_role=recipe.member.system_role,
+        keep=("source_no", "row_id"),
+    )
+
+
 def recipe_batches(
     recipe: Recipe,
     side: str,
@@ -135,15 +147,7 @@ def recipe_batches(
     where a second run over the texts would cost far more.
     """
     training = side == "train"
-    measured = with_sample_lengths(
-        recipe_rows(recipe, side, tables),
-        recipe.templates(side),
-        include_swap=training,
-        max_length=recipe.member.max_length,
-        system_role=recipe.member.system_role,
-        keep=("source_no", "row_id"),
-    )
-    measured = stage(measured, "measured")
+    measured = stage(recipe_lengths(recipe, side, tables), "measured")
     if training:
         batched = seeded_batches(measured, recipe.member.batch_size, seed)
     else:

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_module
-from checks.compare import connect, difference
+from checks.compare import connect, difference, type_difference
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
 
@@ -15,10 +15,12 @@ def connection(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, sf_dir, connection, name):
-    ours = QUERIES[name](spark, sf_dir).toPandas()
-    theirs = connection.sql(ORACLES[name]).df()
+    frame = QUERIES[name](spark, sf_dir)
+    relation = connection.sql(ORACLES[name])
+    assert type_difference(frame, relation) is None
+    ours = frame.toPandas()
     assert len(ours) > 0
-    assert difference(ours, theirs) is None
+    assert difference(ours, relation.df()) is None
 
 
 def test_only_the_fitted_model_has_no_sql():

@@ -96,7 +96,7 @@ def test_sides_are_cut_apart_and_head_and_tail_stay(spark):
 def test_system_role_and_prefix(spark):
     table = spark.createDataFrame([(["q"], ["a"], ["b"])], "p array<string>, a array<string>, b array<string>")
     columns = [F.col(c) for c in "pab"]
-    conversation = by_hand(JOINT, PAIRS[0:1][0]) and by_hand(JOINT, (["q"], ["a"], ["b"]))
+    conversation = by_hand(JOINT, (["q"], ["a"], ["b"]))
     opening = MARKUP.opening.format
     end = MARKUP.closing + opening(role="assistant") + JOINT.suffix
     own = table.select(judge_text(JOINT, *columns, system_role=True).alias("t")).first().t
