@@ -120,7 +120,7 @@ def group_folds(
     place = _place(F.col("_turn"))
 
     even = _passed(place, _shares([1] * k), strictly=False)
-    big = F.col("n_rows") * (BIG_SHARE * k) > total
+    big = (F.col("n_rows") > 1) & (F.col("n_rows") * (BIG_SHARE * k) > total)
     held = _loads(ordered.where(big).withColumn("fold", even), k)
     gaps = [max(0, total - k * sum(one.values())) for one in held]
     several = F.when(big, even).otherwise(_passed(place, _shares(gaps), strictly=False))
