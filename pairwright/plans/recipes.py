@@ -14,6 +14,7 @@ from pairwright.operators.augment import flatten_samples, sample_texts, with_sam
 from pairwright.operators.ensemble import concat_sources
 from pairwright.operators.folds import filter_rows
 from pairwright.operators.packing import ordered_batches, plan_batches, seeded_batches
+from pairwright.schemas import LABEL_COLUMNS, TURN_COLUMNS
 from pairwright.sources.corpora import CORPUS_NAMES
 from pairwright.staging import stage
 
@@ -24,6 +25,9 @@ MINED = "mined"  # unlabelled pairs
 MINED_SOFT = "mined_soft"  # the same with ensemble labels
 CORPORA_SOFT = "corpora_soft"  # all converted corpora with ensemble labels
 
+# What a recipe reads of a table, next to the columns its predicate names.
+ROW_COLUMNS = ("row_id", "model_a", "model_b", *TURN_COLUMNS, *LABEL_COLUMNS)
+
 VALIDATION_FOLD = 0
 SHARDS = 4
 
@@ -105,7 +109,7 @@ RECIPES = _recipes()
 def recipe_rows(recipe: Recipe, side: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     """The pairs of one side: filtered sources, one after the other."""
     parts = [
-        filter_rows(tables[source.table], source.predicate).drop("fold")
+        filter_rows(tables[source.table], source.predicate).select(*ROW_COLUMNS)
         for source in recipe.sources(side)
     ]
     return concat_sources(*parts)
