@@ -7,9 +7,21 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.exact import exact_dedup
 from pairwright.llm.lines import MIN_SITES, line_dedup
+from pairwright.llm.packing_fit import pack_texts
 from pairwright.llm.tables import read_table
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary lies; tasks ask again, for it lies with the worker's own libraries."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_texts(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -24,6 +36,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
 }
