@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairwright.llm.exact import exact_dedup
 from pairwright.llm.lines import MIN_SITES, line_dedup
 from pairwright.llm.packing_fit import pack_texts
+from pairwright.llm.quality import classify
 from pairwright.llm.tables import read_table
 
 
@@ -18,6 +19,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -36,6 +41,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
