@@ -10,6 +10,16 @@ from pairwright.llm.lines import MIN_SITES, line_dedup
 from pairwright.llm.packing_fit import pack_texts
 from pairwright.llm.quality import classify
 from pairwright.llm.tables import read_table
+from pairwright.llm.url_rules import judge_urls, rule_table
+
+#: Rules (host, path, verdict) of the url query: given, fixed values.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
 
 
 def tokenizer_file(name: str) -> str:
@@ -19,6 +29,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -41,6 +55,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_url_rules": op2_url_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_exact_dedup": op7_exact_dedup,
@@ -48,6 +63,25 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_url_rules": r"""
+        WITH cut AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parts AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut
+        ), rules(rule_host, rule_path, verdict) AS (
+            VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                   ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+        ), fits AS (
+            SELECT page_id, rule_host || rule_path AS rule, verdict,
+                   row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS place
+            FROM parts JOIN rules
+              ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        )
+        SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND place = 1
+    """,
     "op7_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
