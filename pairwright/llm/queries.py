@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm.exact import exact_dedup
+from pairwright.llm.fingerprints import compare_with_next
 from pairwright.llm.lines import MIN_SITES, line_dedup
 from pairwright.llm.packing_fit import pack_texts
 from pairwright.llm.quality import classify
@@ -29,6 +30,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
@@ -55,6 +60,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op2_url_rules": op2_url_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
