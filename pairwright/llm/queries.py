@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairwright.llm.exact import exact_dedup
 from pairwright.llm.fingerprints import compare_with_next
 from pairwright.llm.lines import MIN_SITES, line_dedup
+from pairwright.llm.lm import score_documents
 from pairwright.llm.packing_fit import pack_texts
 from pairwright.llm.quality import classify
 from pairwright.llm.tables import read_table
@@ -22,6 +23,9 @@ URL_RULES = [
     ("com", "/de/", "block"),
 ]
 
+#: Ids of <|startoftext|> and <|endoftext|> in word_bpe_49k.json: given, fixed values.
+WORD_BPE_EDGES = (49406, 49407)
+
 
 def tokenizer_file(name: str) -> str:
     """Where a public vocabulary lies; tasks ask again, for it lies with the worker's own libraries."""
@@ -59,6 +63,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled good. Background: all documents."""
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    start, end = WORD_BPE_EDGES
+    return score_documents(read_table(spark, sf_dir, "documents"), good, tokenizer_file("word_bpe_49k.json"), start, end)
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_url_rules": op2_url_rules,
@@ -66,6 +77,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLES = {
