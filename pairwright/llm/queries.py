@@ -9,6 +9,7 @@ from pairwright.llm.exact import exact_dedup
 from pairwright.llm.fingerprints import compare_with_next
 from pairwright.llm.lines import MIN_SITES, line_dedup
 from pairwright.llm.lm import score_documents
+from pairwright.llm.merge_dropout import decode_pieces, encode_pieces
 from pairwright.llm.packing_fit import pack_texts
 from pairwright.llm.quality import classify
 from pairwright.llm.tables import read_table
@@ -46,6 +47,20 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("piece_bpe_32k.model")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    encoded = docs.withColumn("ids", encode_pieces(path, "text", F.col("doc_id")))
+    decoded = encoded.withColumn("decoded", decode_pieces(path, "ids"))
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text")).alias("lossless"),
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -74,6 +89,7 @@ QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_url_rules": op2_url_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_merge_dropout": op5_merge_dropout,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
