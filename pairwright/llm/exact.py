@@ -89,7 +89,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buc
     chains = build_index(slots, bucket_slots).where("held_rows > 1").select("key")
     # Compared by their bytes: grouping by the text itself. One chain's rows are first reduced in pieces.
     piece = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.lit(CHAIN_PIECES))
-    met = read.join(chains, "key", "left_semi").withColumn("piece", piece).repartition("key", "piece")
+    # By a merge at every size: the work then grows as the rows do.
+    met = read.join(chains.hint("merge"), "key", "left_semi").withColumn("piece", piece).repartition("key", "piece")
     texts = (
         met.groupBy("key", "norm", "piece")
         .agg(F.min("doc_id").alias("keep"), F.count("*").alias("size"))
