@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from typing import ClassVar
 
 import numpy as np
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 DROPOUT = 0.1
 SEED = 17
 #: Segmentations that a stretch can have under one seed.
-VARIANTS = 4
-#: Stretches a worker remembers before it starts anew.
-REMEMBERED = 800_000
+VARIANTS = 2
+#: Stretches of a variant that a worker remembers before it starts anew.
+REMEMBERED = 500_000
 _BLANK = "▁"
+_TAIL = ".,!?;:"
 _STRETCH = re.compile("\n| *[^ \n]+| +")
 _MASK = 0xFFFFFFFFFFFFFFFF
+_ODD = 0x9E3779B97F4A7C15
 
 
 class Pieces:
@@ -46,15 +49,23 @@ class Pieces:
         self.special = {i for i in ids if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.byte = {int(text[i][3:5], 16): i for i in ids if model.is_byte(i)}
         plain = [i for i in ids if i not in self.special and not model.is_byte(i)]
-        self.ids = {text[i]: i for i in plain}
-        # Best piece first: candidates are compared by this place.
-        self.place = {text[i]: place for place, i in enumerate(sorted(plain, key=lambda i: (-model.get_score(i), i)))}
+        # Symbols are numbered by place, the best piece first; candidates compare by it.
+        ordered = sorted(plain, key=lambda i: (-model.get_score(i), i))
+        self.id_at = ordered
+        self.place = {text[i]: place for place, i in enumerate(ordered)}
+        self.pairs = {
+            (self.place[piece[:cut]], self.place[piece[cut:]]): place
+            for piece, place in self.place.items()
+            for cut in range(1, len(piece))
+            if piece[:cut] in self.place and piece[cut:] in self.place
+        }
+        self.neighbours = {pair for piece in self.place for pair in zip(piece, piece[1:])}
         self.bytes = [b""] * len(text)
         for i in plain:
             self.bytes[i] = text[i].replace(_BLANK, " ").encode()
         for value, i in self.byte.items():
             self.bytes[i] = bytes([value])
-        self.known: dict[tuple[int, str], bytes] = {}
+        self.known: dict[int, dict[str, bytes]] = {}  # by variant
         self.dropout, self.seed = 0.0, 0
 
     def set(self, dropout: float, seed: int) -> None:
@@ -69,74 +80,84 @@ class Pieces:
             cls._workers[path] = cls(path)
         return cls._workers[path]
 
-    def merge(self, stretch: str, dropout: float, key: int) -> list[str]:
-        """The symbols of a stretch after its agenda is worked off."""
-        symbols = list(stretch)
-        if len(symbols) < 2:
-            return symbols
-        place, limit = self.place, int(dropout * 2**32)
-        after = list(range(1, len(symbols) + 1))
-        before = list(range(-1, len(symbols) - 1))
+    def merge(self, symbols: list[int], key: int) -> None:
+        """Work off the agenda of some symbols (numbers of pieces), in place; -1 is left where one was merged away."""
+        pairs, limit, size = self.pairs.get, int(self.dropout * 2**32), len(symbols)
         agenda = []
-        for left in range(len(symbols) - 1):
-            piece = symbols[left] + symbols[left + 1]
-            if piece in place:
-                agenda.append((place[piece], left, piece))
+        for left, pair in enumerate(zip(symbols, symbols[1:])):
+            place = pairs(pair)
+            if place is not None:
+                agenda.append(place << 32 | left)
+        if not agenda:
+            return
         heapq.heapify(agenda)
+        push, pop = heapq.heappush, heapq.heappop
+        after = list(range(1, size + 1))
+        before = list(range(-1, size - 1))
         while agenda:
-            rank, left, piece = heapq.heappop(agenda)
+            candidate = pop(agenda)
+            left, place = candidate & 0xFFFFFFFF, candidate >> 32
             right = after[left]
             # A side that was merged meanwhile no longer makes this piece.
-            if not symbols[left] or right >= len(symbols) or symbols[left] + symbols[right] != piece:
+            if right >= size or pairs((symbols[left], symbols[right])) != place:
                 continue
-            if limit:
-                h = (key ^ ((left << 20 | rank) * 0x9E3779B97F4A7C15)) & _MASK
-                h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & _MASK
-                if h >> 32 < limit:
-                    continue
-            symbols[left], symbols[right] = piece, ""
-            follower = after[right]
-            after[left] = follower
-            if follower < len(symbols):
+            if limit and ((key ^ candidate) * _ODD & _MASK) >> 32 < limit:
+                continue
+            symbols[left], symbols[right] = place, -1
+            after[left] = follower = after[right]
+            if follower < size:
                 before[follower] = left
-                joined = piece + symbols[follower]
-                if joined in place:
-                    heapq.heappush(agenda, (place[joined], left, joined))
+                joined = pairs((place, symbols[follower]))
+                if joined is not None:
+                    push(agenda, joined << 32 | left)
             leader = before[left]
             if leader >= 0:
-                joined = symbols[leader] + piece
-                if joined in place:
-                    heapq.heappush(agenda, (place[joined], leader, joined))
-        return [s for s in symbols if s]
+                joined = pairs((symbols[leader], place))
+                if joined is not None:
+                    push(agenda, joined << 32 | leader)
+
+    def _spelled(self, character: str) -> list[int]:
+        return [self.byte[b] for b in character.encode("utf-8", "surrogatepass")]
 
     def stretch_ids(self, stretch: str, variant: int) -> bytes:
         """Packed ids. A blank is the vocabulary's own blank; that character itself, and any other without a piece, is spelled in bytes."""
         key = xxhash.xxh3_64_intdigest(stretch.encode("utf-8", "surrogatepass"), (self.seed << 16 | variant) & _MASK)
-        out: list[int] = []
-        for run in re.split(f"({_BLANK}+)", stretch):
-            if run.startswith(_BLANK):
-                out += [self.byte[b] for b in run.encode()]
-                continue
-            for symbol in self.merge(run.replace(" ", _BLANK), self.dropout, key):
-                if symbol in self.ids:
-                    out.append(self.ids[symbol])
-                else:
-                    out += [self.byte[b] for b in symbol.encode("utf-8", "surrogatepass")]
-        return np.array(out, np.uint32).tobytes()
+        # Characters that are no piece have the number -2, of which no pair is known.
+        place, missing = self.place.get, -2
+        symbols = [missing if c == _BLANK else place(_BLANK if c == " " else c, missing) for c in stretch]
+        self.merge(symbols, key)
+        at = self.id_at
+        if missing in symbols:
+            out: list[int] = []
+            for character, symbol in zip(stretch, symbols):
+                if symbol >= 0:
+                    out.append(at[symbol])
+                elif symbol == missing:
+                    out += self._spelled(character)
+        else:
+            out = [at[symbol] for symbol in symbols if symbol >= 0]
+        return array("I", out).tobytes()
 
     def encode(self, text: str, variant: int) -> bytes:
         """Packed ids of a text, with the blank that the vocabulary puts before it."""
         if not text:
             return b""
-        known, out = self.known, []
+        known = self.known.setdefault(variant, {})
         if len(known) > REMEMBERED:
             known.clear()
-        for stretch in _STRETCH.findall(" " + text):
-            ids = known.get((variant, stretch))
-            if ids is None:
-                ids = known[variant, stretch] = self.stretch_ids(stretch, variant)
-            out.append(ids)
-        return b"".join(out)
+        stretches = _STRETCH.findall(" " + text)
+        for stretch in set(stretches).difference(known):
+            head = stretch.rstrip(_TAIL)
+            # Marks after a word stand alone where no piece has them beside its last character.
+            if head and head != stretch and (head[-1], stretch[len(head)]) not in self.neighbours:
+                parts = head, stretch[len(head) :]
+                for part in parts:
+                    if part not in known:
+                        known[part] = self.stretch_ids(part, variant)
+                known[stretch] = known[parts[0]] + known[parts[1]]
+            else:
+                known[stretch] = self.stretch_ids(stretch, variant)
+        return b"".join(map(known.__getitem__, stretches))
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, np.uint32).tolist()))
