@@ -10,6 +10,7 @@ from pairwright.llm.fingerprints import compare_with_next
 from pairwright.llm.lines import MIN_SITES, line_dedup
 from pairwright.llm.lm import score_documents
 from pairwright.llm.merge_dropout import decode_pieces, encode_pieces
+from pairwright.llm.minhash import near_duplicates
 from pairwright.llm.packing_fit import pack_texts
 from pairwright.llm.quality import classify
 from pairwright.llm.tables import read_table
@@ -43,6 +44,10 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -88,6 +93,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_url_rules": op2_url_rules,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_merge_dropout": op5_merge_dropout,
     "op6_best_fit_packing": op6_best_fit_packing,
