@@ -13,6 +13,7 @@ from pairwright.llm.merge_dropout import decode_pieces, encode_pieces
 from pairwright.llm.minhash import near_duplicates
 from pairwright.llm.packing_fit import pack_texts
 from pairwright.llm.quality import classify
+from pairwright.llm.suffix import cut_repeats
 from pairwright.llm.tables import read_table
 from pairwright.llm.url_rules import judge_urls, rule_table
 
@@ -90,6 +91,12 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"), good, tokenizer_file("word_bpe_49k.json"), start, end)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", F.sha2("_cut.kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_url_rules": op2_url_rules,
@@ -100,6 +107,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLES = {
