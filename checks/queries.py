@@ -103,7 +103,7 @@ def as_json(name: str) -> Column:
 
 def roles_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = split_roles(views.chats(spark, sf_dir))
-    return split.select("conv_id", "part", as_json("prompt"), as_json("response"))
+    return split.select("conv_id", as_json("prompt"), as_json("response"))
 
 
 def chat_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,9 @@ def corpus_to_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = attach_prompt_counts(candidate_keys(views.candidates(spark, sf_dir)))
     return repeated_prompts(counted).select(
-        "row_id", key_text(F.col("prompt_key")).alias("prompt_key"), "n_pid"
+        "row_id",
+        *[key_text(F.col(name)).alias(name) for name in ("prompt_key", "response_key")],
+        "n_pid",
     )
 
 
@@ -332,13 +334,18 @@ def restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three scorers' logits: nine leading numbers of each embedding."""
+    """Three scorers' logits: each number of an embedding counts for one class of one scorer."""
+
+    def logit(place: int) -> Column:
+        own = F.filter("embedding", lambda value, at: at % 9 == place)
+        return F.aggregate(own, F.lit(0.0), lambda total, value: total + value.cast("double"))
+
     scorers = F.array(
         *[
             F.struct(
                 F.lit(scorer).alias("scorer"),
                 *[
-                    F.col("embedding")[3 * s + c].cast("double").alias(name)
+                    logit(3 * s + c).alias(name)
                     for c, name in enumerate(LOGIT_COLUMNS)
                 ],
             )
@@ -415,7 +422,7 @@ def sources_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("row_id"), "lang", "n_chars"
     )
     english = documents.where(F.col("lang") == "en")
-    others = documents.where(F.col("lang") != "en")
+    others = documents.where(~F.col("lang").eqNullSafe("en"))
     return concat_sources(english, others)
 
 

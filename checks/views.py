@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.functions.text import WORD
 from pairwright.functions.turns import turns_key
 from pairwright.operators.chats import nest_turns
 from pairwright.operators.folds import assign_folds
@@ -37,7 +38,8 @@ from pairwright.staging import stage
 SEED = 42
 FOLDS = 5
 FOLD_SEED = 0
-LANGUAGES = ("de", "en", "es", "fr")
+# Three corpora are one language each, the fourth takes every other one, or none.
+LANGUAGES = ("de", "en", "es")
 SCORERS = {
     "short_sighted": length_scorer(0.5, 0.1),
     "even_handed": length_scorer(1.0, 0.4),
@@ -118,13 +120,14 @@ def folded_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts that are spoken for already: the first words of the benchmark texts."""
-    word = F.array(first_word("text"))
-    return table(spark, sf_dir, "benchmark").select(turns_key(word).alias("prompt_key"))
+    """Prompts that are spoken for already: the words of the benchmark texts."""
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    named = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("word"))
+    return named.select(turns_key(F.array("word")).alias("prompt_key"))
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as nested rows, in parts of bounded length."""
+    """Conversations as nested rows."""
     return nest_turns(table(spark, sf_dir, "conversations"))
 
 
@@ -140,7 +143,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     return chats(spark, sf_dir).select(
-        F.concat_ws(":", "conv_id", "part").alias("row_id"),
+        F.col("conv_id").cast("string").alias("row_id"),
         F.col("conversation").alias("chosen"),
         backwards.alias("rejected"),
     )
@@ -167,8 +170,8 @@ def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recipe_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     """The tables recipes read, each written once; only those asked for.
 
-    The five corpora are the mined pairs of the four languages and the converted
-    conversations.
+    The five corpora are the mined pairs of three languages, those of all others, and
+    the converted conversations.
     """
     wanted = set(names)
     if CORPORA_SOFT in wanted:
@@ -193,6 +196,8 @@ def recipe_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, Da
     if wanted & set(CORPUS_NAMES[:-1]):
         for name, lang in zip(CORPUS_NAMES, LANGUAGES):
             made[name] = _as_source(pairs.where(F.col("lang") == lang), "id")
+        rest = ~F.coalesce(F.col("lang").isin(*LANGUAGES), F.lit(False))
+        made[CORPUS_NAMES[len(LANGUAGES)]] = _as_source(pairs.where(rest), "id")
     if MINED_SOFT in wanted:
         made[MINED_SOFT] = stage(soft_labels(made[MINED]), "mined_soft")
     if CORPORA_SOFT in wanted:

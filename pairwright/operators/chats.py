@@ -10,20 +10,18 @@ from pairwright.functions.turns import texts_of
 # The two roles a chat may have.
 ROLES = ("user", "assistant")
 
-# Turns per nested row. (conv_id, turn) is the key of a turn table, so a row
-# never gathers more than this; a longer conversation goes on in its next part.
-TURN_SPAN = 256
 
+def nest_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) to (conv_id, conversation), one row per conversation.
 
-def nest_turns(turns: DataFrame, span: int = TURN_SPAN) -> DataFrame:
-    """(conv_id, turn, role, text) to (conv_id, part, conversation)."""
+    A conversation is one row wherever it is kept, so its list is bounded by what a row may hold.
+    """
     item = F.struct("turn", F.col("role").alias("role"), F.col("text").alias("content"))
     return (
-        turns.groupBy("conv_id", F.floor(F.col("turn") / span).alias("part"))
+        turns.groupBy("conv_id")
         .agg(F.array_sort(F.collect_list(item)).alias("_items"))
         .select(
             "conv_id",
-            "part",
             F.transform(
                 "_items",
                 lambda one: F.struct(one["role"].alias("role"), one["content"].alias("content")),

@@ -63,16 +63,19 @@ def test_split_keeps_turn_order(spark):
     assert row.response == [f"t{i}" for i in range(1, 20, 2)]
 
 
-def test_long_conversations_go_on_in_parts(spark):
-    turns = spark.range(1000).select(
+@pytest.mark.parametrize("first", [0, 1])
+def test_long_conversations_stay_whole(spark, first):
+    turns = spark.range(300).select(
         F.lit(1).alias("conv_id"),
-        F.col("id").alias("turn"),
-        F.lit("user").alias("role"),
+        (F.col("id") + first).alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
         F.col("id").cast("string").alias("text"),
     )
-    parts = nest_turns(turns, span=64).orderBy("part").collect()
-    assert max(len(p.conversation) for p in parts) == 64
-    assert [int(t.content) for p in parts for t in p.conversation] == list(range(1000))
+    (chat,) = check_chats(nest_turns(turns)).collect()
+    assert [int(t.content) for t in chat.conversation] == list(range(300))
+    (counted,) = check_turns(turns).collect()
+    assert chat.reason is None and counted.reason is None
+    assert len(split_roles(nest_turns(turns)).first().prompt) == 150
 
 
 def test_corpus_conversion(spark):
