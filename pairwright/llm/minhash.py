@@ -6,14 +6,15 @@ million; so of each class's values, in order of how many classes have them, the
 ones may be skipped: pairs still meet in what is left (prefix filter). Values that no other class has meet
 nobody, and a class with fewer than `MATCHES` others' values is out.
 
-1. In every list the class with the smallest document is met by all others; collisions are counted per pair,
-   the skipped values are looked up, pairs with `MATCHES` agreements are kept and confirmed on full sets.
-   Their links contract families of any size without naming all their pairs.
-2. Classes that still share a list with another component are joined exactly: on the rarest shingles of
+1. In lists of up to `SHORT_LIST` classes all meet, in longer ones all meet the class with the smallest
+   document. Collisions are counted per pair, the skipped values are looked up, and pairs with `MATCHES`
+   agreements are confirmed on full sets. Their links contract families of any size without naming all
+   their pairs.
+2. Classes of long lists that still hold several components are joined exactly: on the rarest shingles of
    their sets, with the size and position bounds that such an overlap must satisfy. Confirmed pairs are
    links, too.
 
-Every pair of step 2's components that shares a list is covered, so no link that reached a list is lost.
+So every pair that shares a list is either confirmed or refuted, or its classes are linked already.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pairwright.staging import stage
 
 #: Coordinates, and how many must agree: P(Binomial(48, 0.8) < 24) is 8e-7.
 COORDINATES, MATCHES = 48, 24
+#: Lists up to this length are joined pair by pair, longer ones through their first class and their sets.
+SHORT_LIST = 16
 #: Similarity in hundredths.
 ALIKE = 80
 #: Bits of the filter that keeps texts without a candidate class out of the second reading: 1 MB at any size.
@@ -112,17 +115,18 @@ def _maybe(ids: DataFrame) -> Column:
 
 
 def _prefix(classes: DataFrame) -> DataFrame:
-    """Postings (`class`, `least`, `n`, `coordinate`, `value`) of the values that are not skipped."""
-    posted = classes.select("class", F.posexplode("signature").alias("coordinate", "value"))
-    held = posted.groupBy("coordinate", "value").agg(F.count("*").alias("held")).where("held > 1")
+    """Postings (`class`, `least`, `n`, `code`) of the values that are not skipped; a code is a coordinate and its value."""
+    code = F.shiftleft(F.col("coordinate").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    posted = classes.select("class", F.posexplode("signature").alias("coordinate", "value")).select("class", code.alias("code"))
+    held = posted.groupBy("code").agg(F.count("*").alias("held")).where("held > 1")
     ordered = (
-        posted.join(held.hint("merge"), ["coordinate", "value"])
+        posted.join(held.hint("merge"), "code")
         .groupBy("class")
-        .agg(F.sort_array(F.collect_list(F.struct("held", "coordinate", "value"))).alias("values"))
+        .agg(F.sort_array(F.collect_list(F.struct("held", "code"))).alias("values"))
         .where(F.size("values") >= MATCHES)
         .select("class", F.explode(F.slice("values", F.lit(1), F.size("values") - (MATCHES - 1))).alias("p"))
     )
-    return ordered.select("class", "p.coordinate", "p.value").join(classes.select("class", "least", "n").hint("merge"), "class")
+    return ordered.select("class", "p.code").join(classes.select("class", "least", "n").hint("merge"), "class")
 
 
 def _sizes_fit(alike: int) -> Column:
@@ -142,18 +146,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
     )
 
 
-def _star_pairs(prefix: DataFrame, classes: DataFrame, alike: int) -> DataFrame:
-    """Each class with the first class of its lists, where enough values of the whole signatures agree."""
-    lists = (
-        prefix.groupBy("coordinate", "value")
-        .agg(F.min(F.struct("least", "class", "n")).alias("first"), F.count("*").alias("held"))
-        .where("held > 1")
+def _met_pairs(prefix: DataFrame, lists: DataFrame, classes: DataFrame, alike: int) -> DataFrame:
+    """Pairs (`class`, `other`) that meet in a list and agree in enough values of their whole signatures."""
+    short, long = lists.where(F.col("held") <= SHORT_LIST), lists.where(F.col("held") > SHORT_LIST)
+    # Both sides of a short list are one row per list, which holds a bounded number of classes.
+    grouped = prefix.join(short.select("code"), "code", "left_semi").groupBy("code").agg(F.collect_list(F.struct("class", "n")).alias("met"))
+    one = grouped.select("code", "met", F.explode("met").alias("one"))
+    beside = one.select("one", F.explode("met").alias("two")).where("one.class < two.class").select(
+        F.col("one.class").alias("class"), F.col("one.n").alias("n"), F.col("two.class").alias("other"), F.col("two.n").alias("other_n")
+    )
+    starred = prefix.join(long, "code").select(
+        "class", "n", F.col("first.class").alias("other"), F.col("first.n").alias("other_n")
     )
     pairs = (
-        prefix.join(lists, ["coordinate", "value"])
-        .select("class", "n", F.col("first.class").alias("other"), F.col("first.n").alias("other_n"))
-        .where(F.col("class") != F.col("other"))
+        beside.unionByName(starred.where(F.col("class") != F.col("other")))
         .where(_sizes_fit(alike))
+        .select(F.least("class", "other").alias("class"), F.greatest("class", "other").alias("other"))
         .groupBy("class", "other")
         .agg(F.count("*").alias("collisions"))
     )
@@ -163,20 +171,21 @@ def _star_pairs(prefix: DataFrame, classes: DataFrame, alike: int) -> DataFrame:
         pairs.join(signed.hint("merge"), "class")
         .join(signed.select(F.col("class").alias("other"), F.col("signature").alias("other_signature")).hint("merge"), "other")
         .where(agreed >= MATCHES)
+        .select("class", "other")
     )
 
 
-def _rest_pairs(prefix: DataFrame, sets: DataFrame, roots: DataFrame, alike: int) -> DataFrame:
-    """Pairs of classes that share a list but no component yet and whose sets may be alike.
+def _rest_pairs(crowded: DataFrame, sets: DataFrame, roots: DataFrame, alike: int) -> DataFrame:
+    """Pairs of classes that share a long list (`class`, `code`) but no component yet and whose sets may be alike.
 
     Shingles are ordered by how many of these classes have them. Alike sets share one of their first
     n - ceil(alike * n) + 1, and at the first shared one both have enough left for the overlap.
     """
-    rooted = prefix.join(roots.hint("merge"), prefix["class"] == roots["node"], "left").select(
-        "class", "coordinate", "value", F.coalesce("root", "class").alias("root")
+    rooted = crowded.join(roots.hint("merge"), crowded["class"] == roots["node"], "left").select(
+        "class", "code", F.coalesce("root", "class").alias("root")
     )
-    mixed = rooted.groupBy("coordinate", "value").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    left = stage(rooted.join(mixed.select("coordinate", "value"), ["coordinate", "value"], "left_semi").select("class", "root").distinct(), "unsettled")
+    mixed = rooted.groupBy("code").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    left = stage(rooted.join(mixed.select("code"), "code", "left_semi").select("class", "root").distinct(), "unsettled")
     own = left.join(sets.hint("merge"), "class").select("class", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     held = own.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
     first = F.col("n") - F.ceil(F.col("n") * alike / 100) + 1
@@ -227,11 +236,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "classes",
     )
     prefix = stage(_prefix(classes), "prefix")
-    posted = prefix.select("class", F.col("least").alias("doc_id")).distinct()
-    candidates = _sets(read.where(_maybe(posted)), words).join(posted.select("class").hint("merge"), "class", "left_semi")
+    lists = stage(
+        prefix.groupBy("code")
+        .agg(F.min(F.struct("least", "class", "n")).alias("first"), F.count("*").alias("held"))
+        .where("held > 1"),
+        "lists",
+    )
+    pairs = stage(_met_pairs(prefix, lists, classes, alike), "met-pairs")
+    crowded = stage(
+        prefix.join(lists.where(F.col("held") > SHORT_LIST).select("code"), "code", "left_semi").select("class", "code"), "long-lists"
+    )
+    asked = pairs.select("class").union(pairs.select("other")).union(crowded.select("class")).distinct()
+    wanted = stage(asked.join(classes.select("class", F.col("least").alias("doc_id")).hint("merge"), "class"), "wanted")
+    candidates = _sets(read.where(_maybe(wanted)), words).join(wanted.select("class").hint("merge"), "class", "left_semi")
     sets = stage(candidates.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
-    links = stage(_confirmed(_star_pairs(prefix, classes, alike), sets, alike), "star-links")
-    rest = stage(_confirmed(_rest_pairs(prefix, sets, components(links), alike), sets, alike), "rest-links")
+    links = stage(_confirmed(pairs, sets, alike), "links")
+    rest = stage(_confirmed(_rest_pairs(crowded, sets, components(links), alike), sets, alike), "rest-links")
     roots = components(links.unionByName(rest))
     named = roots.join(classes.select(F.col("class").alias("node"), "least").hint("merge"), "node")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
