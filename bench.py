@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -35,6 +36,7 @@ def main() -> None:
         shuffle_partitions=8 if CPUS == "*" else int(CPUS),
         extra={
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import views
-from pairwright.functions.labels import label_index, label_vector
+from pairwright.functions.labels import label_index, label_vector, row_log_loss
 from pairwright.functions.templates import JOINT, LOCALIZED, SPLIT, Template, judge_text, render
 from pairwright.functions.text import token_count, truncate_tokens
 from pairwright.functions.turns import decode_turns, encode_turns, key_text
@@ -42,6 +42,8 @@ from pairwright.operators.mining import (
     prompt_overlap,
     repeated_prompts,
 )
+from pairwright.operators.preference import check_corpus
+from pairwright.operators.preference import corpus_to_pairs as convert
 from pairwright.operators.packing import (
     assign_shards,
     batch_totals,
@@ -54,10 +56,10 @@ from pairwright.operators.packing import (
     restore_order,
     seeded_batches,
 )
-from pairwright.operators.fitting import fit_preference, predict_preference
+from pairwright.operators.fitting import FitSettings, fit_preference, predict_preference
 from pairwright.operators.ranks import global_rank, ordered_rank
-from pairwright.operators.scoring import tokenize_with
-from pairwright.plans.labelling import LENGTH_INPUTS, pseudo_label, score_all, with_lengths
+from pairwright.operators.scoring import score, tokenize_with
+from pairwright.plans.labelling import LENGTH_INPUTS, pseudo_label, with_lengths
 from pairwright.plans.recipes import (
     CORPORA_SOFT,
     EXTRA,
@@ -481,7 +483,7 @@ def io_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs, a corpus and predictions through every format; each must come back whole."""
     folded = stage(
         views.all_pairs(spark, sf_dir).withColumns(
-            {"id": F.col("row_id"), "fold": F.col("source_no")}
+            {"id": F.lit("a"), "fold": F.col("source_no")}
         ),
         "round_trip",
     )
@@ -489,14 +491,16 @@ def io_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, multi_line in (("csv", True), ("csv", False), ("parquet", True)):
         path = stage_path(spark, f"pairs-{kind}")
         write_pairs(folded, path, kind)
-        read = read_pairs(spark, path, kind, with_fold=True, multi_line=multi_line)
+        read = read_pairs(
+            spark, path, kind, with_fold=True, multi_line=multi_line, with_row_id=True
+        )
         lists = [as_json(c) for c in views.PAIR_TEXTS]
         label = F.lit(f"pairs-{kind}-{'whole' if multi_line else 'split'}").alias("route")
-        back.append(read.select(label, "id", "fold", *lists, *LABEL_COLUMNS))
+        back.append(read.select(label, F.col("row_id").alias("id"), "fold", *lists, *LABEL_COLUMNS))
     for kind in ("json", "parquet"):
         path = stage_path(spark, f"corpus-{kind}")
         write_corpus(views.corpus(spark, sf_dir), path, kind)
-        corpus = read_corpus(spark, path, CORPUS_NAMES[0], kind)
+        corpus = read_corpus(spark, path, CORPUS_NAMES[0], kind, keyed=True)
         back.append(
             corpus.select(
                 F.lit(f"corpus-{kind}").alias("route"),
@@ -529,6 +533,29 @@ def io_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, back)
 
 
+def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus file without keys to pairs, to a file, to soft labels."""
+    path, pairs_path = stage_path(spark, "raw-corpus"), stage_path(spark, "raw-pairs")
+    write_corpus(views.corpus(spark, sf_dir), path, keyed=False)
+    corpus = stage(read_corpus(spark, path, CORPUS_NAMES[0]), "keyed")
+    write_pairs(convert(corpus.drop("corpus"), views.SEED), pairs_path, "csv")
+    pairs = read_pairs(spark, pairs_path, "csv", multi_line=False, with_row_id=True)
+    return views.soft_labels(pairs).select(
+        "row_id",
+        *[as_json(c) for c in views.PAIR_TEXTS],
+        *[rounded(name) for name in LABEL_COLUMNS],
+    )
+
+
+def corpus_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of a corpus with its verdict; every fifth conversation has its last answer taken away."""
+    corpus = views.corpus(spark, sf_dir)
+    short = F.slice("rejected", F.lit(1), F.size("rejected") - 1)
+    short_rows = F.pmod(F.col("row_id").cast("long"), F.lit(5)) == 0
+    broken = corpus.withColumn("rejected", F.when(short_rows, short).otherwise(F.col("rejected")))
+    return check_corpus(broken).select("row_id", F.coalesce("reason", F.lit("ok")).alias("reason"))
+
+
 def pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = views.judged_pairs(spark, sf_dir).withColumnRenamed("id", "row_id")
     measured = with_lengths(pairs).select("row_id", *LENGTH_INPUTS, *LABEL_COLUMNS)
@@ -539,16 +566,51 @@ def pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = views.judged_pairs(spark, sf_dir).withColumnRenamed("id", "row_id")
     measured = stage(with_lengths(pairs).select("row_id", *LENGTH_INPUTS), "measured")
-    scored = score_all(measured, views.SCORERS, LENGTH_INPUTS)
+    scored = score(measured, views.SCORERS, LENGTH_INPUTS)
     return scored.select("row_id", "scorer", *[rounded(name) for name in PROBABILITY_COLUMNS])
 
 
 def fit_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit on four folds, score the fifth."""
+    """Fit on four folds, score the fifth.
+
+    Of a fitted model SQL can know that every scored row has a probability mass of 1; that the mean
+    probability of a class over the training rows is the class's share, as the intercepts are not
+    penalised; and what loss the shares alone have, which the model must beat.
+    """
     pairs = views.recipe_tables(spark, sf_dir, TRAINVAL)[TRAINVAL]
-    model = fit_preference(swap_augment(training_rows(pairs, 0)))
-    scored = predict_preference(model, validation_rows(pairs, 0), "words")
-    return scored.select("row_id", "scorer", *[rounded(name) for name in PROBABILITY_COLUMNS])
+    training = stage(swap_augment(training_rows(pairs, 0)), "mirrored")
+    model = fit_preference(training, FitSettings(steps=100))
+    mass = reduce(Column.__add__, [F.col(name) for name in PROBABILITY_COLUMNS])
+    scored = predict_preference(model, validation_rows(pairs, 0), "words").select(
+        "row_id", F.lit("mass").alias("what"), F.round(mass, 6).alias("value"), F.lit(True).alias("met")
+    )
+    fitted = predict_preference(model, training.withColumn("row_id", F.struct("row_id", *LABEL_COLUMNS)), "words")
+    labels = [F.col(f"row_id.{name}") for name in LABEL_COLUMNS]
+    means = fitted.agg(
+        *[F.avg(label).alias(f"share_{i}") for i, label in enumerate(labels)],
+        *[F.avg(name).alias(f"mean_{i}") for i, name in enumerate(PROBABILITY_COLUMNS)],
+        F.avg(row_log_loss(labels, [F.col(name) for name in PROBABILITY_COLUMNS])).alias("loss"),
+    )
+    shares = [F.col(f"share_{i}") for i in range(3)]
+    prior = -reduce(Column.__add__, [F.when(s > 0, s * F.log(s)).otherwise(0.0) for s in shares])
+    facts = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("row_id"),
+                F.lit("share").alias("what"),
+                F.round(share, 6).alias("value"),
+                (F.abs(F.col(f"mean_{i}") - share) < 0.01).alias("met"),
+            )
+            for i, (name, share) in enumerate(zip(LABEL_COLUMNS, shares))
+        ],
+        F.struct(
+            F.lit("prior").alias("row_id"),
+            F.lit("loss").alias("what"),
+            F.round(prior, 6).alias("value"),
+            (F.col("loss") < prior).alias("met"),
+        ),
+    )
+    return scored.unionByName(means.select(F.inline(facts)))
 
 
 QUERIES: dict[str, Query] = {
@@ -595,6 +657,8 @@ QUERIES: dict[str, Query] = {
     "recipe_stage3": recipe_counts(STAGE3, ("train", "valid"), (TRAINVAL, EXTRA)),
     "recipe_leak_check": recipe_leak_check,
     "io_round_trip": io_round_trip,
+    "raw_corpus": raw_corpus,
+    "corpus_check": corpus_check,
     "score_rows": score_rows,
     "pseudo_label": pseudo_labels,
     "fit_and_score": fit_and_score,

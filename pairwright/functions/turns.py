@@ -12,8 +12,8 @@ def encode_turns(turns: Column) -> Column:
 
 
 def decode_turns(text: Column) -> Column:
-    """JSON text to list of turns."""
-    return F.from_json(text, "array<string>")
+    """JSON text to list of turns. Text that is no such list ends the job; a null stays null."""
+    return F.from_json(text, "array<string>", {"mode": "FAILFAST"})
 
 
 def digest(text: Column) -> Column:
@@ -45,5 +45,14 @@ def texts_of(conversation: Column, role: str) -> Column:
 
 
 def seeded_hash(seed: int, row_id: Column) -> Column:
-    """32 hex digits that depend on the seed and the row only, never on row order."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
+    """32 hex digits that depend on the seed and the row only, never on row order.
+
+    A null key ends the job: all such rows would hash alike.
+    """
+    return F.md5(F.concat(F.lit(f"{seed}:"), present_key(row_id)))
+
+
+def present_key(row_id: Column) -> Column:
+    """A row key as text; a null one ends the job."""
+    stop = F.raise_error(F.lit("row without a key")).cast("string")
+    return F.when(row_id.isNull(), stop).otherwise(row_id.cast("string"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import softmax
+from pairwright.functions.turns import present_key
 from pairwright.schemas import LABEL_COLUMNS, PROBABILITY_COLUMNS
 
 LOGIT_COLUMNS = ("logit_a", "logit_b", "logit_tie")
@@ -64,12 +65,15 @@ def attach_predictions(pairs: DataFrame, means: DataFrame) -> DataFrame:
 
 
 def concat_sources(*sources: DataFrame) -> DataFrame:
-    """Tables one after the other. `source_no` and the native id make the new row key."""
+    """Tables one after the other. `source_no` and the native id make the new row key.
+
+    A row without a key ends the job: it could not be told from others.
+    """
     numbered = [
         one.select(
             F.lit(number).alias("source_no"),
             *[c for c in one.columns if c != "row_id"],
-            F.concat_ws(":", F.lit(number), F.col("row_id").cast("string")).alias("row_id"),
+            F.concat_ws(":", F.lit(number), present_key(F.col("row_id"))).alias("row_id"),
         )
         for number, one in enumerate(sources)
     ]

@@ -8,22 +8,20 @@ from functools import reduce
 from itertools import accumulate
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.labels import label_index
 from pairwright.functions.turns import key_text, seeded_hash
 from pairwright.operators.joins import salted_join
-from pairwright.operators.ranks import rank_within
+from pairwright.operators.ranks import rank_within, running_before
 from pairwright.operators.skew import HOT_ROWS
 from pairwright.staging import stage
 
 STRATUM = ("n_a", "n_b", "n_tie")
 
-# Steps of the golden ratio spread evenly over an interval, wherever they begin.
-GOLDEN = 0.6180339887498949
-# A prompt is big if it holds more than one part in BIG_SHARE of a fold.
-BIG_SHARE = 10
+# Tasks that share the prompts of one size when these meet what lies before them.
+SPREAD = 64
 
 
 def prompt_groups(pairs: DataFrame) -> DataFrame:
@@ -35,58 +33,61 @@ def prompt_groups(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _in_dealing_order(groups: DataFrame, seed: int, hot_rows: int) -> DataFrame:
-    """`_turn`: 0-based place among all prompts, big ones first, like by like.
-
-    Prompts with the same class counts form a stratum and are ranked inside it
-    by many tasks; only the list of strata is put in order by one.
-    """
+def _hash_ranked(groups: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    """`_rank`: 1-based place of a prompt among those with equal `keys`, by seeded hash."""
     hashed = groups.withColumn("_hash", seeded_hash(seed, key_text(F.col("prompt_key"))))
-    ranked = rank_within(
+    return rank_within(
         hashed,
-        keys=list(STRATUM),
+        keys=keys,
         order=["_hash", "prompt_key"],
         bucket=F.substring("_hash", 1, 3),
         rank="_rank",
         size="_size",
-        hot_rows=hot_rows,
-    )
-    # Distinct class counts: a list of S of them takes more than S rows of its
-    # own to come about, and real ones number a few hundred.
-    strata = groups.groupBy(*STRATUM, "n_rows").agg(F.count("*").alias("_n"))
-    before = (
-        Window.partitionBy(F.lit(0))
-        .orderBy(F.desc("n_rows"), F.desc("n_a"), F.desc("n_b"))
-        .rowsBetween(Window.unboundedPreceding, -1)
+    ).drop("_hash", "_size")
+
+
+def _dealt_by_rows(several: DataFrame, k: int, seed: int) -> DataFrame:
+    """Prompts of several rows with their fold.
+
+    Laid end to end by falling size, a prompt goes to the fold in whose share of the rows its middle lies.
+    """
+    sizes = several.groupBy("n_rows").agg(F.count("*").alias("_n"))
+    laid = sizes.select("n_rows", (-F.col("n_rows")).alias("_falling"), (F.col("n_rows") * F.col("_n")).alias("_rows"))
+    # The most common size may be that of nearly all prompts, so each size is there once per piece.
+    starts = running_before(laid, ["_falling"], "_rows", "_start").select(
+        "n_rows", "_start", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_piece")
     )
-    starts = strata.select(
-        *STRATUM, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    total = several.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"]
+    ranked = _hash_ranked(several, ["n_rows"], seed).withColumn(
+        "_piece", F.pmod(F.xxhash64("prompt_key"), F.lit(SPREAD)).cast("int")
     )
+    # Twice the middle, so that all numbers are whole.
+    middle = 2 * F.col("_start") + (2 * F.col("_rank") - 1) * F.col("n_rows")
     return (
-        ranked.join(starts, list(STRATUM))
-        .withColumn("_turn", F.col("_start") + F.col("_rank") - 1)
-        .drop("_hash", "_start")
+        ranked.join(starts, ["n_rows", "_piece"])
+        .withColumn("fold", _whole_parts(k * middle, max(1, 2 * total)))
+        .select("prompt_key", *STRATUM, "n_rows", "fold")
     )
 
 
-def _place(turn: Column) -> Column:
-    """A number in [0, 1) per turn; any run of turns fills the interval evenly."""
-    steps = turn * GOLDEN
-    return steps - F.floor(steps)
+def _whole_parts(value: Column, part: int) -> Column:
+    """Whole-number division."""
+    return ((value - F.pmod(value, F.lit(part))) / part).cast("int")
+
 
+def _fill(held: Sequence[int], amount: int) -> list[int]:
+    """How much of `amount` goes to the folds up to each one, without the last, so that all rise to one level.
 
-def _shares(gaps: Sequence[int]) -> list[float]:
-    """Running shares of the gaps, without the last, which is 1."""
-    total = sum(gaps)
-    if total == 0:
-        return [(fold + 1) / len(gaps) for fold in range(len(gaps) - 1)]
-    return [running / total for running in list(accumulate(gaps))[:-1]]
+    A fold that is above the level already gets nothing.
+    """
+    level = min((amount + below) / folds for folds, below in enumerate(accumulate(sorted(held)), 1))
+    gaps = [max(0.0, level - one) for one in held]
+    return [math.floor(running + 1e-9) for running in list(accumulate(gaps))[:-1]]
 
 
-def _passed(value: Column, limits: Sequence[float], strictly: bool) -> Column:
-    """How many of the ascending `limits` the value has reached (or passed)."""
-    reached = [(value > one if strictly else value >= one).cast("int") for one in limits]
-    return reduce(add, reached, F.lit(0))
+def _passed(value: Column, limits: Sequence[int]) -> Column:
+    """How many of the ascending `limits` the value has passed."""
+    return reduce(add, [(value > one).cast("int") for one in limits], F.lit(0))
 
 
 def _loads(dealt: DataFrame, k: int) -> list[dict[str, int]]:
@@ -99,41 +100,26 @@ def _loads(dealt: DataFrame, k: int) -> list[dict[str, int]]:
     ]
 
 
-def group_folds(
-    groups: DataFrame, k: int = 5, seed: int = 0, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def group_folds(groups: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """(prompt_key, n_a, n_b, n_tie, n_rows, fold) from `prompt_groups`, one row per prompt.
 
-    In three rounds, each making up for the one before. The few prompts with a
-    large share of the rows are dealt to the folds evenly; the other prompts of
-    several rows in the measure each fold is behind its even share; the one-row
-    prompts in the measure it is behind its share of their class.
+    Prompts of several rows are dealt by their rows, each fold an even share of them; the one-row prompts of
+    each class then fill the folds up to one level of that class.
     """
-    ordered = stage(_in_dealing_order(groups, seed, hot_rows), "dealing-order")
-    sums = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in STRATUM]
+    several = stage(_dealt_by_rows(groups.where("n_rows > 1"), k, seed), "several")
     singles = [
         F.count_if((F.col("n_rows") == 1) & (F.col(name) == 1)).alias(f"single_{name}")
         for name in STRATUM
     ]
-    whole = ordered.agg(*sums, *singles).first()
-    total = sum(whole[name] for name in STRATUM)
-    place = _place(F.col("_turn"))
-
-    even = _passed(place, _shares([1] * k), strictly=False)
-    big = (F.col("n_rows") > 1) & (F.col("n_rows") * (BIG_SHARE * k) > total)
-    held = _loads(ordered.where(big).withColumn("fold", even), k)
-    gaps = [max(0, total - k * sum(one.values())) for one in held]
-    several = F.when(big, even).otherwise(_passed(place, _shares(gaps), strictly=False))
-
-    held = _loads(ordered.where("n_rows > 1").withColumn("fold", several), k)
-    single = F.lit(0)
+    whole = groups.agg(*singles).first()
+    held = _loads(several, k)
+    fold = F.lit(0)
     for name in STRATUM:
-        shares = _shares([max(0, whole[name] - k * one[name]) for one in held])
-        limits = [math.floor(whole[f"single_{name}"] * share) for share in shares]
-        ranked = _passed(F.col("_rank"), limits, strictly=True)
-        single = F.when(F.col(name) == 1, ranked).otherwise(single)
-    fold = F.when(F.col("n_rows") > 1, several).otherwise(single)
-    return ordered.select("prompt_key", *STRATUM, "n_rows", fold.cast("int").alias("fold"))
+        ranked = _passed(F.col("_rank"), _fill([one[name] for one in held], whole[f"single_{name}"]))
+        fold = F.when(F.col(name) == 1, ranked).otherwise(fold)
+    alone = _hash_ranked(groups.where("n_rows = 1"), list(STRATUM), seed)
+    dealt = alone.select("prompt_key", *STRATUM, "n_rows", fold.cast("int").alias("fold"))
+    return several.unionByName(dealt)
 
 
 def assign_folds(
@@ -147,7 +133,7 @@ def assign_folds(
     groups = stage(prompt_groups(pairs), "prompt-groups")
     return salted_join(
         pairs,
-        group_folds(groups, k, seed, hot_rows).select("prompt_key", "fold"),
+        group_folds(groups, k, seed).select("prompt_key", "fold"),
         "prompt_key",
         "inner",
         ["id"],
@@ -166,12 +152,16 @@ def fold_sizes(pairs: DataFrame) -> DataFrame:
 
 
 def filter_rows(df: DataFrame, predicate: str | None) -> DataFrame:
-    """Rows that meet a predicate given as text, such as "fold != 0"."""
+    """Rows that meet a predicate given as text, such as "fold != 0".
+
+    This is SQL: a comparison with null is not met, so rows without a fold are on neither side.
+    `training_rows` takes them in.
+    """
     return df if predicate is None else df.where(F.expr(predicate))
 
 
 def training_rows(df: DataFrame, fold: int) -> DataFrame:
-    return filter_rows(df, f"fold != {fold}")
+    return filter_rows(df, f"NOT (fold <=> {fold})")
 
 
 def validation_rows(df: DataFrame, fold: int) -> DataFrame:

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.turns import key_text, seeded_hash, turns_key
+from pairwright.operators.filters import may_be_among
 from pairwright.operators.joins import salted_join
 from pairwright.operators.ranks import rank_within
 from pairwright.operators.skew import HOT_ROWS, key_counts
+from pairwright.staging import stage
 
 
 def candidate_keys(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -65,17 +67,14 @@ def dedup_keys(keys: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 def dedup_first(rows: DataFrame) -> DataFrame:
     """Whole rows: the first per (prompt, response) by `row_id`.
 
-    The digest leads the grouping columns so that sorting compares 32 bytes;
-    the real lists follow it, so equality is theirs.
+    The copies are found by digests; whole rows only meet the list of later copies, by a hash join, so no
+    text is sorted, and none is moved where that list is small.
     """
-    rest = [c for c in rows.columns if c not in ("prompt", "response")]
-    ordered = ["row_id", *[c for c in rest if c != "row_id"]]
     both = turns_key(F.concat(F.array(F.to_json("prompt")), F.col("response")))
-    return (
-        rows.groupBy(both.alias("_key"), "prompt", "response")
-        .agg(F.min(F.struct(*ordered)).alias("_first"))
-        .select("_first.*", "prompt", "response")
-    )
+    keys = rows.select("row_id", both.alias("_key"))
+    several = keys.groupBy("_key").agg(F.min("row_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    later = keys.join(several, "_key").where("row_id <> _first").select("row_id")
+    return rows.join(later.hint("shuffle_hash"), "row_id", "left_anti")
 
 
 def first_per_model(keys: DataFrame, seed: int, carry: Sequence[str] = ()) -> DataFrame:
@@ -94,7 +93,7 @@ def first_per_model(keys: DataFrame, seed: int, carry: Sequence[str] = ()) -> Da
 
 
 def pair_plan(
-    keys: DataFrame, seed: int = 42, carry: Sequence[str] = (), hot_rows: int = HOT_ROWS
+    keys: DataFrame, seed: int = 42, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Which row meets which: models 1 and 2 of a prompt, 3 and 4, and so on.
 
@@ -103,7 +102,7 @@ def pair_plan(
     an odd model is left over.
     """
     firsts = first_per_model(dedup_keys(keys, carry), seed, carry)
-    # A prompt answered by very many models is numbered in 4,096 slots.
+    # A prompt answered by very many models is numbered in up to 4,096 slots.
     ranked = rank_within(
         firsts,
         keys=["prompt_key"],
@@ -111,7 +110,6 @@ def pair_plan(
         bucket=F.substring("shuffle_key", 1, 3),
         rank="model_no",
         size="n_models",
-        hot_rows=hot_rows,
     ).where(F.col("n_models") >= 2)
     member = F.struct("model_no", "row_id", "model", "response_key", *carry)
     pair_no = F.expr("(model_no - 1) div 2")
@@ -142,8 +140,11 @@ def fetch_texts(plan: DataFrame, rows: DataFrame) -> DataFrame:
 
     One pass over `rows`: both sides are looked up together and folded back by
     pair, side A bringing the plan's columns along. A candidate row belongs to
-    one pair at most, so no key is hot.
+    one pair at most, so no key is hot. The plan holds no texts and is written
+    first: a filter made of its rows keeps the texts of all others from being
+    moved.
     """
+    plan = stage(plan, "pair-plan")
     at_a = F.col("side") == "a"
     sides = plan.withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b")))).select(
         "id",
@@ -151,7 +152,9 @@ def fetch_texts(plan: DataFrame, rows: DataFrame) -> DataFrame:
         F.when(at_a, F.col("row_a")).otherwise(F.col("row_b")).alias("row_id"),
         F.when(at_a, F.struct(*plan.columns)).alias("_plan"),
     )
-    found = sides.join(rows.select("row_id", "prompt", "response"), "row_id")
+    chosen = plan.select(F.col("row_a").alias("row_id")).union(plan.select("row_b"))
+    texts = rows.where(may_be_among(chosen, "row_id")).select("row_id", "prompt", "response")
+    found = sides.join(texts, "row_id")
 
     def of(side: str, column: str) -> Column:
         return F.any_value(F.when(F.col("side") == side, F.col(column)), F.lit(True))

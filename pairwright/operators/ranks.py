@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.turns import seeded_hash
-from pairwright.operators.skew import HOT_ROWS, hot_keys, key_counts
 from pairwright.staging import stage
 
 _PARTITION_BITS = 33  # monotonically_increasing_id: partition above, row position below
@@ -36,39 +35,45 @@ def rank_within(
     bucket: Column,
     rank: str = "rank",
     size: str = "group_size",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """1-based position of each row among the rows of its keys, and their number.
 
-    An ordinary group is numbered in one window. A hot one is cut by `bucket`
-    and numbered by as many tasks: `bucket` must not fall as `order` rises, and
-    its values must be few (leading digits of a hash).
+    Every group is cut by `bucket` and numbered by as many tasks as that has values:
+    `bucket` must not fall as `order` rises, and its values must be few (leading
+    digits of a hash). Keys must not be null.
     """
-    counts = key_counts(df, keys)
-    # HOT_KEYS rows by construction, whatever the data.
-    hot = F.broadcast(hot_keys(counts, keys, hot_rows).withColumnRenamed("n_rows", "_rows"))
-    slotted = df.join(hot, list(keys), "left").withColumn(
-        "_slot", F.when(F.col("_rows").isNotNull(), bucket).otherwise("")
-    )
-    group = Window.partitionBy(*keys, "_slot")
-    numbered = slotted.withColumns(
-        {
-            "_inside": F.row_number().over(group.orderBy(*order)),
-            "_here": F.count("*").over(group),
-        }
+    slotted = df.withColumn("_slot", bucket)
+    inside = Window.partitionBy(*keys, "_slot").orderBy(*order)
+    counts = slotted.groupBy(*keys, "_slot").agg(F.count("*").alias("_n"))
+    # As many rows per keys as `bucket` has values.
+    whole = counts.withColumn(size, F.sum("_n").over(Window.partitionBy(*keys)))
+    return (
+        slotted.withColumn("_inside", F.row_number().over(inside))
+        .join(_offsets(whole, keys, "_slot"), [*keys, "_slot"])
+        .withColumn(rank, F.col("_before") + F.col("_inside"))
+        .drop("_slot", "_inside", "_before")
     )
-    hot_slots = (
-        df.join(hot.select(*keys), list(keys), "left_semi")
-        .groupBy(*keys, bucket.alias("_slot"))
-        .agg(F.count("*").alias("_n"))
+
+
+def running_before(df: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """`df` with the sum of `value` over all rows before each one, in ascending order.
+
+    Rows are sorted by range; what the ranges before hold is a number per range. `order` must be unique per
+    row. The sorted rows are staged, because sampled range bounds would differ between two evaluations.
+    """
+    placed = (
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_place", F.monotonically_increasing_id())
     )
-    offsets = _offsets(hot_slots, keys, "_slot").select(*keys, "_slot", "_before")
+    staged = stage(placed, "running").withColumn("_slot", F.shiftright("_place", _PARTITION_BITS))
+    sums = staged.groupBy("_slot").agg(F.sum(value).alias("_n"))
+    inside = Window.partitionBy("_slot").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        # The rows are partitioned by (keys, slot) already; only the offsets move.
-        numbered.join(offsets, [*keys, "_slot"], "left")
-        .withColumn(rank, F.coalesce("_before", F.lit(0)) + F.col("_inside"))
-        .withColumn(size, F.coalesce("_rows", "_here"))
-        .drop("_slot", "_inside", "_here", "_before", "_rows")
+        staged.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(_offsets(sums, [], "_slot"), "_slot")
+        .withColumn(out, F.col(out) + F.col("_before"))
+        .drop("_place", "_slot", "_before")
     )
 
 

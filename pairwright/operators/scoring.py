@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,40 +20,81 @@ Scorer = Callable[[pd.DataFrame], np.ndarray]
 Tokenizer = Callable[[pd.Series], tuple[pd.Series, pd.Series]]
 
 
+_made: dict[str, Scorer] = {}
+
+
+@dataclass(frozen=True)
+class MadeOnce:
+    """A scorer that each Python worker makes once, by `factory`, and keeps under `name`.
+
+    Tasks carry the factory instead of the weights it loads.
+    """
+
+    name: str
+    factory: Callable[[], Scorer]
+
+    def __call__(self, frame: pd.DataFrame) -> np.ndarray:
+        if self.name not in _made:
+            _made[self.name] = self.factory()
+        return _made[self.name](frame)
+
+
+def _logits(scorer: Scorer, frame: pd.DataFrame) -> np.ndarray:
+    return np.asarray(scorer(frame), dtype="float64").reshape(len(frame), 3)
+
+
 def score_logits(
-    df: DataFrame, scorer: Scorer, inputs: Sequence[str], name: str, row_id: str = "row_id"
+    df: DataFrame, scorers: Mapping[str, Scorer], inputs: Sequence[str], row_id: str = "row_id"
 ) -> DataFrame:
-    """(row_id, scorer, three logits). Results carry their key, so order does not matter.
+    """(row_id, scorer, three logits), a row per scorer, in one pass over `df`.
 
-    Only `inputs` travel to Python. What the scorer holds (weights) is pickled
-    with it once per task.
+    Results carry their key, so order does not matter. Only `inputs` travel to
+    Python. What a scorer holds is pickled with it once per task; see `MadeOnce`.
     """
     id_type = df.schema[row_id].dataType
     schema = T.StructType(
-        [T.StructField("row_id", id_type)]
+        [T.StructField("row_id", id_type), T.StructField("scorer", T.StringType())]
         + [T.StructField(column, T.DoubleType()) for column in LOGIT_COLUMNS]
     )
     columns = list(inputs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            logits = np.asarray(scorer(frame[columns]), dtype="float64").reshape(len(frame), 3)
-            out = {"row_id": frame["_id"]}
-            out.update({column: logits[:, i] for i, column in enumerate(LOGIT_COLUMNS)})
-            yield pd.DataFrame(out)
+            for name, scorer in scorers.items():
+                logits = _logits(scorer, frame[columns])
+                out = {"row_id": frame["_id"], "scorer": name}
+                out.update({column: logits[:, i] for i, column in enumerate(LOGIT_COLUMNS)})
+                yield pd.DataFrame(out)
 
-    narrow = df.select(F.col(row_id).alias("_id"), *columns)
-    return narrow.mapInPandas(run, schema).withColumn("scorer", F.lit(name))
+    return df.select(F.col(row_id).alias("_id"), *columns).mapInPandas(run, schema)
 
 
 def score(
-    df: DataFrame, scorer: Scorer, inputs: Sequence[str], name: str, row_id: str = "row_id"
+    df: DataFrame, scorers: Mapping[str, Scorer], inputs: Sequence[str], row_id: str = "row_id"
 ) -> DataFrame:
     """(row_id, scorer, three probabilities)."""
-    logits = score_logits(df, scorer, inputs, name, row_id)
+    logits = score_logits(df, scorers, inputs, row_id)
     return softmax_probs(logits).select("row_id", "scorer", *PROBABILITY_COLUMNS)
 
 
+def mean_probabilities(scorers: Mapping[str, Scorer], inputs: Sequence[str]) -> Column:
+    """The scorers' mean probabilities of a row, as a struct: narrow, so no row is moved for it."""
+    columns = list(inputs)
+
+    def run(*values: pd.Series) -> pd.DataFrame:
+        frame = pd.DataFrame(dict(zip(columns, values)))
+        total = np.zeros((len(frame), 3))
+        for scorer in scorers.values():
+            logits = _logits(scorer, frame)
+            powers = np.exp(logits - logits.max(axis=1, keepdims=True))
+            total += powers / powers.sum(axis=1, keepdims=True)
+        return pd.DataFrame(total / len(scorers), columns=list(PROBABILITY_COLUMNS))
+
+    # Types are given here: postponed annotations of a nested function cannot be read.
+    run.__annotations__ = {"values": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, ", ".join(f"{name} double" for name in PROBABILITY_COLUMNS))(*columns)
+
+
 def tokenize_with(tokenizer: Tokenizer) -> Callable[[Column], Column]:
     """A column function text -> struct(text, n_tokens) around a tokenizer of the user's."""
 

@@ -1,9 +1,8 @@
-"""Soft labels: several scorers, their mean, the labels replaced."""
+"""Soft labels: the mean of several scorers in place of the labels."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,22 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import token_count
-from pairwright.operators.ensemble import attach_predictions, ensemble_mean
-from pairwright.operators.scoring import Scorer, score
-
-
-def score_all(pairs: DataFrame, scorers: Mapping[str, Scorer], inputs: Sequence[str]) -> DataFrame:
-    """Predictions of every scorer, one below the other."""
-    scored = [score(pairs, scorer, inputs, name) for name, scorer in scorers.items()]
-    return reduce(DataFrame.unionByName, scored)
+from pairwright.operators.scoring import Scorer, mean_probabilities
+from pairwright.schemas import LABEL_COLUMNS, PROBABILITY_COLUMNS
 
 
 def pseudo_label(
     pairs: DataFrame, scorers: Mapping[str, Scorer], inputs: Sequence[str]
 ) -> DataFrame:
-    """`pairs` with the scorers' mean probabilities as labels."""
-    means = ensemble_mean(score_all(pairs, scorers, inputs), list(scorers))
-    return attach_predictions(pairs, means)
+    """`pairs` with the scorers' mean probabilities as labels, in one pass.
+
+    Predictions that come from files are attached by key: `ensemble_mean`, `attach_predictions`.
+    """
+    scored = pairs.withColumn("_mean", mean_probabilities(scorers, inputs))
+    labels = {label: F.col(f"_mean.{name}") for label, name in zip(LABEL_COLUMNS, PROBABILITY_COLUMNS)}
+    return scored.withColumns(labels).drop("_mean")
 
 
 # What the length scorers read: numbers, so no text goes to Python.

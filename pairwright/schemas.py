@@ -40,6 +40,7 @@ PAIR_TEXT = _struct(
 )
 
 FOLD = T.StructField("fold", T.IntegerType())
+ROW_KEY = T.StructField("row_id", T.StringType())
 
 CHAT_LOG = _struct(("model", T.StringType()), ("conversation", CONVERSATION))
 

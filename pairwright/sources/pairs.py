@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwright.functions.turns import decode_turns, encode_turns
-from pairwright.schemas import FOLD, PAIR_TEXT, TURN_COLUMNS
+from pairwright.schemas import FOLD, PAIR_TEXT, ROW_KEY, TURN_COLUMNS
 
 # RFC 4180 quoting: a quote inside a field is doubled.
 _CSV = {"header": "true", "quote": '"', "escape": '"'}
 
 
 def pair_columns(df: DataFrame) -> list[str]:
-    """The pair columns in file order, with `fold` last where it exists."""
+    """The pair columns in file order, then `row_id` and `fold` where they exist."""
     names = [field.name for field in PAIR_TEXT.fields]
-    return names + ([FOLD.name] if FOLD.name in df.columns else [])
+    return names + [more.name for more in (ROW_KEY, FOLD) if more.name in df.columns]
 
 
 def encode_pairs(pairs: DataFrame) -> DataFrame:
@@ -50,17 +50,26 @@ def write_pairs(pairs: DataFrame, path: str, kind: str, mode: str = "error") ->
 
 
 def read_pairs(
-    spark: SparkSession, path: str, kind: str, with_fold: bool = False, multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    kind: str,
+    with_fold: bool = False,
+    multi_line: bool = True,
+    with_row_id: bool = False,
 ) -> DataFrame:
     """Read a pair table with its explicit schema.
 
     `multi_line` lets fields of foreign files hold line breaks, at the price of
     one task per file. JSON text never holds any, so files written by
-    `write_pairs` can be read with it off, and are then split by blocks.
+    `write_pairs` can be read with it off, and are then split by blocks. A file
+    whose header names other columns or another order ends the job, as does a
+    row that does not fit.
     """
-    schema = T.StructType([*PAIR_TEXT.fields, *([FOLD] if with_fold else [])])
+    more = [*([ROW_KEY] if with_row_id else []), *([FOLD] if with_fold else [])]
+    schema = T.StructType([*PAIR_TEXT.fields, *more])
     if kind == "csv":
         options = {**_CSV, "nullValue": "\\N", "emptyValue": "", "multiLine": str(multi_line)}
+        options |= {"enforceSchema": "false", "mode": "FAILFAST"}
         text = spark.read.schema(schema).options(**options).csv(path)
     elif kind == "parquet":
         text = spark.read.schema(schema).parquet(path)

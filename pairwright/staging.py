@@ -19,7 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named:
         return named
-    if not context.master.startswith("local"):
+    # One machine only: "local" or "local[n]", not a local cluster.
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="pairwright-"))
     return context.getCheckpointDir()

@@ -13,13 +13,14 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         app="tests",
         master="local[8]",
         shuffle_partitions=4,
         extra={
             "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -6,7 +6,12 @@ import pytest
 
 from checks import views
 from checks.queries import QUERIES
-from pairwright.operators.mining import candidate_keys, pair_plan
+from pairwright.operators.folds import group_folds, prompt_groups
+from pairwright.operators.mining import candidate_keys, dedup_first, pair_plan
+from pairwright.operators.scoring import score
+from pairwright.plans.labelling import LENGTH_INPUTS, pseudo_label
+from pairwright.schemas import LABEL_COLUMNS
+from pairwright.staging import stage
 
 
 def planned(df):
@@ -40,6 +45,42 @@ def test_narrow_operators_do_not_shuffle(spark, sf_dir):
         assert "Exchange" not in planned(QUERIES[name](spark, sf_dir))
 
 
-def test_dedup_combines_before_the_shuffle(spark, sf_dir):
-    plan = planned(QUERIES["dedup_first"](spark, sf_dir))
-    assert plan.count("partial_min") >= 1 and plan.count("Exchange hashpartitioning") == 1
+@pytest.fixture
+def no_broadcasts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_dedup_sorts_no_texts(spark, sf_dir, no_broadcasts):
+    plan = planned(dedup_first(views.candidates(spark, sf_dir)))
+    assert "partial_min" in plan
+    for line in plan.splitlines():
+        if re.search(r" Sort |SortAggregate", line):
+            assert "response" not in line and "text" not in line
+
+
+def test_texts_are_filtered_before_they_move(spark, sf_dir, no_broadcasts):
+    plan = planned(views.judged_pairs(spark, sf_dir))
+    lines = plan.splitlines()
+    (at,) = [i for i, line in enumerate(lines) if "ArrowEvalPython" in line]
+    above = [line for line in lines[:at] if "Exchange" in line]
+    below = lines[at:]
+    assert above and any("FileScan parquet" in line and "text" in line for line in below)
+    scan = next(i for i, line in enumerate(below) if "FileScan parquet" in line)
+    assert not any("Exchange" in line for line in below[:scan])
+
+
+def test_scoring_is_one_scan_without_a_shuffle(spark):
+    pairs = spark.range(9).selectExpr("id AS row_id", "1 AS tokens_a", "2 AS tokens_b", *[f"0D AS {c}" for c in LABEL_COLUMNS])
+    plan = planned(pseudo_label(pairs, views.SCORERS, LENGTH_INPUTS))
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    scored = planned(score(pairs, views.SCORERS, LENGTH_INPUTS))
+    assert "Exchange" not in scored and scored.count("Range (0") == 1
+
+
+def test_folds_need_no_single_task(spark, sf_dir):
+    groups = stage(prompt_groups(views.judged_plan(spark, sf_dir)), "groups")
+    plan = planned(group_folds(groups, 5, 0))
+    # The one window over everything holds a row per range of sizes; strata are joined by piece.
+    assert not re.search(r"SortMergeJoin \[n_a#\d+L?, n_b#\d+L?, n_tie#\d+L?\]", plan)

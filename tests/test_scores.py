@@ -18,7 +18,7 @@ from pairwright.functions.labels import (
 from pairwright.operators.ensemble import attach_predictions, concat_sources, ensemble_mean
 from pairwright.operators.fitting import fit_preference, predict_preference
 from pairwright.operators.losses import log_loss, micro_batch_loss, rolling_loss, weighted_loss
-from pairwright.operators.scoring import score, tokenize_with
+from pairwright.operators.scoring import MadeOnce, score, tokenize_with
 from pairwright.plans.labelling import LENGTH_INPUTS, length_scorer, pseudo_label, with_lengths
 from pairwright.schemas import LABEL_COLUMNS, PROBABILITY_COLUMNS
 
@@ -116,7 +116,7 @@ def test_score_keeps_keys_and_sums_to_one(spark):
         v = frame["v"].to_numpy()
         return np.stack([v, -v, np.zeros_like(v)], axis=1)
 
-    rows = {r.row_id: r for r in score(table, scorer, ["v"], "mine").collect()}
+    rows = {r.row_id: r for r in score(table, {"mine": MadeOnce("mine", lambda: scorer)}, ["v"]).collect()}
     assert len(rows) == 500
     for i, row in rows.items():
         assert row.scorer == "mine"

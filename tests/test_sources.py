@@ -5,6 +5,8 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from pairwright.functions.turns import seeded_hash
+from pairwright.operators.ensemble import concat_sources
 from pairwright.schemas import PAIR, PAIR_TEXT
 from pairwright.sources.corpora import read_chat_log, read_corpus, write_corpus
 from pairwright.sources.pairs import read_pairs, write_pairs
@@ -64,7 +66,7 @@ def test_corpus_comes_back(spark, tmp_path, kind):
     corpus = spark.createDataFrame(rows, f"row_id string, chosen {chat}, rejected {chat}")
     path = str(tmp_path / "corpus")
     write_corpus(corpus, path, kind)
-    back = read_corpus(spark, path, "mine", kind)
+    back = read_corpus(spark, path, "mine", kind, keyed=True)
     assert back.drop("corpus").collect() == corpus.collect()
     assert back.first().corpus == "mine"
 
@@ -74,7 +76,56 @@ def test_chat_log(spark, tmp_path):
     chat = "array<struct<role:string,content:string>>"
     log = spark.createDataFrame([("m", [("user", "q")], 3)], f"model string, conversation {chat}, extra int")
     log.write.parquet(path)
-    assert read_chat_log(spark, path).columns == ["model", "conversation"]
+    assert read_chat_log(spark, path).columns == ["row_id", "model", "conversation"]
+
+
+@pytest.mark.parametrize("kind", ["json", "parquet"])
+def test_files_without_keys_get_stable_ones(spark, tmp_path, kind):
+    chat = "array<struct<role:string,content:string>>"
+    rows = [([("user", f"q{i % 40}")], [("user", "q"), ("assistant", None)]) for i in range(120)] + [(None, [])]
+    corpus = spark.createDataFrame(rows, f"chosen {chat}, rejected {chat}")
+    found = []
+    for parts in (1, 5):
+        path = str(tmp_path / f"raw{parts}")
+        corpus.repartition(parts).write.format(kind).save(path)
+        found.append(sorted(tuple(r) for r in read_corpus(spark, path, "mine", kind).selectExpr("row_id", "to_json(chosen)").collect()))
+    assert found[0] == found[1]
+    keys = [key for key, _ in found[0]]
+    assert len(set(keys)) == 121 and {key.split("-")[1] for key in keys} == {"1", "2", "3"}
+
+
+def test_rows_without_keys_stop_the_job(spark):
+    rows = spark.createDataFrame([(None, 1)], "row_id string, v int")
+    with pytest.raises(Exception, match="row without a key"):
+        rows.select(seeded_hash(1, F.col("row_id"))).collect()
+    with pytest.raises(Exception, match="row without a key"):
+        concat_sources(rows, rows).collect()
+
+
+def test_malformed_and_reordered_files_stop_the_job(spark, pairs, tmp_path):
+    header = PAIR_TEXT.fieldNames()
+    fine = ["7", "m", "n", '"[""q""]"', '"[""a""]"', '"[""b""]"', "1", "0", "0"]
+    cases = {
+        "list": (header, [*fine[:3], '"[""q"""', *fine[4:]]),
+        "number": (header, [*fine[:6], "one", "0", "0"]),
+        "order": ([header[0], header[2], header[1], *header[3:]], fine),
+    }
+    for name, (columns, row) in cases.items():
+        file = tmp_path / f"{name}.csv"
+        file.write_text(",".join(columns) + "\n" + ",".join(row) + "\n")
+        with pytest.raises(Exception):
+            read_pairs(spark, str(file), "csv").collect()
+    file = tmp_path / "bad.json"
+    file.write_text('{"chosen": [\n')
+    with pytest.raises(Exception):
+        read_corpus(spark, str(file), "mine", "json").collect()
+
+
+def test_row_keys_travel_with_pairs(spark, pairs, tmp_path):
+    path = str(tmp_path / "keyed")
+    write_pairs(pairs.withColumn("row_id", F.concat(F.lit("k"), "id")), path, "csv")
+    back = read_pairs(spark, path, "csv", with_row_id=True)
+    assert {r.row_id for r in back.collect()} == {f"k{r.id}" for r in pairs.collect()}
 
 
 def test_predictions_come_back(spark, tmp_path):
@@ -105,6 +156,8 @@ def test_the_shared_folder_is_the_named_one():
     assert shared_folder(session_with("yarn", {}, "hdfs:///set")) == "hdfs:///set"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session_with("yarn", {}))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session_with("local-cluster[2,1,1024]", {}))
 
 
 def test_stage_tables_lie_under_the_shared_folder(spark):
