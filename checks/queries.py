@@ -23,6 +23,7 @@ from pairwright.operators.augment import (
     flatten_samples,
     swap_augment,
     with_sample_lengths,
+    with_turn_counts,
 )
 from pairwright.operators.chats import check_turns, split_roles
 from pairwright.operators.ensemble import (
@@ -48,6 +49,7 @@ from pairwright.operators.packing import (
     assign_shards,
     batch_totals,
     collate_varlen,
+    micro_batch_texts,
     order_in_batch,
     ordered_batches,
     pad_to_shards,
@@ -58,7 +60,7 @@ from pairwright.operators.packing import (
 )
 from pairwright.operators.fitting import FitSettings, fit_preference, predict_preference
 from pairwright.operators.ranks import global_rank, ordered_rank
-from pairwright.operators.scoring import score, tokenize_with
+from pairwright.operators.scoring import score, tokenize_with, tokens_of
 from pairwright.plans.labelling import LENGTH_INPUTS, pseudo_label, with_lengths
 from pairwright.plans.recipes import (
     CORPORA_SOFT,
@@ -68,8 +70,10 @@ from pairwright.plans.recipes import (
     RECIPES,
     TRAINVAL,
     Recipe,
+    recipe_batches,
     recipe_leaks,
     recipe_lengths,
+    recipe_samples,
 )
 from pairwright.schemas import LABEL_COLUMNS, PROBABILITY_COLUMNS
 from pairwright.sources.corpora import CORPUS_NAMES, read_corpus, write_corpus
@@ -224,6 +228,18 @@ def rendered(template: Template) -> Query:
     return query
 
 
+def null_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose length is a multiple of three are missing."""
+    holed = [
+        F.transform(side, lambda turn: F.when(F.length(turn) % 3 != 0, turn)) for side in _sides()
+    ]
+    return views.all_pairs(spark, sf_dir).select(
+        "row_id",
+        render(JOINT, *holed, max_length=MAX_LENGTH).alias("joint"),
+        render(SPLIT, *holed).alias("split"),
+    )
+
+
 def judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.all_pairs(spark, sf_dir).select(
         "row_id",
@@ -317,7 +333,8 @@ def varlen_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_json("seq_lens"),
         as_json("cu_seqlens"),
         "max_seq_len",
-        F.array_max(position_ids(F.col("seq_lens"))).alias("last_position"),
+        encode_turns(position_ids(F.col("seq_lens"))).alias("position_ids"),
+        encode_turns(F.transform("labels", lambda one: one.cast("array<int>"))).alias("labels"),
         F.sum("batch_size").over(of_batch).alias("total_batch_size"),
     )
 
@@ -454,7 +471,11 @@ def _recipe_counts(
 
 def recipe_counts(names: tuple[str, ...], sides: tuple[str, ...], tables: tuple[str, ...]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made = views.recipe_tables(spark, sf_dir, *tables)
+        # Turns are counted once for all recipes and sides.
+        made = {
+            name: stage(with_turn_counts(one), "counted")
+            for name, one in views.recipe_tables(spark, sf_dir, *tables).items()
+        }
         counts = [_recipe_counts(RECIPES[name], side, made) for name in names for side in sides]
         return reduce(DataFrame.unionByName, counts)
 
@@ -467,6 +488,76 @@ STAGE2 = ("stage2/m0", "stage2/m3")
 STAGE3 = ("stage3/m0", "stage3/m0val", "stage3/m3", "stage3/m3val")
 
 
+# A stage-1 run, both sides, and the training side of a pseudo-label run.
+RUNS = (("stage1/m0", "train"), ("stage1/m0", "valid"), ("pseudo/m3_110k", "train"))
+PLAN_COLUMNS = (
+    "batch_id", "position", "row", "shard", "is_pad", "row_id", "variant_no", "seq_len", "micro_batch"
+)
+
+
+def recipe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample of three runs: its text's digest, its label and its length."""
+    tables = views.recipe_tables(spark, sf_dir, TRAINVAL, EXTRA)
+    parts = [
+        recipe_samples(RECIPES[name], side, tables).select(
+            F.lit(name).alias("recipe"),
+            F.lit(side).alias("side"),
+            "row_id",
+            "variant_no",
+            F.sha2("input_text", 256).alias("text_sha256"),
+            encode_turns(F.col("label").cast("array<int>")).alias("label"),
+            token_count(F.col("input_text")).alias("n_tokens"),
+        )
+        for name, side in RUNS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def recipe_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Micro-batch plans of three runs."""
+    tables = views.recipe_tables(spark, sf_dir, TRAINVAL, EXTRA)
+    parts = [
+        recipe_batches(RECIPES[name], side, tables).select(
+            F.lit(name).alias("recipe"), F.lit(side).alias("side"), *PLAN_COLUMNS
+        )
+        for name, side in RUNS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _pieces(texts: pd.Series, limit: int | None) -> tuple[pd.Series, pd.Series]:
+    """A tokenizer of the user's: pieces of up to four characters of a word."""
+    found = texts.str.findall(r"[ \t\n\r]*[^ \t\n\r]{1,4}")
+    cut = [
+        text if limit is None or len(one) <= limit else "".join(one[:limit])
+        for text, one in zip(texts, found)
+    ]
+    return pd.Series(cut), found.map(len)
+
+
+def tokenizer_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training plan of stage 1 with a tokenizer of the user's."""
+    tables = views.recipe_tables(spark, sf_dir, TRAINVAL, EXTRA)
+    planned = recipe_batches(RECIPES["stage1/m0"], "train", tables, tokens=tokens_of(_pieces))
+    return planned.select(*PLAN_COLUMNS)
+
+
+def batch_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validation micro batches of stage 1 with their texts, shown as digests."""
+    tables = views.recipe_tables(spark, sf_dir, TRAINVAL)
+    recipe = RECIPES["stage1/m0"]
+    made = micro_batch_texts(
+        recipe_batches(recipe, "valid", tables), recipe_samples(recipe, "valid", tables)
+    )
+    return made.select(
+        "batch_id",
+        "shard",
+        "micro_batch",
+        encode_turns(F.transform("texts", lambda text: F.sha2(text, 256))).alias("texts"),
+        encode_turns(F.transform("labels", lambda one: one.cast("array<int>"))).alias("labels"),
+    )
+
+
 def recipe_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts both trained on and validated on, for the two kinds of last-stage recipe."""
     tables = views.recipe_tables(spark, sf_dir, TRAINVAL, EXTRA)
@@ -631,6 +722,7 @@ QUERIES: dict[str, Query] = {
     "render_joint": rendered(JOINT),
     "render_split": rendered(SPLIT),
     "render_localized": rendered(LOCALIZED),
+    "render_null_turns": null_turns,
     "judge_prompt": judge_prompt,
     "truncate_text": truncate_text,
     "token_length": token_length,
@@ -655,6 +747,10 @@ QUERIES: dict[str, Query] = {
         STAGE2, ("train", "valid"), (TRAINVAL, MINED_SOFT, CORPORA_SOFT)
     ),
     "recipe_stage3": recipe_counts(STAGE3, ("train", "valid"), (TRAINVAL, EXTRA)),
+    "recipe_samples": recipe_texts,
+    "recipe_batches": recipe_plans,
+    "tokenizer_batches": tokenizer_plan,
+    "micro_batch_texts": batch_texts,
     "recipe_leak_check": recipe_leak_check,
     "io_round_trip": io_round_trip,
     "raw_corpus": raw_corpus,

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairwright.functions.text import count_words, token_count, truncate_tokens
+from pairwright.functions.text import WHITESPACE, Tokens, count_words, token_count
 
 NULL_TURN = "null"
 
@@ -117,11 +117,12 @@ def render(
     response_a: Column,
     response_b: Column,
     max_length: int | None = None,
+    tokens: Tokens = WHITESPACE,
 ) -> Column:
     """The conversation text. Cutting comes before head and tail are put on."""
 
     def cut(text: Column) -> Column:
-        return text if max_length is None else truncate_tokens(text, template.side_limit(max_length))
+        return text if max_length is None else tokens.cut(text, template.side_limit(max_length))
 
     if template.joint:
         labels = [template.user_label, template.a_label, template.b_label]
@@ -171,9 +172,10 @@ def judge_text(
     max_length: int | None = None,
     system_role: bool = False,
     markup: ChatMarkup = MARKUP,
+    tokens: Tokens = WHITESPACE,
 ) -> Column:
     """Rendered and wrapped: the text a judge model reads."""
-    conversation = render(template, prompt, response_a, response_b, max_length)
+    conversation = render(template, prompt, response_a, response_b, max_length, tokens)
     return wrap_chat(template, conversation, system_role, markup)
 
 
@@ -196,7 +198,7 @@ def judged_length(
     system_role: bool = False,
     markup: ChatMarkup = MARKUP,
 ) -> Column:
-    """Token count of `judge_text`, worked out from the counts of its turns.
+    """Whitespace token count of `judge_text`, worked out from the counts of its turns.
 
     Blocks begin and end with a line break, so their tokens add up. Only a cut
     may glue the last word of a side to the literal after it. Thus one count of

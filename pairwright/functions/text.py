@@ -1,14 +1,15 @@
 """Whitespace tokens.
 
 Blank, tab, newline and carriage return part words; `\\s` is avoided because
-engines differ on what else it takes in. Sub-word tokenizers come in through
-`operators.scoring.tokenize_with`.
+engines differ on what else it takes in. `Tokens` is what rendering and measuring
+ask of a tokenizer; sub-word ones come in through `operators.scoring.tokens_of`.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,3 +49,14 @@ def truncate_tokens(text: Column, limit: int) -> Column:
         return F.when(F.length(whole) < 2 * limit, whole).otherwise(kept)
 
     return bind(text, cut)
+
+
+@dataclass(frozen=True)
+class Tokens:
+    """How texts are cut to a number of tokens, and how tokens are counted."""
+
+    cut: Callable[[Column, int], Column]
+    count: Callable[[Column], Column]
+
+
+WHITESPACE = Tokens(truncate_tokens, token_count)

@@ -16,6 +16,7 @@ from pairwright.functions.templates import (
     judged_length,
     turn_tokens,
 )
+from pairwright.functions.text import WHITESPACE, Tokens
 from pairwright.schemas import LABEL_COLUMNS, TURN_COLUMNS
 
 _MIRRORED = (
@@ -66,6 +67,7 @@ def sample_texts(
     max_length: int | None = None,
     system_role: bool = False,
     markup: ChatMarkup = MARKUP,
+    tokens: Tokens = WHITESPACE,
 ) -> DataFrame:
     """Samples with their text: (…pair columns, swapped, template, variant_no, input_text, label)."""
     variants = fan_out(swap_augment(pairs, include_swap), [one.name for one in templates])
@@ -74,7 +76,7 @@ def sample_texts(
         *[
             F.when(
                 F.col("template") == one.name,
-                judge_text(one, *sides, max_length, system_role, markup),
+                judge_text(one, *sides, max_length, system_role, markup, tokens),
             )
             for one in templates
         ]
@@ -82,6 +84,22 @@ def sample_texts(
     return variants.withColumns({"input_text": text, "label": label_vector()})
 
 
+# What rendering makes of a row's turns, counted.
+TURN_COUNTS = ("n_turns", "prompt_tokens", "a_tokens", "b_tokens")
+
+
+def with_turn_counts(pairs: DataFrame) -> DataFrame:
+    """Whitespace token counts of the turns that are rendered; one count serves all recipes."""
+    turns = F.least(F.size("prompt"), F.size("response_a"), F.size("response_b"))
+    counted = pairs.withColumn("n_turns", turns)
+    return counted.withColumns(
+        {
+            name: turn_tokens(F.col(column), F.col("n_turns"))
+            for name, column in zip(TURN_COUNTS[1:], TURN_COLUMNS)
+        }
+    )
+
+
 def with_sample_lengths(
     pairs: DataFrame,
     templates: Sequence[Template],
@@ -90,38 +108,46 @@ def with_sample_lengths(
     system_role: bool = False,
     markup: ChatMarkup = MARKUP,
     keep: Sequence[str] = ("row_id",),
+    tokens: Tokens = WHITESPACE,
 ) -> DataFrame:
     """One row per source row with its `samples`, measured but without text.
 
-    Batches are planned from a few numbers per sample. Each turn is counted
-    once for all variants, where the row is read; no prompt is put together and
-    none is moved by the shuffles after this.
+    Batches are planned from a few numbers per sample; no text is moved by the
+    shuffles after this. Whitespace tokens add up, so each turn is counted once
+    for all variants, and no prompt is put together; rows that bring the
+    columns of `with_turn_counts` are not counted again. With another tokenizer
+    the texts are rendered and counted, variant by variant.
     """
-    turns = F.least(F.size("prompt"), F.size("response_a"), F.size("response_b"))
-    counted = pairs.select(*keep, *LABEL_COLUMNS, *TURN_COLUMNS, turns.alias("_turns")).select(
-        *keep,
-        *LABEL_COLUMNS,
-        "_turns",
-        *[turn_tokens(F.col(c), F.col("_turns")).alias(f"_{c}") for c in TURN_COLUMNS],
-    )
+    adds_up = tokens is WHITESPACE
+    if adds_up:
+        counted = pairs if set(TURN_COUNTS) <= set(pairs.columns) else with_turn_counts(pairs)
+    else:
+        counted = pairs
     winner_a, winner_b, tie = (F.col(name) for name in LABEL_COLUMNS)
     variants = []
     for swapped in (False, True) if include_swap else (False,):
-        answers = [F.col("_response_a"), F.col("_response_b")]
+        answers = [F.col(c) for c in (TURN_COUNTS[2:] if adds_up else TURN_COLUMNS[1:])]
         winners = [winner_a, winner_b]
         if swapped:
             answers.reverse()
             winners.reverse()
         for template in templates:
-            length = judged_length(
-                template,
-                F.col("_turns"),
-                F.col("_prompt"),
-                *answers,
-                max_length=max_length,
-                system_role=system_role,
-                markup=markup,
-            )
+            if adds_up:
+                length = judged_length(
+                    template,
+                    F.col("n_turns"),
+                    F.col("prompt_tokens"),
+                    *answers,
+                    max_length=max_length,
+                    system_role=system_role,
+                    markup=markup,
+                )
+            else:
+                length = tokens.count(
+                    judge_text(
+                        template, F.col("prompt"), *answers, max_length, system_role, markup, tokens
+                    )
+                )
             variants.append(
                 F.struct(
                     F.lit(len(variants)).alias("variant_no"),

@@ -167,6 +167,27 @@ def collate_varlen(samples: DataFrame) -> DataFrame:
     )
 
 
+def micro_batch_texts(planned: DataFrame, samples: DataFrame) -> DataFrame:
+    """(batch_id, shard, micro_batch, texts, labels) in row order: what a worker reads.
+
+    `samples` bring (row_id, variant_no, input_text, label); each text is moved to its micro batch once.
+    """
+    item = F.struct("row", "input_text", "label")
+    met = planned.select("batch_id", "shard", "micro_batch", "row", "row_id", "variant_no").join(
+        samples.select("row_id", "variant_no", "input_text", "label"), ["row_id", "variant_no"]
+    )
+    grouped = met.groupBy("batch_id", "shard", "micro_batch").agg(
+        F.array_sort(F.collect_list(item)).alias("_items")
+    )
+    return grouped.select(
+        "batch_id",
+        "shard",
+        "micro_batch",
+        F.transform("_items", lambda one: one["input_text"]).alias("texts"),
+        F.transform("_items", lambda one: one["label"]).alias("labels"),
+    )
+
+
 def batch_totals(collated: DataFrame) -> DataFrame:
     """Samples per batch over its micro batches."""
     return collated.groupBy("batch_id").agg(F.sum("batch_size").alias("total_batch_size"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairwright.functions.text import Tokens
 from pairwright.operators.ensemble import LOGIT_COLUMNS, softmax_probs
 from pairwright.schemas import PROBABILITY_COLUMNS
 
@@ -18,6 +19,8 @@ from pairwright.schemas import PROBABILITY_COLUMNS
 Scorer = Callable[[pd.DataFrame], np.ndarray]
 # Texts -> (texts cut to the limit, token counts).
 Tokenizer = Callable[[pd.Series], tuple[pd.Series, pd.Series]]
+# Texts and a limit, or none -> (texts cut to the limit, token counts of the whole texts).
+LimitedTokenizer = Callable[[pd.Series, int | None], tuple[pd.Series, pd.Series]]
 
 
 _made: dict[str, Scorer] = {}
@@ -105,3 +108,15 @@ def tokenize_with(tokenizer: Tokenizer) -> Callable[[Column], Column]:
     # Types are given here: postponed annotations of a nested function cannot be read.
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
     return F.pandas_udf(run, "text string, n_tokens int")
+
+
+def tokens_of(tokenizer: LimitedTokenizer) -> Tokens:
+    """A tokenizer of the user's for rendering, measuring and batch plans."""
+
+    def limited(limit: int | None) -> Callable[[Column], Column]:
+        return tokenize_with(lambda texts: tokenizer(texts, limit))
+
+    return Tokens(
+        cut=lambda text, limit: limited(limit)(text)["text"],
+        count=lambda text: limited(None)(text)["n_tokens"],
+    )

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.templates import JOINT, SPLIT, Template
 from pairwright.functions.turns import turns_key
-from pairwright.operators.augment import flatten_samples, sample_texts, with_sample_lengths
+from pairwright.functions.text import WHITESPACE, Tokens
+from pairwright.operators.augment import (
+    TURN_COUNTS,
+    flatten_samples,
+    sample_texts,
+    with_sample_lengths,
+)
 from pairwright.operators.ensemble import concat_sources
 from pairwright.operators.folds import filter_rows
 from pairwright.operators.packing import ordered_batches, plan_batches, seeded_batches
@@ -108,14 +114,19 @@ RECIPES = _recipes()
 
 def recipe_rows(recipe: Recipe, side: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     """The pairs of one side: filtered sources, one after the other."""
+    used = [tables[source.table] for source in recipe.sources(side)]
+    # Counts of the turns come along where every table has them.
+    counts = TURN_COUNTS if all(set(TURN_COUNTS) <= set(one.columns) for one in used) else ()
     parts = [
-        filter_rows(tables[source.table], source.predicate).select(*ROW_COLUMNS)
+        filter_rows(tables[source.table], source.predicate).select(*ROW_COLUMNS, *counts)
         for source in recipe.sources(side)
     ]
     return concat_sources(*parts)
 
 
-def recipe_samples(recipe: Recipe, side: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+def recipe_samples(
+    recipe: Recipe, side: str, tables: Mapping[str, DataFrame], tokens: Tokens = WHITESPACE
+) -> DataFrame:
     """Samples with their texts; mirrors in training only."""
     return sample_texts(
         recipe_rows(recipe, side, tables),
@@ -123,11 +134,14 @@ def recipe_samples(recipe: Recipe, side: str, tables: Mapping[str, DataFrame]) -
         include_swap=side == "train",
         max_length=recipe.member.max_length,
         system_role=recipe.member.system_role,
+        tokens=tokens,
     )
 
 
-def recipe_lengths(recipe: Recipe, side: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Samples by their lengths and labels, one row per pair; no text is put together."""
+def recipe_lengths(
+    recipe: Recipe, side: str, tables: Mapping[str, DataFrame], tokens: Tokens = WHITESPACE
+) -> DataFrame:
+    """Samples by their lengths and labels, one row per pair, without texts."""
     return with_sample_lengths(
         recipe_rows(recipe, side, tables),
         recipe.templates(side),
@@ -135,6 +149,7 @@ def recipe_lengths(recipe: Recipe, side: str, tables: Mapping[str, DataFrame]) -
         max_length=recipe.member.max_length,
         system_role=recipe.member.system_role,
         keep=("source_no", "row_id"),
+        tokens=tokens,
     )
 
 
@@ -144,6 +159,7 @@ def recipe_batches(
     tables: Mapping[str, DataFrame],
     seed: int = 0,
     shards: int = SHARDS,
+    tokens: Tokens = WHITESPACE,
 ) -> DataFrame:
     """Micro-batch plan of one side, without texts.
 
@@ -151,7 +167,7 @@ def recipe_batches(
     where a second run over the texts would cost far more.
     """
     training = side == "train"
-    measured = stage(recipe_lengths(recipe, side, tables), "measured")
+    measured = stage(recipe_lengths(recipe, side, tables, tokens), "measured")
     if training:
         batched = seeded_batches(measured, recipe.member.batch_size, seed)
     else:
