@@ -50,12 +50,13 @@ class ChatMarkup:
         return self.opening.format(role=role) + text + self.closing
 
 
-# The labels and the answer opener that a judge model is trained on.
+# Head, tail, separator, labels and answer opener are what a judge model is trained on.
+# The instruction is wording of our own.
 JOINT = Template(
     name="joint",
     joint=True,
-    head="<|conversation with two assistants|>",
-    tail="<|end of conversation|>\n",
+    head="<|The Start of Conversation between a User and two Assistants|>",
+    tail="<|The End of Conversation between a User and two Assistants|>\n",
     instruction=(
         "Compare the two assistants' answers to the user below and say which is better."
         ' Answer "[[A]]", "[[B]]", or "[[C]]" for a tie.'
@@ -68,9 +69,12 @@ JOINT = Template(
 SPLIT = Template(
     name="split",
     joint=False,
-    head="<|conversation with assistant A|>",
-    separator="<|end of conversation with assistant A|>\n\n<|conversation with assistant B|>",
-    tail="<|end of conversation with assistant B|>\n",
+    head="<|The Start of Assistant A’s Conversation with User|>",
+    separator=(
+        "<|The End of Assistant A’s Conversation with User|>\n\n"
+        "<|The Start of Assistant B’s Conversation with User|>"
+    ),
+    tail="<|The End of Assistant B’s Conversation with User|>\n",
     instruction=JOINT.instruction,
     suffix=JOINT.suffix,
     user_label="User",
@@ -80,8 +84,8 @@ SPLIT = Template(
 LOCALIZED = Template(
     name="localized",
     joint=True,
-    head="<|对话|>",
-    tail="<|完|>\n",
+    head="<|对话开始|>",
+    tail="<|对话结束|>\n",
     instruction='比较两位助手的回答,指出哪一个更好。回答"[[A]]"、"[[B]]",或"[[C]]"表示平局。',
     suffix="最终判决: [[",
     user_label="用户",

@@ -18,6 +18,14 @@ from pairwright.functions.templates import (
 )
 from pairwright.functions.text import token_count, truncate_tokens
 from pairwright.functions.turns import decode_turns, encode_turns
+from pairwright.operators.augment import (
+    TURN_COUNTS,
+    flatten_samples,
+    sample_texts,
+    with_sample_lengths,
+    with_turn_counts,
+)
+from pairwright.operators.scoring import tokens_of
 
 TEXTS = [
     "", " ", "a", " a ", "a b", "a  b\t\nc\r\nd ", "\n\nlead", "trail\n", "é à\u000bç d\u00a0e",
@@ -137,3 +145,32 @@ def test_lengths_without_rendering(spark, max_length, system_role):
         length = judged_length(template, turns, *counts, max_length, system_role)
         found = table.select("n", token_count(text).alias("own"), length.alias("length"))
         assert [(r.n, r.length) for r in found.collect()] == [(r.n, r.own) for r in found.collect()]
+
+
+def test_a_tokenizer_goes_through_rendering_and_measuring(spark):
+    def tokenizer(texts, limit):
+        found = texts.str.findall(r"\s*\S{1,3}")
+        return found.map(lambda one: "".join(one[:limit])), found.map(len)
+
+    tokens = tokens_of(tokenizer)
+    rows = [("r1", ["abcdefgh ij", None], ["x" * 50, "y"], ["no", "yes yes"], 1.0, 0.0, 0.0), ("r2", [], ["a"], ["b"], 0.0, 0.0, 1.0)]
+    pairs = spark.createDataFrame(
+        rows, "row_id string, prompt array<string>, response_a array<string>, response_b array<string>, winner_model_a double, winner_model_b double, winner_tie double"
+    )
+    for limit in (None, 12):
+        texts = sample_texts(pairs, [JOINT, SPLIT], max_length=limit, tokens=tokens)
+        lengths = flatten_samples(with_sample_lengths(pairs, [JOINT, SPLIT], max_length=limit, tokens=tokens))
+        want = {(r.row_id, r.variant_no): len(re.findall(r"\s*\S{1,3}", r.input_text)) for r in texts.collect()}
+        assert {(r.row_id, r.variant_no): r.seq_len for r in lengths.collect()} == want
+        assert len(want) == 8
+
+
+def test_turn_counts_at_hand_are_not_counted_again(spark):
+    pairs = spark.createDataFrame(
+        [("r", ["a b"], ["c"], ["d e f"], 1.0, 0.0, 0.0)],
+        "row_id string, prompt array<string>, response_a array<string>, response_b array<string>, winner_model_a double, winner_model_b double, winner_tie double",
+    )
+    counted = with_turn_counts(pairs)
+    assert counted.select(*TURN_COUNTS).first() == (1, 2, 1, 3)
+    own, again = (with_sample_lengths(one, [JOINT, SPLIT]).collect() for one in (pairs, counted))
+    assert own == again
