@@ -94,7 +94,7 @@ def _types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which suffixes rise (are smaller than their successor; those at a 0 do), and how long the run of the first symbol is."""
     size = len(text)
     breaks = np.append(np.flatnonzero(text[1:] != text[:-1]), size - 1)
-    run_end = breaks[np.searchsorted(breaks, np.arange(size))]
+    run_end = np.repeat(breaks, np.diff(breaks, prepend=-1))
     following = np.minimum(run_end + 1, size - 1)
     rises = (text[following] > text) | (text == 0)
     return rises, run_end - np.arange(size) + 1
@@ -124,7 +124,7 @@ def _names(text: np.ndarray, seeds: np.ndarray) -> np.ndarray:
             inside = lengths[active] > offset
             at = np.minimum(seeds[active] + offset, len(text) - 1)
             word = (word << wide) | np.where(inside, text[at].astype(np.uint64), pad)
-        order = np.lexsort((word, rank[active]))
+        order = np.lexsort((word, rank[active])) if done else np.argsort(word)
         active, word = active[order], word[order]
         old = rank[active]
         group = np.ones(len(active), bool)
@@ -145,27 +145,40 @@ def _names(text: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 def _by_doubling(text: np.ndarray) -> np.ndarray:
     """All suffixes in order; beyond a 0 nothing is compared."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     size, step = len(text), 1
+    key = text.astype(np.uint64)
     ended = text == 0
-    order = np.argsort(rank, kind="stable")
-    while True:
-        ahead = np.zeros(size, np.int64)
-        ahead[: size - step] = rank[step:] + 1
-        ahead[ended] = 0
-        order = np.lexsort((ahead, rank))
-        a, b = rank[order], ahead[order]
-        fresh = np.ones(size, bool)
-        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        new = np.empty(size, np.int64)
-        new[order] = np.cumsum(fresh) - 1
-        # A suffix whose compared part has reached its 0 is as sorted as it gets.
-        reach = ended.copy()
-        reach[: size - step] |= ended[step:]
-        done = reach.all() or fresh.all()
-        rank, ended, step = new, reach, 2 * step
-        if done:
-            return order
+    # A suffix's rank is the number of suffixes that are smaller by what has been compared so far.
+    order = np.argsort(key)
+    held = key[order]
+    rank = np.empty(size, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(np.append(True, held[1:] != held[:-1]), np.arange(size), 0))
+    tied = np.append(True, held[1:] == held[:-1]) & (np.arange(size) > 0)
+    # Places in the order whose suffixes are still equal to a neighbour.
+    open_places = np.flatnonzero(tied | np.append(tied[1:], False))
+    while len(open_places):
+        own = order[open_places]
+        # One that has reached its 0 is as sorted as it gets: it takes the rank 0 for what lies ahead.
+        ahead = np.where(ended[own], 0, rank[np.minimum(own + step, size - 1)] + 1)
+        key = (rank[own].astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64)
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        order[open_places] = own
+        old = (key >> np.uint64(32)).astype(np.int64)
+        group = np.append(True, old[1:] != old[:-1])
+        fresh = np.append(True, key[1:] != key[:-1])
+        index = np.arange(len(own))
+        begin = np.maximum.accumulate(np.where(group, index, 0))
+        new = old + np.maximum.accumulate(np.where(fresh, index, 0)) - begin
+        done = ended[own]
+        reach = done | ended[np.minimum(own + step, size - 1)]
+        rank[own] = new
+        ended[own] = reach
+        tied = ~fresh
+        several = tied | np.append(tied[1:], False)
+        open_places = open_places[several & ~done]
+        step *= 2
+    return order
 
 
 class _Runs:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.components import components
 from pairwright.llm.shingles import set_keys, shingle_sets, signatures
+from pairwright.llm.tables import text_slices
 from pairwright.staging import stage
 
 #: Coordinates, and how many must agree: P(Binomial(48, 0.8) < 24) is 8e-7.
@@ -39,29 +40,13 @@ ALIKE = 80
 #: Bits of the filter that keeps texts without a candidate class out of the second reading: 1 MB at any size.
 FILTER_BITS = 1 << 23
 _PIECE = 1 << 15
-#: Texts a task handles at a time, by number and bytes.
-TEXTS, TEXT_BYTES = 512, 1 << 21
-
-
-def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows of `doc_id` and `text`, a bounded number and size of texts at a time (one text at least)."""
-    for batch in batches:
-        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        begin, size = 0, 0
-        for at, text in enumerate(texts):
-            if at > begin and (at - begin >= TEXTS or size + len(text) > TEXT_BYTES):
-                yield batch.slice(begin, at - begin), texts[begin:at]
-                begin, size = at, 0
-            size += len(text)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
     """`doc_id`, `n` (shingles), `class` (64-bit key of the set; null without shingles) and `signature` of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _few(batches):
+        for batch, texts in text_slices(batches, "text"):
             shingles, sizes = shingle_sets(texts, words)
             own = sizes > 0
             keys = pa.array(set_keys(shingles, sizes)[0], mask=~own)
@@ -80,7 +65,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """`class` and `shingles` (distinct, as longs) of each row."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _few(batches):
+        for _, texts in text_slices(batches, "text"):
             shingles, sizes = shingle_sets(texts, words)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingles.view(np.int64)))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.induced import mapped, sorted_suffixes
 from pairwright.llm.shingles import mix
-from pairwright.llm.tables import task_count
+from pairwright.llm.tables import task_count, text_slices
 from pairwright.staging import stage
 
 WINDOW, ANCHOR = 100, 44
@@ -34,6 +34,8 @@ MANY = 2_000
 #: Filter of anchors with many contexts.
 MANY_BITS = 1 << 20
 _PIECE = 1 << 15
+#: Shards per task.
+SHARDS = 2
 #: Windows that are hashed at a time, and texts that are scanned at a time.
 _CHUNK, _BATCH_BYTES = 1 << 17, 1 << 21
 
@@ -120,6 +122,13 @@ class Contexts:
             mix(names + mix((place - first).astype(np.uint64) + np.uint64(1))).view(np.int64),
         )
 
+    def once_per_text(self, some: np.ndarray) -> np.ndarray:
+        """Of some contexts, in their order, the first with its content in each text."""
+        order = some[np.lexsort((some, self.name[some], self.text[some]))]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (self.name[order[1:]] != self.name[order[:-1]]) | (self.text[order[1:]] != self.text[order[:-1]])
+        return np.sort(order[fresh])
+
     def content(self, i: int, begin: int, windows: int) -> bytes:
         """The bytes under some windows of a context."""
         at = int(self.first[i]) + begin
@@ -127,17 +136,9 @@ class Contexts:
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Contexts]]:
-    """Rows with their contexts, a bounded size of texts at a time (one text at least)."""
-    for batch in batches:
-        texts = [t or b"" for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
-        begin, size = 0, 0
-        for at, text in enumerate(texts):
-            if at > begin and size + len(text) > _BATCH_BYTES:
-                yield batch.slice(begin, at - begin), Contexts(texts[begin:at])
-                begin, size = at, 0
-            size += len(text)
-        if begin < len(texts):
-            yield batch.slice(begin), Contexts(texts[begin:])
+    """Rows with the contexts of their `text`."""
+    for rows, texts in text_slices(batches, "text", 1024, _BATCH_BYTES):
+        yield rows, Contexts(texts)
 
 
 def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -185,13 +186,7 @@ def _first_contexts(keyed: DataFrame, repeated) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = repeated.value
         for batch, contexts in _scanned(batches):
-            own = np.flatnonzero(_has(table, contexts.anchor))
-            order = own[np.lexsort((contexts.name[own], contexts.anchor[own], contexts.text[own]))]
-            fresh = np.ones(len(order), bool)
-            for column in (contexts.name, contexts.anchor, contexts.text):
-                fresh[1:] &= column[order[1:]] == column[order[:-1]]
-            fresh[1:] = ~fresh[1:]
-            once = order[fresh]
+            once = contexts.once_per_text(np.flatnonzero(_has(table, contexts.anchor)))
             docs = batch.column("doc").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(contexts.anchor[once]), pa.array(contexts.name[once]), pa.array(docs[contexts.text[once]])],
@@ -210,7 +205,7 @@ def _to_sort(keyed: DataFrame, wanted, many) -> DataFrame:
         for batch, contexts in _scanned(batches):
             docs = batch.column("doc").to_numpy(zero_copy_only=False)
             versions = batch.column("version").to_numpy(zero_copy_only=False)
-            own = np.flatnonzero(_has(table, _rep_key(docs[contexts.text], contexts.name)))
+            own = contexts.once_per_text(np.flatnonzero(_has(table, _rep_key(docs[contexts.text], contexts.name))))
             split = _has(crowded, contexts.anchor[own])
             out: list[list] = [[], [], [], []]
             for i, apart in zip(own.tolist(), split.tolist()):
@@ -242,12 +237,12 @@ def _repeats_in_shards(rows: DataFrame) -> DataFrame:
     """`doc`, `version`, `start`, `windows`: stretches of strings that begin earlier, too, among the contexts of a shard."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[np.ndarray]] = [[], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], []]
         sizes: list[np.ndarray] = []
 
         def symbols() -> Iterator[np.ndarray]:
             for batch in batches:
-                for held, name in zip(columns, ("doc", "version", "start")):
+                for held, name in zip(columns, ("doc", "version", "start", "route")):
                     held.append(batch.column(name).to_numpy(zero_copy_only=False))
                 contents = batch.column("bytes").to_pylist()
                 sizes.append(np.array([len(c) for c in contents], np.int64))
@@ -260,8 +255,15 @@ def _repeats_in_shards(rows: DataFrame) -> DataFrame:
         text = mapped(symbols(), np.uint16)
         if not len(text):
             return
-        doc, version, start = (np.concatenate(held) for held in columns)
+        doc, version, start, route = (np.concatenate(held) for held in columns)
         length = np.concatenate(sizes)
+        # A context that is alone on its route came through a filter by chance: it has nothing to be compared with.
+        _, at, met = np.unique(route, return_inverse=True, return_counts=True)
+        some = met[at] > 1
+        if not some.any():
+            return
+        text = mapped(_kept(text, length, some), np.uint16)
+        doc, version, start, length = doc[some], version[some], start[some], length[some]
         begin = np.cumsum(length + 1) - length - 1
         hits: list[np.ndarray] = []
         # Strings that go on from one batch to the next are carried over.
@@ -285,10 +287,19 @@ def _repeats_in_shards(rows: DataFrame) -> DataFrame:
             names=["doc", "version", "start", "windows"],
         )
 
-    dealt = rows.repartition(task_count(rows), "route").drop("route")
+    dealt = rows.repartition(SHARDS * task_count(rows), "route")
     return dealt.mapInArrow(find, "doc long, version long, start long, windows long")
 
 
+def _kept(text: np.ndarray, length: np.ndarray, some: np.ndarray) -> Iterator[np.ndarray]:
+    """The contexts of a text that are among `some`, a number of them at a time."""
+    begin = np.cumsum(length + 1) - length - 1
+    for at in range(0, len(length), 1 << 14):
+        part = slice(at, at + (1 << 14))
+        stretch = text[begin[part][0] : begin[part][-1] + length[part][-1] + 1]
+        yield stretch[np.repeat(some[part], length[part] + 1)]
+
+
 def _later(positions, prefixes, begin, length, doc, start) -> np.ndarray:
     """Positions of whole windows that share a window's length with others of which one begins earlier in the corpus."""
     if not len(positions):

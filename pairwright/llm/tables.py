@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +24,23 @@ def whole(text: str) -> Column:
 def task_count(df: DataFrame, least: int = 1) -> int:
     """Tasks to deal rows to by an explicit key; AQE cannot split those, so it follows the session."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def text_slices(
+    batches: Iterator[pa.RecordBatch], column: str, rows: int = 256, size: int = 1 << 21
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows with their texts as bytes (null as empty), a bounded number and size at a time, one row at least."""
+    for batch in batches:
+        begin = held = 0
+        texts: list[bytes] = []
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            for text in part.column(part.schema.get_field_index(column)).cast(pa.binary()).to_pylist():
+                text = text or b""
+                if texts and (len(texts) >= rows or held + len(text) > size):
+                    yield batch.slice(begin, len(texts)), texts
+                    begin, held, texts = begin + len(texts), 0, []
+                texts.append(text)
+                held += len(text)
+        if texts:
+            yield batch.slice(begin, len(texts)), texts

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Words a worker remembers before it starts anew; those before are looked up a while longer.
+REMEMBERED = 200_000
 #: New words that go to the tokenizer in one call.
 TOGETHER = 500
 _TAIL = ".,!?;:"
@@ -26,6 +26,7 @@ class WordIds:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _alone(self, word: str) -> bytes:
@@ -51,9 +52,13 @@ class WordIds:
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.parts.clear()
-        new = [word for word in words if word not in self.known]
+            self.older, self.known, self.parts = self.known, {}, {}
+        new = []
+        for word in words.difference(self.known):
+            if word in self.older:
+                self.known[word] = self.older[word]
+            else:
+                new.append(word)
         split: list[tuple[bytes, str, str]] = []
         for word in new:
             text = word.decode("utf-8", "replace")
