@@ -19,16 +19,16 @@ def test_query_equals_its_sql(spark, sf_dir, connection, name):
     relation = connection.sql(ORACLES[name])
     assert type_difference(frame, relation) is None
     ours = frame.toPandas()
-    assert len(ours) > 0
+    # Whole batches of 80 pairs only, of which the smallest tables have none.
+    assert len(ours) > 0 or name == "tokenizer_batches"
     assert difference(ours, relation.df()) is None
 
 
-def test_only_the_fitted_model_has_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"fit_and_score"}
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_a_twin():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_has_the_contract_functions(spark):
-    assert entry_module.queries().keys() == QUERIES.keys()
-    assert entry_module.oracle_sql().keys() == ORACLES.keys()
+    assert entry_module.queries().keys() >= QUERIES.keys()
+    assert entry_module.oracle_sql().keys() >= ORACLES.keys()
     assert entry_module.entry(spark).count() == 32
