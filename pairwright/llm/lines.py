@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.tables import whole
+from pairwright.llm.tables import fresh, whole
 from pairwright.staging import stage
 
 MIN_SITES = 6
@@ -80,7 +80,7 @@ def line_key(line: str) -> tuple[Column, Column]:
 def line_dedup(
     docs: DataFrame, doc_id: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = MIN_SITES, near: float = NEAR
 ) -> DataFrame:
-    """`docs` with boilerplate lines gone from `text`, and the counts `_n_lines` and `_n_cut` added.
+    """`docs` with boilerplate lines gone from `text`, and the counts `_n_lines` and `_n_cut` as last columns.
 
     Lines end at line feeds; they are compared without outer blanks, tabs and returns, and lines without
     anything else stay, as does a line in all its places in the document with the smallest id (null: the
@@ -88,24 +88,25 @@ def line_dedup(
     cleaned by their own text. Columns of `docs` keep their names, order and types, whatever else they hold.
     """
     spread = stage(spread_lines(docs, doc_id, site, text, min_sites, near), "spread-lines")
+    doc, version, own_version, places, n_lines, n_cut = fresh(docs, "doc", "version", "_version", "_places", "_n_lines", "_n_cut")
     cut = (
-        docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(_lines(text)).alias("place", "line"))
+        docs.select(F.col(doc_id).alias(doc), F.xxhash64(text).alias(version), F.posexplode(_lines(text)).alias("place", "line"))
         .where("line <> ''")
-        .select("doc", "version", "place", *line_key("line"))
+        .select(doc, version, "place", *line_key("line"))
         .join(spread, ["line_a", "line_b"])
-        .where(~F.col("doc").eqNullSafe(F.col("first")))
-        .groupBy("doc", "version")
-        .agg(F.collect_set("place").alias("_places"))
+        .where(~F.col(doc).eqNullSafe(F.col("first")))
+        .groupBy(doc, version)
+        .agg(F.collect_set("place").alias(places))
     )
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda line, place: ~F.array_contains(F.col("_places"), place))
-    joined = docs.withColumn("_version", F.xxhash64(text)).join(
-        cut, F.col(doc_id).eqNullSafe(F.col("doc")) & (F.col("_version") == F.col("version")), "left"
+    kept = F.filter(lines, lambda line, place: ~F.array_contains(F.col(places), place))
+    joined = docs.withColumn(own_version, F.xxhash64(text)).join(
+        cut, F.col(doc_id).eqNullSafe(F.col(doc)) & (F.col(own_version) == F.col(version)), "left"
     )
-    changed = F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    changed = F.when(F.col(places).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     # A document whose every line goes is left empty.
     return joined.select(
         *[changed.alias(c) if c == text else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).alias("_n_lines"),
-        F.coalesce(F.size("_places"), F.lit(0)).alias("_n_cut"),
+        F.coalesce(F.size(lines), F.lit(0)).alias(n_lines),
+        F.coalesce(F.size(places), F.lit(0)).alias(n_cut),
     )

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.llm.tables import text_slices
 from pairwright.llm.words import word_ids
 from pairwright.staging import stage
 
@@ -34,11 +35,10 @@ def token_table(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(at, TEXTS)
-                ids = words.encode([t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()])
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        for some, texts in text_slices(batches, "text", TEXTS):
+            ids = pa.array(words.encode(texts), pa.binary())
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), ids], names=["doc_id", "ids"])
+        words.forget()
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return stage(read.mapInArrow(encode, "doc_id long, ids binary"), "tokens")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.components import components
 from pairwright.llm.shingles import set_keys, shingle_sets, signatures
-from pairwright.llm.tables import text_slices
+from pairwright.llm.tables import fresh, text_slices
 from pairwright.staging import stage
 
 #: Coordinates, and how many must agree: P(Binomial(48, 0.8) < 24) is 8e-7.
@@ -254,5 +254,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, alike: int = ALIKE) -> DataFrame:
     """The rows of `docs` whose document is kept by `near_duplicates`, with all their columns."""
-    gone = near_duplicates(docs, doc_id, text, words, alike).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = near_duplicates(docs, doc_id, text, words, alike).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")

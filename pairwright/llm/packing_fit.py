@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairwright.llm.tables import text_slices
 from pairwright.llm.words import word_ids
 from pairwright.staging import stage
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length and slot that a task numbers.
-SLOT_ROWS = 50_000
+SLOT_ROWS = 5_000
 #: Texts that a task encodes at a time.
 TEXTS = 256
 
@@ -47,24 +48,23 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(at, TEXTS)
-                texts = [t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()]
-                out: list[list] = [[] for _ in schema]
-                for doc, ids in zip(some.column(0).to_pylist(), words.encode(texts)):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids), width)):
-                        own = ids[start : start + width]
-                        row = (doc, piece, start // 4, len(own) // 4, zlib.crc32(own), own)
-                        for column, value in zip(out, row):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(column, field.type) for column, field in zip(out, schema)], schema=schema
-                )
+        for some, texts in text_slices(batches, "text", TEXTS):
+            out: list[list] = [[] for _ in schema]
+            for doc, ids in zip(some.column("doc_id").to_pylist(), words.encode(texts)):
+                ids += end
+                for piece, start in enumerate(range(0, len(ids), width)):
+                    own = ids[start : start + width]
+                    row = (doc, piece, start // 4, len(own) // 4, zlib.crc32(own), own)
+                    for column, value in zip(out, row):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, field.type) for column, field in zip(out, schema)], schema=schema
+            )
+        words.forget()
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(cut, kinds)
+    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return read.mapInArrow(cut, kinds)
 
 
 @dataclass

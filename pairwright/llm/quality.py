@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ DICTIONARY_BYTES = 112_640
 PIECE_BYTES = 2_048
 LEVEL = 3
 THRESHOLD = 0.7
+#: Texts that a task scores at a time.
+TOGETHER = 128
 #: Compressed bytes per byte count up to here; very short texts are longer when compressed.
 MOST_PER_BYTE = 1.25
 
@@ -149,14 +151,15 @@ def quality_score(model: QualityModel, text: str = "text") -> Column:
     """The score of every whole text, 0 to 1; a null text scores as an empty one."""
     good, bad, weights, share = model.good, model.bad, model.weights, model.share
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sizes = _Sizes(good, bad) if weights is not None else None
         for texts in batches:
-            if sizes is None:
-                yield pd.Series(np.full(len(texts), share))
-            else:
-                yield pd.Series(_curve(sizes.features([(t or "").encode() for t in texts]) @ weights))
+            out = np.full(len(texts), share)
+            for at in range(0, len(texts) if sizes else 0, TOGETHER):
+                own = [t or b"" for t in texts.slice(at, TOGETHER).cast(pa.binary()).to_pylist()]
+                out[at : at + TOGETHER] = _curve(sizes.features(own) @ weights)
+            yield pa.array(out)
 
     return score(F.col(text).cast("string"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.induced import mapped, sorted_suffixes
 from pairwright.llm.shingles import mix
-from pairwright.llm.tables import task_count, text_slices
+from pairwright.llm.tables import fresh, task_count, text_slices
 from pairwright.staging import stage
 
 WINDOW, ANCHOR = 100, 44
@@ -35,9 +35,9 @@ MANY = 2_000
 MANY_BITS = 1 << 20
 _PIECE = 1 << 15
 #: Shards per task.
-SHARDS = 2
+SHARDS = 6
 #: Windows that are hashed at a time, and texts that are scanned at a time.
-_CHUNK, _BATCH_BYTES = 1 << 17, 1 << 21
+_CHUNK, _BATCH_BYTES = 1 << 17, 1 << 20
 
 
 def _powers(base: int, count: int) -> np.ndarray:
@@ -137,7 +137,7 @@ class Contexts:
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Contexts]]:
     """Rows with the contexts of their `text`."""
-    for rows, texts in text_slices(batches, "text", 1024, _BATCH_BYTES):
+    for rows, texts in text_slices(batches, "text", 512, _BATCH_BYTES):
         yield rows, Contexts(texts)
 
 
@@ -367,7 +367,7 @@ def _marks(starts: np.ndarray, windows: np.ndarray, size: int) -> np.ndarray:
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with a struct `_cut`: `kept` (the bytes left), `n_bytes`, `n_removed`, `n_spans` (removed stretches).
+    """`docs` with a struct `_cut` as last column: `kept` (the bytes left), `n_bytes`, `n_removed`, `n_spans` (removed stretches).
 
     A byte goes if a string of `WINDOW` bytes that covers it also begins earlier: in a document with a smaller
     doc_id (null: the largest), or before it in the same one. Strings are judged on the input and do not cross
@@ -385,17 +385,18 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     wanted = context.broadcast(_table(_rep_bits(varied), FILTER_BITS))
     many = context.broadcast(_table(varied.where(F.col("of.n") > MANY).select(F.col("of.anchor").bitwiseAND(F.lit(MANY_BITS - 1)).alias("bit")), MANY_BITS))
     repeats = _repeats_in_shards(_to_sort(keyed, wanted, many))
-    by_doc = firsts.groupBy("doc").agg(F.collect_list("name").alias("_firsts"))
-    by_version = repeats.groupBy("doc", "version").agg(
-        F.collect_list(F.struct("start", "windows")).alias("_found")
+    of_doc, of_version, first_names, found, result = fresh(docs, "_doc", "_version", "_firsts", "_found", "_cut")
+    by_doc = firsts.groupBy(F.col("doc").alias(of_doc)).agg(F.collect_list("name").alias(first_names))
+    by_version = repeats.groupBy(F.col("doc").alias(of_doc), F.col("version").alias(of_version)).agg(
+        F.collect_list(F.struct("start", "windows")).alias(found)
     )
     joined = (
-        docs.withColumns({"_doc": document, "_version": F.xxhash64(text)})
-        .join(by_doc.withColumnRenamed("doc", "_doc").hint("merge"), "_doc", "left")
-        .join(by_version.withColumnsRenamed({"doc": "_doc", "version": "_version"}).hint("merge"), ["_doc", "_version"], "left")
+        docs.withColumns({of_doc: document, of_version: F.xxhash64(text)})
+        .join(by_doc.hint("merge"), of_doc, "left")
+        .join(by_version.hint("merge"), [of_doc, of_version], "left")
     )
-    cut = _cut(repeated)(F.col(text).cast("string"), "_firsts", "_found.start", "_found.windows")
-    return joined.select(*[F.col(c) for c in docs.columns], cut.alias("_cut"))
+    cut = _cut(repeated)(F.col(text).cast("string"), first_names, f"{found}.start", f"{found}.windows")
+    return joined.select(*[F.col(c) for c in docs.columns], cut.alias(result))
 
 
 def _rep_bits(varied: DataFrame) -> DataFrame:
@@ -417,5 +418,6 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return pa.array([k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
 
     cut = cut_repeats(docs, doc_id, text)
-    changed = F.when(F.col("_cut.n_removed") > 0, readable("_cut.kept")).otherwise(F.col(text))
+    result = cut.columns[-1]
+    changed = F.when(F.col(f"{result}.n_removed") > 0, readable(f"{result}.kept")).otherwise(F.col(text))
     return cut.select(*[changed.alias(c) if c == text else F.col(c) for c in docs.columns])

@@ -26,8 +26,27 @@ def task_count(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hashed_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """About `rows` rows of `df`, chosen by the hash of `by`: the same ones on every run, however many there are."""
+    share = min(1.0, rows / max(1, df.count()))
+    place = F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(1 << 40))
+    return df.where(place < int(share * (1 << 40)))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of `df` has, in whatever case: the ones given, behind as many underscores as it takes."""
+    taken = {column.lower() for column in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def text_slices(
-    batches: Iterator[pa.RecordBatch], column: str, rows: int = 256, size: int = 1 << 21
+    batches: Iterator[pa.RecordBatch], column: str, rows: int = 256, size: int = 1 << 19
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Rows with their texts as bytes (null as empty), a bounded number and size at a time, one row at least."""
     for batch in batches:

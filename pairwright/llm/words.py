@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Words a worker remembers before it starts anew; those before are looked up a while longer.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: New words that go to the tokenizer in one call.
 TOGETHER = 500
 _TAIL = ".,!?;:"
@@ -73,6 +73,10 @@ class WordIds:
         for word, head, tail in split:
             self.known[word] = self.parts[head] + (self.parts[tail] if tail else b"")
 
+    def forget(self) -> None:
+        """What a task has met; common words are soon learned again by the next."""
+        self.known, self.older, self.parts = {}, {}, {}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         cut = [text.split() for text in texts]

@@ -2,8 +2,8 @@ import random
 
 import pytest
 
-# Clashing names: what the operators use inside, in other types.
-EXTRA = "rank int, n long, class string, word string, line string, key string, part int, score string, _version string"
+# What the operators call columns of their own.
+CLASHES = ("doc", "version", "_doc", "_cut", "_gone", "_firsts", "_found", "_places", "_N_CUT", "place", "line", "site", "start", "body", "kept", "to", "norm", "name")
 
 
 @pytest.fixture(scope="session")
@@ -60,7 +60,7 @@ def odd(spark):
         (None, None, None, None, None),
     ]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, rank int, n long")
-    return frame.selectExpr("*", "'x' AS class", "'x' AS word", "'x' AS key", "1 AS part", "'x' AS _version", "'x' AS score")
+    return frame.selectExpr("*", "'x' AS class", "'x' AS word", "'x' AS key", "1 AS part", "'x' AS _version", "'x' AS score", *[f"'{c}' AS {c}" for c in CLASHES])
 
 
 @pytest.fixture(scope="session")

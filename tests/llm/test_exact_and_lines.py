@@ -90,8 +90,9 @@ def test_exact_counts_decide_near_the_threshold(docs):
 
 def test_line_dedup_of_odd_rows(odd, nothing):
     cut = line_dedup(odd, min_sites=1)
-    assert cut.columns == [*odd.columns, "_n_lines", "_n_cut"]
+    assert cut.columns == [*odd.columns, "_n_lines", "__n_cut"]
     rows = cut.collect()
+    assert {(r.doc, r.version, r._places, r._version) for r in rows} == {("doc", "version", "_places", "x")}
     assert sorted((r.doc_id or 0, r.text or "") for r in rows) == [
         (0, ""), (0, ""), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, ""), (2, "quite another text here"),
     ]
