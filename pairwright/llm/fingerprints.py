@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.tables import task_count
+from pairwright.llm.tables import hashed_sample, task_count
 
 #: Cells of a fingerprint, a multiple of the three that each digest goes to.
 CELLS = 24
@@ -242,7 +242,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
     ids = read.select("doc_id")
     ranges = RANGES * task_count(docs)
-    sample = ids.where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED * ranges).collect()
+    sample = hashed_sample(ids.where("doc_id IS NOT NULL"), SAMPLED * ranges, "doc_id").collect()
     heads = sorted(row["doc_id"] for row in sample)
     borders = [heads[len(heads) * i // ranges] for i in range(1, ranges)] if heads else []
     # The first document of a range, in descending order, follows the last one of the range above.

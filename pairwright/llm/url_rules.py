@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.tables import task_count
+from pairwright.llm.tables import hashed_sample, task_count
 from pairwright.staging import stage
 
 #: Verdict where no rule fits.
@@ -46,13 +46,8 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 
 
 def _borders(keys: DataFrame, ranges: int) -> list[str]:
-    """Keys at which ranges end: quantiles of a sample of `_SAMPLED * ranges` key heads, chosen by hash."""
-    sample = (
-        keys.select(F.left("key", F.lit(256)).alias("key"), F.xxhash64("host", "path", "key").alias("at"))
-        .orderBy("at", "key")
-        .limit(_SAMPLED * ranges)
-        .collect()
-    )
+    """Keys at which ranges end: quantiles of a sample of about `_SAMPLED * ranges` key heads, chosen by hash."""
+    sample = hashed_sample(keys, _SAMPLED * ranges, "host", "path", "key").select(F.left("key", F.lit(256)).alias("key")).collect()
     heads = sorted(row["key"] for row in sample)
     return [heads[len(heads) * i // ranges] for i in range(1, ranges)] if heads else []
 
