@@ -6,7 +6,7 @@ both sizes per byte, goes into a logistic curve that is fitted on labelled rows
 seen. Labels serve the fit alone.
 
 What the driver sees is a bounded sample: of each class at most `per_class` labelled texts of at most
-`sample_bytes` bytes, the first in hash order. Scoring reads every text in full.
+`sample_bytes` bytes, chosen by hash. Scoring reads every text in full.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.llm.tables import hashed_sample
+
 PER_CLASS = 3_000
 SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 112_640
@@ -133,7 +135,9 @@ def fit_quality(
     )
     chosen = None
     for value in (0, 1):
-        own = marked.where(F.col("label") == value).orderBy("at", "id").limit(per_class)
+        # Thinned out by hash first, so that few rows are ordered however many are labelled.
+        own = hashed_sample(marked.where(F.col("label") == value), 2 * per_class, "id")
+        own = own.orderBy("at", "id").limit(per_class)
         chosen = own if chosen is None else chosen.unionByName(own)
     sample = (
         docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
