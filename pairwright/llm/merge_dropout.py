@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections.abc import Iterator
 from typing import ClassVar
 
 import numpy as np
@@ -26,13 +27,18 @@ DROPOUT = 0.1
 SEED = 17
 #: Segmentations that a stretch can have under one seed.
 VARIANTS = 2
-#: Stretches of a variant that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Stretches of a variant that a worker remembers before it starts anew; those before are looked up a while longer.
+REMEMBERED = 120_000
+#: Symbols up to which the agenda is a plain list.
+FEW = 24
+#: Texts that a task reads at a time.
+TOGETHER = 128
 _BLANK = "▁"
 _TAIL = ".,!?;:"
 _STRETCH = re.compile("\n| *[^ \n]+| +")
 _MASK = 0xFFFFFFFFFFFFFFFF
 _ODD = 0x9E3779B97F4A7C15
+_NONE = 1 << 40
 
 
 class Pieces:
@@ -65,7 +71,7 @@ class Pieces:
             self.bytes[i] = text[i].replace(_BLANK, " ").encode()
         for value, i in self.byte.items():
             self.bytes[i] = bytes([value])
-        self.known: dict[int, dict[str, bytes]] = {}  # by variant
+        self.known: dict[int, tuple[dict[str, bytes], dict[str, bytes]]] = {}  # by variant, new and old
         self.dropout, self.seed = 0.0, 0
 
     def set(self, dropout: float, seed: int) -> None:
@@ -80,41 +86,62 @@ class Pieces:
             cls._workers[path] = cls(path)
         return cls._workers[path]
 
-    def merge(self, symbols: list[int], key: int) -> None:
-        """Work off the agenda of some symbols (numbers of pieces), in place; -1 is left where one was merged away."""
+    def merge(self, symbols: list[int], key: int) -> list[int]:
+        """Work off the agenda of some symbols (numbers of pieces) and return what they became."""
+        return self._merge_few(symbols, key) if len(symbols) <= FEW else self._merge_many(symbols, key)
+
+    def _merge_few(self, symbols: list[int], key: int) -> list[int]:
+        """The agenda as a plain list, a place per pair: for a few symbols shorter work than a heap."""
+        pairs, limit = self.pairs, int(self.dropout * 2**32)
+        agenda = [pairs.get(pair, _NONE) for pair in zip(symbols, symbols[1:])]
+        starts = list(range(len(symbols)))
+        while agenda and (place := min(agenda)) != _NONE:
+            at = agenda.index(place)
+            if limit and ((key ^ (place << 32 | starts[at])) * _ODD & _MASK) >> 32 < limit:
+                agenda[at] = _NONE
+                continue
+            symbols[at] = place
+            del symbols[at + 1], starts[at + 1], agenda[at]
+            if at:
+                agenda[at - 1] = pairs.get((symbols[at - 1], place), _NONE)
+            if at < len(agenda):
+                agenda[at] = pairs.get((place, symbols[at + 1]), _NONE)
+        return symbols
+
+    def _merge_many(self, symbols: list[int], key: int) -> list[int]:
+        """The agenda as a heap."""
         pairs, limit, size = self.pairs.get, int(self.dropout * 2**32), len(symbols)
         agenda = []
         for left, pair in enumerate(zip(symbols, symbols[1:])):
             place = pairs(pair)
             if place is not None:
                 agenda.append(place << 32 | left)
-        if not agenda:
-            return
         heapq.heapify(agenda)
-        push, pop = heapq.heappush, heapq.heappop
         after = list(range(1, size + 1))
         before = list(range(-1, size - 1))
+        gone = bytearray(size)
         while agenda:
-            candidate = pop(agenda)
+            candidate = heapq.heappop(agenda)
             left, place = candidate & 0xFFFFFFFF, candidate >> 32
             right = after[left]
             # A side that was merged meanwhile no longer makes this piece.
-            if right >= size or pairs((symbols[left], symbols[right])) != place:
+            if gone[left] or right >= size or pairs((symbols[left], symbols[right])) != place:
                 continue
             if limit and ((key ^ candidate) * _ODD & _MASK) >> 32 < limit:
                 continue
-            symbols[left], symbols[right] = place, -1
+            symbols[left], gone[right] = place, 1
             after[left] = follower = after[right]
             if follower < size:
                 before[follower] = left
                 joined = pairs((place, symbols[follower]))
                 if joined is not None:
-                    push(agenda, joined << 32 | left)
+                    heapq.heappush(agenda, joined << 32 | left)
             leader = before[left]
             if leader >= 0:
                 joined = pairs((symbols[leader], place))
                 if joined is not None:
-                    push(agenda, joined << 32 | leader)
+                    heapq.heappush(agenda, joined << 32 | leader)
+        return [symbol for symbol, out in zip(symbols, gone) if not out]
 
     def _spelled(self, character: str) -> list[int]:
         return [self.byte[b] for b in character.encode("utf-8", "surrogatepass")]
@@ -122,31 +149,37 @@ class Pieces:
     def stretch_ids(self, stretch: str, variant: int) -> bytes:
         """Packed ids. A blank is the vocabulary's own blank; that character itself, and any other without a piece, is spelled in bytes."""
         key = xxhash.xxh3_64_intdigest(stretch.encode("utf-8", "surrogatepass"), (self.seed << 16 | variant) & _MASK)
-        # Characters that are no piece have the number -2, of which no pair is known.
-        place, missing = self.place.get, -2
-        symbols = [missing if c == _BLANK else place(_BLANK if c == " " else c, missing) for c in stretch]
-        self.merge(symbols, key)
+        # Characters that are no piece are numbered below 0 by their place in the stretch; no pair has them.
+        place, missing = self.place.get, []
+        symbols = []
+        for character in stretch:
+            symbol = place(_BLANK if character == " " else character) if character != _BLANK else None
+            if symbol is None:
+                missing.append(character)
+                symbol = -len(missing)
+            symbols.append(symbol)
+        symbols = self.merge(symbols, key)
         at = self.id_at
-        if missing in symbols:
-            out: list[int] = []
-            for character, symbol in zip(stretch, symbols):
-                if symbol >= 0:
-                    out.append(at[symbol])
-                elif symbol == missing:
-                    out += self._spelled(character)
-        else:
-            out = [at[symbol] for symbol in symbols if symbol >= 0]
+        if not missing:
+            return array("I", [at[symbol] for symbol in symbols]).tobytes()
+        out: list[int] = []
+        for symbol in symbols:
+            out += [at[symbol]] if symbol >= 0 else self._spelled(missing[-symbol - 1])
         return array("I", out).tobytes()
 
     def encode(self, text: str, variant: int) -> bytes:
         """Packed ids of a text, with the blank that the vocabulary puts before it."""
         if not text:
             return b""
-        known = self.known.setdefault(variant, {})
+        known, older = self.known.get(variant, ({}, {}))
         if len(known) > REMEMBERED:
-            known.clear()
+            known, older = {}, known
+        self.known[variant] = known, older
         stretches = _STRETCH.findall(" " + text)
         for stretch in set(stretches).difference(known):
+            if stretch in older:
+                known[stretch] = older[stretch]
+                continue
             head = stretch.rstrip(_TAIL)
             # Marks after a word stand alone where no piece has them beside its last character.
             if head and head != stretch and (head[-1], stretch[len(head)]) not in self.neighbours:
@@ -171,12 +204,20 @@ def encode_pieces(path: str, text: str, key: Column, dropout: float = DROPOUT, s
     """
 
     @F.arrow_udf("binary")
-    def encode(texts: pa.Array, keys: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         pieces = Pieces.of(path)
         pieces.set(dropout, seed)
-        out = [pieces.encode(t or "", k) for t, k in zip(texts.to_pylist(), keys.to_pylist())]
-        return pa.array(out, pa.binary())
-
+        for texts, keys in batches:
+            out: list[bytes] = []
+            for at in range(0, len(texts), TOGETHER):
+                some = zip(texts.slice(at, TOGETHER).to_pylist(), keys.slice(at, TOGETHER).to_pylist())
+                out += [pieces.encode(text or "", variant) for text, variant in some]
+            yield pa.array(out, pa.binary())
+        # What a task has met; common stretches are soon learned again by the next.
+        pieces.known.clear()
+
+    # Evaluated once, also where its ids go into another function.
+    encode = encode.asNondeterministic()
     variant = F.pmod(F.xxhash64(F.coalesce(key, F.lit(0)), F.lit(seed)), F.lit(variants))
     return encode(F.col(text).cast("string"), variant)
 
@@ -187,6 +228,6 @@ def decode_pieces(path: str, ids: str) -> Column:
     @F.arrow_udf("string")
     def decode(packed: pa.Array) -> pa.Array:
         pieces = Pieces.of(path)
-        return pa.array([pieces.decode(i or b"") for i in packed.to_pylist()], pa.string())
+        return pa.array([pieces.decode(packed[at].as_py() or b"") for at in range(len(packed))], pa.string())
 
     return decode(F.col(ids))
