@@ -7,10 +7,14 @@ for new words only, many at a time.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 
 #: Words a worker remembers before it starts anew; those before are looked up a while longer.
-REMEMBERED = 150_000
+REMEMBERED = 600_000
+#: Words it carries on to its next task: the first ones met, so the common ones.
+CARRIED = 200_000
 #: New words that go to the tokenizer in one call.
 TOGETHER = 500
 _TAIL = ".,!?;:"
@@ -63,8 +67,10 @@ class WordIds:
         for word in new:
             text = word.decode("utf-8", "replace")
             head = text.rstrip(_TAIL)
-            if head.isalpha() and head.lower().isalpha():
-                split.append((word, head, text[len(head) :]))
+            small = head.lower()
+            if head.isalpha() and small.isalpha():
+                # The tokenizer lower-cases by itself; only its sigma does not hang on the place in the word.
+                split.append((word, head if "Σ" in head else small, text[len(head) :]))
             else:
                 self.known[word] = self._alone(text)
         self._learn_heads(list({head for _, head, _ in split if head not in self.parts}))
@@ -74,8 +80,9 @@ class WordIds:
             self.known[word] = self.parts[head] + (self.parts[tail] if tail else b"")
 
     def forget(self) -> None:
-        """What a task has met; common words are soon learned again by the next."""
-        self.known, self.older, self.parts = {}, {}, {}
+        """Most of what a task has met."""
+        self.known = dict(islice(self.known.items(), CARRIED))
+        self.older, self.parts = {}, {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
