@@ -213,6 +213,35 @@ def test_cross_entropy_difference_against_plain_counts(docs, corpus, tokenizer):
         assert r.difference == pytest.approx(r.target_loss - r.background_loss)
 
 
+@pytest.mark.parametrize("frequent", [1 << 20, 100, 0])
+def test_bigrams_are_counted_exactly(spark, monkeypatch, tokenizer, frequent):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    rng, (start, end) = random.Random(11), WORD_BPE_EDGES
+    names = [w[:-4] for w in sorted(tokenizer.get_vocab()) if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha()][:400]
+    texts = {doc: " ".join(rng.choices(names, k=rng.randint(0, 800))) for doc in range(60)}
+    ids = {doc: tokenizer.encode(text, add_special_tokens=False).ids for doc, text in texts.items()}
+    pairs = {doc: list(zip([start, *own], [*own, end])) for doc, own in ids.items()}
+    distinct = np.array(sorted({pair for own in pairs.values() for pair in own}), np.uint32)
+    assert len(set(lm.cell_of(distinct[:, 0], distinct[:, 1], 1 << 21).tolist())) < len(distinct)  # a fixed table mixes some
+    vocabulary = tokenizer.get_vocab_size(with_added_tokens=True)
+    counts = [[Counter(part(pair) for doc in pairs if chosen(doc) for pair in pairs[doc]) for part in (lambda p: p, lambda p: p[0], lambda p: p[1])]
+              for chosen in (lambda doc: doc % 3 == 0, lambda doc: True)]
+    sizes = [sum(c[0].values()) for c in counts]
+
+    def loss(which, pair):
+        scale = sizes[0] / sizes[which]
+        both, context, following = (c[key] * scale for c, key in zip(counts[which], (pair, *pair)))
+        share = (following + lm.TOKEN_WEIGHT) / (sizes[0] + lm.TOKEN_WEIGHT * vocabulary)
+        return -math.log((both + lm.CONTEXT_WEIGHT * share) / (context + lm.CONTEXT_WEIGHT))
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    rows = score_documents(docs, docs.where("doc_id % 3 = 0").select("doc_id"), WORDS, start, end).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        want = [sum(loss(which, pair) for pair in pairs[r.doc_id]) / len(pairs[r.doc_id]) for which in (0, 1)]
+        assert (r.n_tokens, r.target_loss, r.background_loss) == (len(ids[r.doc_id]), pytest.approx(want[0], rel=1e-9), pytest.approx(want[1], rel=1e-9))
+
+
 def test_the_target_scores_lower(spark):
     rng = random.Random(3)
     rows = [(doc, " ".join(rng.choices(["cat", "dog", "bird"] if doc % 2 else ["tax", "law", "court"], k=30))) for doc in range(60)]
