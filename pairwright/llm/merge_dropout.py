@@ -3,10 +3,11 @@
 A text starts as single characters; an agenda holds the neighbours that together are a piece, best piece
 first and leftmost among equals. Each candidate taken from the agenda is skipped if its keyed hash falls
 below the dropout rate, otherwise merged. No piece has a blank after another character or a line feed, so
-texts are cut there and a worker remembers what each stretch became.
+texts are cut there.
 
-The hash is keyed by seed, variant and stretch; a document's variant comes from its own key. The same seed
-gives the same ids on every run and cluster; other variants and seeds give other segmentations.
+The hash is keyed by seed, document and the stretch's place in it, so every occurrence of a stretch draws for
+itself. A worker remembers what no draw decides: which candidates a stretch's agenda offers after given skips,
+and the ids if there is no further one. The same seed gives the same ids on every run and cluster.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from typing import ClassVar
 
 import numpy as np
@@ -25,9 +27,7 @@ from pyspark.sql import functions as F
 
 DROPOUT = 0.1
 SEED = 17
-#: Segmentations that a stretch can have under one seed.
-VARIANTS = 2
-#: Stretches of a variant that a worker remembers before it starts anew; those before are looked up a while longer.
+#: Stretches, and skips in them, that a worker remembers before it starts anew; those before are looked up a while longer.
 REMEMBERED = 120_000
 #: Symbols up to which the agenda is a plain list.
 FEW = 24
@@ -41,6 +41,22 @@ _ODD = 0x9E3779B97F4A7C15
 _NONE = 1 << 40
 
 
+def _drawn(x: int) -> int:
+    """32 bits of a candidate in its occurrence."""
+    x = x * _ODD & _MASK
+    return ((x ^ x >> 32) * _ODD & _MASK) >> 32
+
+
+class Outcome:
+    """What a stretch became after some skips: its ids without a further one, and the candidates offered since."""
+
+    __slots__ = ("after", "candidates", "ids", "skips", "stretch")
+
+    def __init__(self, stretch: str, skips: tuple[int, ...], ids: bytes, candidates: bytes) -> None:
+        self.stretch, self.skips, self.ids, self.candidates = stretch, skips, ids, candidates
+        self.after: dict[int, Outcome] | None = None  # by the place of the next skip among the candidates
+
+
 class Pieces:
     """A vocabulary: ids of pieces in order of their scores, bytes of ids."""
 
@@ -71,14 +87,18 @@ class Pieces:
             self.bytes[i] = text[i].replace(_BLANK, " ").encode()
         for value, i in self.byte.items():
             self.bytes[i] = bytes([value])
-        self.known: dict[int, tuple[dict[str, bytes], dict[str, bytes]]] = {}  # by variant, new and old
+        # By stretch: its outcome without skips, or those of its two parts; a long one, as it is, is worked off each time.
+        self.known: dict[str, tuple[Outcome | str, ...]] = {}
+        self.older: dict[str, tuple[Outcome | str, ...]] = {}
+        self.size = 0
         self.dropout, self.seed = 0.0, 0
 
     def set(self, dropout: float, seed: int) -> None:
-        """What is remembered belongs to one dropout rate and seed."""
-        if (self.dropout, self.seed) != (dropout, seed):
-            self.known.clear()
-            self.dropout, self.seed = dropout, seed
+        """Nothing that is remembered hangs on them."""
+        self.dropout, self.seed = dropout, seed
+
+    def forget(self) -> None:
+        self.known, self.older, self.size = {}, {}, 0
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -97,7 +117,7 @@ class Pieces:
         starts = list(range(len(symbols)))
         while agenda and (place := min(agenda)) != _NONE:
             at = agenda.index(place)
-            if limit and ((key ^ (place << 32 | starts[at])) * _ODD & _MASK) >> 32 < limit:
+            if limit and _drawn(key ^ (place << 32 | starts[at])) < limit:
                 agenda[at] = _NONE
                 continue
             symbols[at] = place
@@ -108,6 +128,25 @@ class Pieces:
                 agenda[at] = pairs.get((place, symbols[at + 1]), _NONE)
         return symbols
 
+    def _offered(self, symbols: list[int], skips: tuple[int, ...]) -> tuple[list[int], list[int]]:
+        """The agenda of `_merge_few` with given skips (places among all candidates offered): what the symbols became, and the candidates."""
+        pairs, offered = self.pairs.get, []
+        agenda = [pairs(pair, _NONE) for pair in zip(symbols, symbols[1:])]
+        starts = list(range(len(symbols)))
+        while agenda and (place := min(agenda)) != _NONE:
+            at = agenda.index(place)
+            offered.append(place << 32 | starts[at])
+            if skips and len(offered) - 1 in skips:
+                agenda[at] = _NONE
+                continue
+            symbols[at] = place
+            del symbols[at + 1], starts[at + 1], agenda[at]
+            if at:
+                agenda[at - 1] = pairs((symbols[at - 1], place), _NONE)
+            if at < len(agenda):
+                agenda[at] = pairs((place, symbols[at + 1]), _NONE)
+        return symbols, offered
+
     def _merge_many(self, symbols: list[int], key: int) -> list[int]:
         """The agenda as a heap."""
         pairs, limit, size = self.pairs.get, int(self.dropout * 2**32), len(symbols)
@@ -127,7 +166,7 @@ class Pieces:
             # A side that was merged meanwhile no longer makes this piece.
             if gone[left] or right >= size or pairs((symbols[left], symbols[right])) != place:
                 continue
-            if limit and ((key ^ candidate) * _ODD & _MASK) >> 32 < limit:
+            if limit and _drawn(key ^ candidate) < limit:
                 continue
             symbols[left], gone[right] = place, 1
             after[left] = follower = after[right]
@@ -146,11 +185,15 @@ class Pieces:
     def _spelled(self, character: str) -> list[int]:
         return [self.byte[b] for b in character.encode("utf-8", "surrogatepass")]
 
-    def stretch_ids(self, stretch: str, variant: int) -> bytes:
-        """Packed ids. A blank is the vocabulary's own blank; that character itself, and any other without a piece, is spelled in bytes."""
-        key = xxhash.xxh3_64_intdigest(stretch.encode("utf-8", "surrogatepass"), (self.seed << 16 | variant) & _MASK)
-        # Characters that are no piece are numbered below 0 by their place in the stretch; no pair has them.
+    def _symbols(self, stretch: str) -> tuple[list[int], list[str]]:
+        """A blank is the vocabulary's own blank; that character itself, and any other without a piece, is spelled in bytes.
+
+        Characters that are no piece are numbered below 0 by their place among those; no pair has them.
+        """
         place, missing = self.place.get, []
+        symbols = list(map(place, stretch.replace(" ", _BLANK)))
+        if None not in symbols and _BLANK not in stretch:
+            return symbols, missing
         symbols = []
         for character in stretch:
             symbol = place(_BLANK if character == " " else character) if character != _BLANK else None
@@ -158,7 +201,9 @@ class Pieces:
                 missing.append(character)
                 symbol = -len(missing)
             symbols.append(symbol)
-        symbols = self.merge(symbols, key)
+        return symbols, missing
+
+    def _packed(self, symbols: list[int], missing: list[str]) -> bytes:
         at = self.id_at
         if not missing:
             return array("I", [at[symbol] for symbol in symbols]).tobytes()
@@ -167,40 +212,110 @@ class Pieces:
             out += [at[symbol]] if symbol >= 0 else self._spelled(missing[-symbol - 1])
         return array("I", out).tobytes()
 
-    def encode(self, text: str, variant: int) -> bytes:
-        """Packed ids of a text, with the blank that the vocabulary puts before it."""
-        if not text:
-            return b""
-        known, older = self.known.get(variant, ({}, {}))
-        if len(known) > REMEMBERED:
-            known, older = {}, known
-        self.known[variant] = known, older
-        stretches = _STRETCH.findall(" " + text)
-        for stretch in set(stretches).difference(known):
+    def stretch_ids(self, stretch: str, key: int) -> bytes:
+        """Packed ids of a stretch whose occurrence has this key."""
+        symbols, missing = self._symbols(stretch)
+        return self._packed(self.merge(symbols, key), missing)
+
+    def outcome(self, stretch: str, skips: tuple[int, ...] = ()) -> Outcome:
+        symbols, missing = self._symbols(stretch)
+        symbols, offered = self._offered(symbols, skips)
+        since = skips[-1] + 1 if skips else 0
+        self.size += 1
+        return Outcome(stretch, skips, self._packed(symbols, missing), array("Q", offered[since:]).tobytes())
+
+    def _part(self, part: str) -> tuple[Outcome | str]:
+        if part not in self.known:
+            self.known[part] = (self.outcome(part) if len(part) <= FEW else part,)
+        return self.known[part]
+
+    def _learn(self, stretches: set[str]) -> None:
+        if self.size > 2 * REMEMBERED:
+            self.known, self.older, self.size = {}, self.known, 0
+        known, older = self.known, self.older
+        for stretch in stretches.difference(known):
             if stretch in older:
                 known[stretch] = older[stretch]
+                self.size += 1
                 continue
             head = stretch.rstrip(_TAIL)
             # Marks after a word stand alone where no piece has them beside its last character.
             if head and head != stretch and (head[-1], stretch[len(head)]) not in self.neighbours:
-                parts = head, stretch[len(head) :]
-                for part in parts:
-                    if part not in known:
-                        known[part] = self.stretch_ids(part, variant)
-                known[stretch] = known[parts[0]] + known[parts[1]]
+                known[stretch] = self._part(head) + self._part(stretch[len(head) :])
+            else:
+                self._part(stretch)
+
+    def _keys(self, document: int, places: int) -> np.ndarray:
+        """A key for every place of a document."""
+        base = xxhash.xxh3_64_intdigest((document & _MASK).to_bytes(8, "little"), self.seed & _MASK)
+        x = np.arange(1, places + 1, dtype=np.uint64) * np.uint64(_ODD) + np.uint64(base)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def _first_skips(self, outcomes: list[Outcome], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which outcomes have a candidate that is skipped, and the place of the first among its candidates."""
+        offered = [outcome.candidates for outcome in outcomes]
+        sizes = np.fromiter(map(len, offered), np.int64, len(offered)) >> 3
+        ends = np.cumsum(sizes)
+        x = (np.frombuffer(b"".join(offered), np.uint64) ^ np.repeat(keys, sizes)) * np.uint64(_ODD)
+        x = ((x ^ (x >> np.uint64(32))) * np.uint64(_ODD)) >> np.uint64(32)
+        skipped = np.flatnonzero(x < np.uint64(int(self.dropout * 2**32)))
+        owners = np.searchsorted(ends, skipped, "right")
+        first = np.flatnonzero(np.diff(owners, prepend=-1))
+        owners, skipped = owners[first], skipped[first]
+        return owners, skipped - (ends - sizes)[owners]
+
+    def encode_all(self, texts: list[str], documents: list[int]) -> list[bytes]:
+        """Packed ids of each text, with the blank that the vocabulary puts before it."""
+        cut = [_STRETCH.findall(" " + text) if text else [] for text in texts]
+        self._learn(set(chain.from_iterable(cut)))
+        look = self.known.__getitem__
+        parts = [list(chain.from_iterable(map(look, stretches))) for stretches in cut]
+        sizes = list(map(len, parts))
+        keys = np.concatenate([np.empty(0, np.uint64), *map(self._keys, documents, sizes)])
+        ends: list[Outcome | str] = list(chain.from_iterable(parts))
+        out: list[bytes] = [b""] * len(ends)
+        for at, part in enumerate(ends):
+            if part.__class__ is str:
+                out[at] = self.stretch_ids(part, int(keys[at]))
             else:
-                known[stretch] = self.stretch_ids(stretch, variant)
-        return b"".join(map(known.__getitem__, stretches))
+                out[at] = part.ids
+        if self.dropout:
+            open_at = np.array([at for at, part in enumerate(ends) if part.__class__ is not str], np.int64)
+            open_now = [part for part in ends if part.__class__ is not str]
+            while len(open_at):
+                owners, skipped = self._first_skips(open_now, keys[open_at])
+                open_at, following = open_at[owners], []
+                for at, owner, place in zip(open_at.tolist(), owners.tolist(), skipped.tolist()):
+                    outcome = open_now[owner]
+                    if outcome.after is None:
+                        outcome.after = {}
+                    after = outcome.after.get(place)
+                    if after is None:
+                        since = outcome.skips[-1] + 1 if outcome.skips else 0
+                        after = outcome.after[place] = self.outcome(outcome.stretch, (*outcome.skips, since + place))
+                    out[at] = after.ids
+                    following.append(after)
+                open_now = following
+        joined, begin = [], 0
+        for size in sizes:
+            joined.append(b"".join(out[begin : begin + size]))
+            begin += size
+        return joined
+
+    def encode(self, text: str, document: int) -> bytes:
+        return self.encode_all([text], [document])[0]
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, np.uint32).tolist()))
         return text[1:].decode("utf-8", "surrogatepass")
 
 
-def encode_pieces(path: str, text: str, key: Column, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> Column:
+def encode_pieces(path: str, text: str, key: Column, dropout: float = DROPOUT, seed: int = SEED) -> Column:
     """Packed 32-bit ids of each whole text. Null and empty texts have no ids.
 
-    `key` (a long; null as 0) picks the document's variant. With `dropout` 0 the ids are the vocabulary's own.
+    `key` (a long; null as 0) names the document: rows of one key and text have the same ids. With `dropout` 0 the ids are the vocabulary's own.
     """
 
     @F.arrow_udf("binary")
@@ -210,16 +325,15 @@ def encode_pieces(path: str, text: str, key: Column, dropout: float = DROPOUT, s
         for texts, keys in batches:
             out: list[bytes] = []
             for at in range(0, len(texts), TOGETHER):
-                some = zip(texts.slice(at, TOGETHER).to_pylist(), keys.slice(at, TOGETHER).to_pylist())
-                out += [pieces.encode(text or "", variant) for text, variant in some]
+                some = [text or "" for text in texts.slice(at, TOGETHER).to_pylist()]
+                out += pieces.encode_all(some, keys.slice(at, TOGETHER).to_pylist())
             yield pa.array(out, pa.binary())
         # What a task has met; common stretches are soon learned again by the next.
-        pieces.known.clear()
+        pieces.forget()
 
     # Evaluated once, also where its ids go into another function.
     encode = encode.asNondeterministic()
-    variant = F.pmod(F.xxhash64(F.coalesce(key, F.lit(0)), F.lit(seed)), F.lit(variants))
-    return encode(F.col(text).cast("string"), variant)
+    return encode(F.col(text).cast("string"), F.coalesce(key.cast("long"), F.lit(0)))
 
 
 def decode_pieces(path: str, ids: str) -> Column:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairwright.llm import lm, quality
+from pairwright.llm import lm, merge_dropout, quality
 from pairwright.llm.lm import score_documents
 from pairwright.llm.merge_dropout import Pieces, decode_pieces, encode_pieces
 from pairwright.llm.packing_fit import pack_texts, plan_packing
@@ -134,6 +134,41 @@ def test_both_agendas_agree():
         assert pieces._merge_few(list(symbols), key) == pieces._merge_many(list(symbols), key)
 
 
+def test_every_occurrence_draws_for_itself():
+    pieces = Pieces(PIECES)
+    pieces.set(0.1, 3)
+    word = "internationalisation"
+
+    def cuts(document):
+        text = " ".join([word] * 300)
+        out, held = [], b""
+        for i in np.frombuffer(pieces.encode(text, document), np.uint32).tolist():
+            if pieces.bytes[i].startswith(b" ") and held:
+                out.append(held)
+                held = b""
+            held += pieces.bytes[i] + b"|"
+        return [*out, held]
+
+    one, other = cuts(1), cuts(2)
+    assert len(set(one)) > 10 and len(set(one) | set(other)) > len(set(one)) and one != other
+    # Draws are independent: the chance that a whole agenda is worked off without a skip.
+    outcome, places = pieces.outcome(" " + word), 20_000
+    skipped = len(pieces._first_skips([outcome] * places, pieces._keys(1, places))[0])
+    assert 1 - skipped / places == pytest.approx(0.9 ** (len(outcome.candidates) // 8), abs=0.02)
+
+
+def test_outcomes_are_those_of_the_agenda(corpus):
+    pieces = Pieces(PIECES)
+    pieces.set(0.2, 5)
+    texts = [text or "" for _, text, _ in corpus]
+    got = pieces.encode_all(texts, list(range(len(texts))))
+    for document, text in enumerate(texts):
+        assert got[document] == Pieces.encode(pieces, text, document)
+        parts = [p.stretch if p.__class__ is not str else p for s in merge_dropout._STRETCH.findall(" " + text) for p in pieces.known[s]] if text else []
+        keys = pieces._keys(document, len(parts)).tolist()
+        assert got[document] == b"".join(map(pieces.stretch_ids, parts, keys))
+
+
 def test_merge_dropout_of_odd_rows(odd, nothing):
     coded = odd.withColumn("ids", encode_pieces(PIECES, "text", F.col("doc_id")))
     assert sorted(r.back for r in coded.select(decode_pieces(PIECES, "ids").alias("back")).collect()) == sorted(
