@@ -19,6 +19,7 @@ So every pair that shares a list is either confirmed or refuted, or its classes
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ _PIECE = 1 << 15
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """`doc_id`, `n` (shingles), `class` (64-bit key of the set; null without shingles) and `signature` of each row."""
+    """`doc_id`, `digest` (of the text), `n` (shingles), `class` (64-bit key of the set; null without shingles) and `signature` of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, "text"):
@@ -54,11 +55,12 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
             offsets = np.zeros(len(sizes) + 1, np.int32)
             offsets[1:] = np.cumsum(own) * COORDINATES
             signed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            digests = pa.array([hashlib.sha256(text).digest() for text in texts], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), keys, signed], names=["doc_id", "n", "class", "signature"]
+                [batch.column("doc_id"), digests, pa.array(sizes), keys, signed], names=["doc_id", "digest", "n", "class", "signature"]
             )
 
-    return docs.mapInArrow(sign, "doc_id long, n long, class long, signature array<int>")
+    return docs.mapInArrow(sign, "doc_id long, digest binary, n long, class long, signature array<int>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -212,6 +214,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doc_id are judged by their own texts. A null doc_id never names a component that has another.
     Sets count as equal if their 64-bit keys are; full sets are compared by 64-bit shingles.
     """
+    signed, owners = _judged(docs, doc_id, text, words, alike)
+    return signed.select("doc_id", F.col("n").alias("n_shingles"), "class").join(owners.hint("merge"), "class", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce("component", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
+    )
+
+
+def _judged(docs: DataFrame, doc_id: str, text: str, words: int, alike: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows, and of each class its `component` (the smallest doc_id) and `root` (of a component; null alone)."""
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = stage(_signed(read, words), "signatures")
     classes = stage(
@@ -240,20 +253,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = components(links.unionByName(rest))
     named = roots.join(classes.select(F.col("class").alias("node"), "least").hint("merge"), "node")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    found = named.join(least, "root").select(F.col("node").alias("class"), "component")
+    found = named.join(least, "root").select(F.col("node").alias("class"), "root", "component")
     owners = classes.select("class", "least").join(found.hint("merge"), "class", "left").select(
-        "class", F.coalesce("component", "least").alias("component")
-    )
-    return signed.select("doc_id", F.col("n").alias("n_shingles"), "class").join(owners.hint("merge"), "class", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce("component", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
+        "class", "root", F.coalesce("component", "least").alias("component")
     )
+    return signed, owners
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, alike: int = ALIKE) -> DataFrame:
-    """The rows of `docs` whose document is kept by `near_duplicates`, with all their columns."""
-    (name,) = fresh(docs, "_gone")
-    gone = near_duplicates(docs, doc_id, text, words, alike).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
+    """One row of each group that `near_duplicates` links, and all rows without shingles, with all their columns.
+
+    Rows are told apart by doc_id and text, so a doc_id that repeats goes with those of its texts only that are
+    near copies. A group keeps the row with its smallest doc_id (null last), of several texts of that the one
+    with the smallest SHA-256, of rows alike in both any one.
+    """
+    signed, owners = _judged(docs, doc_id, text, words, alike)
+    rows = signed.where("class IS NOT NULL").select("doc_id", "digest", "class")
+    # Written, so that a large group's rows can be dealt to several tasks in both joins.
+    roots = stage(owners.select("class", "root"), "roots")
+    grouped = rows.join(roots.hint("merge"), "class").select(
+        F.coalesce("root", "class").alias("group"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest").alias("row")
+    )
+    counted = stage(grouped.groupBy("group", "row").agg(F.count("*").alias("times")), "group-rows")
+    first = stage(counted.groupBy("group").agg(F.min("row").alias("first")), "group-firsts")
+    marked = counted.join(first.hint("merge"), "group")
+    name, body, given, seen = fresh(docs, "_gone", "_body", "_given", "_seen")
+    row = [F.col("row.doc_id").alias(name), F.col("row.digest").alias(body)]
+    gone = marked.where(F.col("row") != F.col("first")).select(*row)
+    twice = stage(marked.where((F.col("row") == F.col("first")) & (F.col("times") > 1)).select(*row), "repeated-rows")
+    keyed = docs.withColumns(
+        {given: F.col(doc_id).cast("long"), seen: F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))}
+    )
+    same = F.col(given).eqNullSafe(F.col(name)) & (F.col(seen) == F.col(body))
+    kept = keyed.join(gone.unionByName(twice).hint("merge"), same, "left_anti")
+    if not twice.isEmpty():
+        kept = kept.unionByName(keyed.join(twice.hint("merge"), same, "left_semi").dropDuplicates([given, seen]))
+    return kept.drop(given, seen)

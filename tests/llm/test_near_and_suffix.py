@@ -85,6 +85,18 @@ def test_near_duplicates_of_odd_rows(odd, nothing):
     assert {(r._gone, r.doc) for r in keep_one(odd).collect()} == {("_gone", "doc")}
 
 
+def test_one_row_of_each_group_is_left(spark, odd, docs, corpus):
+    rows = sorted((r.doc_id or 0, r.text or "") for r in keep_one(odd, words=2).collect())
+    assert rows == [(0, ""), (1, "a b c d e f g"), (2, "quite another text here")]
+    assert len(keep_one(odd, words=2).where("n IS NULL").collect()) == 1
+    some = [(None, "x y z"), (None, "X y z"), (None, "p q r"), (None, ""), (7, ""), (7, ""), (8, "k l m"), (8, "K l m"), (8, "p q r s")]
+    frame = spark.createDataFrame(some, "doc_id int, text string").repartition(3)
+    left = sorted((r.doc_id or 0, r.text.lower()) for r in keep_one(frame, words=2).collect())
+    assert left == [(0, ""), (0, "p q r"), (0, "x y z"), (7, ""), (7, ""), (8, "k l m"), (8, "p q r s")]
+    want = {doc for doc, (_, _, kept) in near_by_pairs(corpus, 5).items() if kept}
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == sorted(want)
+
+
 def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(0, 70)] + [(200 + i, 200) for i in range(9)] + [(5, 5), (301, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
