@@ -12,9 +12,12 @@ from pairwright.llm.lm import score_documents
 from pairwright.llm.merge_dropout import decode_pieces, encode_pieces
 from pairwright.llm.minhash import near_duplicates
 from pairwright.llm.packing_fit import pack_texts
+from pairwright.llm.projections import ALIKE, near_vectors
 from pairwright.llm.quality import classify
+from pairwright.llm.spelling import spelling_variants
 from pairwright.llm.suffix import cut_repeats
 from pairwright.llm.tables import read_table
+from pairwright.llm.trie import nested, prefix_trie, rebuilt
 from pairwright.llm.url_rules import judge_urls, rule_table
 
 #: Rules (host, path, verdict) of the url query: given, fixed values.
@@ -97,6 +100,29 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that share their first turns by hundreds."""
+    nodes = prefix_trie(rebuilt(nested(read_table(spark, sf_dir, "conversations"))))
+    return nodes.select(
+        "conv_id",
+        F.col("depth").cast("long").alias("depth"),
+        "parent_conv_id",
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        F.col("saved").alias("saved_tokens"),
+        F.col("ends").alias("ends_sha256"),
+    )
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_url_rules": op2_url_rules,
@@ -108,8 +134,19 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII or UTF-8 `text`, bit by bit: the SQL engine has no such function."""
+    steps = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    pairs = f"[CAST('0x' || hex({text})[2 * i - 1 : 2 * i] AS BIGINT) FOR i IN range(1, CAST(strlen({text}) AS BIGINT) + 1)]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {pairs}), lambda c, b: {steps}), 4294967295)"
+
+
 ORACLES = {
     "op2_url_rules": r"""
         WITH cut AS (
@@ -159,4 +196,89 @@ ORACLES = {
                coalesce(kept_sha256, sha256('')) AS kept_sha256
         FROM documents d LEFT JOIN rebuilt USING (doc_id)
     """,
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
+                   unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+            FROM documents
+        ), counted AS MATERIALIZED (
+            SELECT doc || ':' || run AS keyed, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL
+        ), hashed AS (
+            SELECT run, n, {crc32_sql('keyed')} AS h FROM counted
+        ), cut AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+        ), words AS MATERIALIZED (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+        ), without AS MATERIALIZED (
+            SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+        ), near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n FROM without a JOIN without b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT a.word, w.word, w.n FROM without a JOIN words w ON w.word = a.rest
+            UNION SELECT w.word, a.word, a.n FROM without a JOIN words w ON w.word = a.rest
+        ), best AS (
+            SELECT word, count(*) AS n_near, min({{'less': -other_n, 'form': other}}) AS top FROM near GROUP BY word
+        ), judged AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+                   CASE WHEN -top.less >= 10 * w.n THEN top.form END AS form, CASE WHEN -top.less >= 10 * w.n THEN CAST(-top.less AS BIGINT) END AS form_n
+            FROM words w LEFT JOIN best b ON b.word = w.word
+        ), chain AS (
+            SELECT word, form AS root FROM judged WHERE form IS NOT NULL
+            UNION ALL SELECT c.word, j.form FROM chain c JOIN judged j ON j.word = c.root WHERE j.form IS NOT NULL
+        ), lasts AS (
+            SELECT c.word, c.root FROM chain c JOIN judged j ON j.word = c.root WHERE j.form IS NULL
+        )
+        SELECT j.word, form, coalesce(root, j.word) AS root, n, n_near, form_n FROM judged j LEFT JOIN lasts l ON l.word = j.word
+    """,
+    "op12_conversation_trie": rf"""
+        WITH ids AS MATERIALIZED (
+            SELECT conv_id, list([coalesce(role, ''), coalesce(text, '')] ORDER BY turn NULLS FIRST) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), hashed AS (
+            SELECT *, {crc32_sql('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM ids
+        ), rebuilt AS MATERIALIZED (
+            SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns
+            FROM hashed a LEFT JOIN ids b ON b.conv_id = a.conv_id - a.conv_id % 100
+        ), prefixes AS (
+            SELECT conv_id, d, turns[1:d] AS path, d = len(turns) AS ends FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+        ), keyed AS MATERIALIZED (
+            SELECT conv_id, d, ends, sha256(CAST(to_json(path) AS VARCHAR)) AS node, sha256(CAST(to_json(path[1:d - 1]) AS VARCHAR)) AS parent,
+                   CASE WHEN d > 0 THEN length(path[d][2]) ELSE 0 END AS size
+            FROM prefixes
+        ), nodes AS MATERIALIZED (
+            SELECT d, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM keyed GROUP BY d, node
+        ), children AS MATERIALIZED (
+            SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+        ), under AS (
+            SELECT DISTINCT k.d, k.node, b.d AS below_d, b.node AS below FROM keyed k JOIN keyed b ON b.conv_id = k.conv_id AND b.d >= k.d
+        ), summed AS (
+            SELECT u.d, u.node, count(*) FILTER (c.node IS NULL) AS n_leaves, CAST(sum(b.own) AS BIGINT) AS saved_tokens
+            FROM under u JOIN nodes b ON b.d = u.below_d AND b.node = u.below LEFT JOIN children c ON c.d = b.d AND c.node = b.node
+            GROUP BY u.d, u.node
+        )
+        SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+        FROM nodes n JOIN summed s ON s.d = n.d AND s.node = n.node
+        LEFT JOIN children c ON c.d = n.d AND c.node = n.node LEFT JOIN nodes p ON p.d = n.d - 1 AND p.node = n.parent
+    """,
+    "op13_embedding_near_dedup": rf"""
+        WITH RECURSIVE whole AS MATERIALIZED (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        ), sound AS MATERIALIZED (
+            SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS size FROM whole
+            WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0
+        ), links AS MATERIALIZED (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= {ALIKE}
+        ), reached AS (
+            SELECT u AS a, u AS b FROM links UNION SELECT a, v FROM reached JOIN links ON u = b
+        ), roots AS (
+            SELECT a, min(b) AS root FROM reached GROUP BY a
+        ), degrees AS (
+            SELECT u, count(*) AS n FROM links GROUP BY u
+        )
+        SELECT w.vec_id, coalesce(n, 0) AS n_links, coalesce(root, w.vec_id) AS component_id, coalesce(root, w.vec_id) = w.vec_id AS kept
+        FROM whole w LEFT JOIN roots r ON r.a = w.vec_id LEFT JOIN degrees d ON d.u = w.vec_id
+    """,
 }
