@@ -183,6 +183,30 @@ def fold_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_sizes(views.folded_plan(spark, sf_dir))
 
 
+def fold_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What folds must be, whatever the rule: every prompt whole, rows, classes and prompts of several rows even.
+
+    A count may be off an even share by the most that one prompt brings of it, or by one.
+    """
+    folded = stage(views.folded_plan(spark, sf_dir), "folded")
+    label = label_index()
+    prompts = folded.groupBy("prompt_key").agg(
+        F.count("*").alias("rows"),
+        *[F.count_if(label == i).alias(name) for i, name in enumerate(LABEL_COLUMNS)],
+        F.max("fold").alias("fold"),
+        (F.count_distinct("fold") == 1).alias("whole"),
+    ).withColumn("several", (F.col("rows") > 1).cast("long"))
+    counted = ("rows", *LABEL_COLUMNS, "several")
+    items = F.array(*[F.struct(F.lit(name).alias("what"), F.col(name).alias("n")) for name in counted])
+    long = prompts.select("fold", "whole", F.inline(items))
+    per_fold = long.groupBy("what", "fold").agg(F.sum("n").alias("n"))
+    whole = long.groupBy("what").agg(
+        F.sum("n").alias("total"), F.max("n").alias("most"), F.min("whole").alias("all_whole")
+    )
+    even = F.abs(F.col("n") - F.col("total") / views.FOLDS) <= F.greatest(F.lit(1), F.col("most"))
+    return per_fold.join(whole, "what").select("fold", "what", "total", "most", (even & F.col("all_whole")).alias("met"))
+
+
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Written by fold, so that each side opens its own folders only.
     folded = stage(
@@ -716,6 +740,7 @@ QUERIES: dict[str, Query] = {
     "label_argmax": label_argmax,
     "fold_assignment": fold_assignment,
     "fold_balance": fold_balance,
+    "fold_shares": fold_shares,
     "holdout_split": holdout_split,
     "swap_augment": mirrored,
     "template_fan_out": template_fan_out,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 from itertools import accumulate
 from operator import add
@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from pairwright.functions.labels import label_index
 from pairwright.functions.turns import key_text, seeded_hash
 from pairwright.operators.joins import salted_join
-from pairwright.operators.ranks import rank_within, running_before
+from pairwright.operators.ranks import hash_digits, rank_within, running_before
 from pairwright.operators.skew import HOT_ROWS
 from pairwright.staging import stage
 
 STRATUM = ("n_a", "n_b", "n_tie")
 
-# Tasks that share the prompts of one size when these meet what lies before them.
+# Tasks that share the prompts of one stratum when these meet what lies before them.
 SPREAD = 64
+# Prompts that are dealt one by one, those with the most rows: the driver sees that many rows of five numbers.
+# Any other prompt of several rows holds less than one in so many of such prompts' rows.
+BIG_PROMPTS = 4096
 
 
 def prompt_groups(pairs: DataFrame) -> DataFrame:
@@ -33,46 +36,87 @@ def prompt_groups(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _hash_ranked(groups: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+def _hash_ranked(groups: DataFrame, keys: Sequence[str], seed: int, n_groups: int) -> DataFrame:
     """`_rank`: 1-based place of a prompt among those with equal `keys`, by seeded hash."""
-    hashed = groups.withColumn("_hash", seeded_hash(seed, key_text(F.col("prompt_key"))))
+    digits = hash_digits(n_groups)
+    hashed = groups.withColumn("_hash", _prompt_hash(seed))
     return rank_within(
         hashed,
         keys=keys,
         order=["_hash", "prompt_key"],
-        bucket=F.substring("_hash", 1, 3),
+        bucket=F.substring("_hash", 1, digits),
         rank="_rank",
         size="_size",
+        digits=digits,
     ).drop("_hash", "_size")
 
 
-def _dealt_by_rows(several: DataFrame, k: int, seed: int) -> DataFrame:
-    """Prompts of several rows with their fold.
+def _prompt_hash(seed: int) -> Column:
+    return seeded_hash(seed, key_text(F.col("prompt_key")))
 
-    Laid end to end by falling size, a prompt goes to the fold in whose share of the rows its middle lies.
+
+def _least_deviation(vectors: Iterable[Sequence[int]], k: int) -> list[int]:
+    """The fold of each vector, one after the other: where the squared deviation of all folds grows least.
+
+    The sum of the vectors is given, so that is the fold whose load has the least product with the
+    vector; of equals the emptier one, then the first.
     """
-    sizes = several.groupBy("n_rows").agg(F.count("*").alias("_n"))
-    laid = sizes.select("n_rows", (-F.col("n_rows")).alias("_falling"), (F.col("n_rows") * F.col("_n")).alias("_rows"))
-    # The most common size may be that of nearly all prompts, so each size is there once per piece.
-    starts = running_before(laid, ["_falling"], "_rows", "_start").select(
-        "n_rows", "_start", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_piece")
+    loads = [[0] * (len(STRATUM) + 1) for _ in range(k)]
+    dealt = []
+    for vector in vectors:
+        fold = min(
+            range(k), key=lambda f: (sum(load * one for load, one in zip(loads[f], vector)), loads[f][-1], f)
+        )
+        loads[fold] = [load + one for load, one in zip(loads[fold], vector)]
+        dealt.append(fold)
+    return dealt
+
+
+def _big_dealt(several: DataFrame, k: int, seed: int, big: int) -> DataFrame:
+    """(prompt_key, fold) of the `big` prompts with the most rows: that many rows of numbers pass the driver."""
+    first = (
+        several.withColumn("_hash", _prompt_hash(seed))
+        .orderBy(F.desc("n_rows"), "_hash", "prompt_key")
+        .limit(big)
+        .collect()
     )
-    total = several.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"]
-    ranked = _hash_ranked(several, ["n_rows"], seed).withColumn(
-        "_piece", F.pmod(F.xxhash64("prompt_key"), F.lit(SPREAD)).cast("int")
+    folds = _least_deviation(([row[name] for name in (*STRATUM, "n_rows")] for row in first), k)
+    rows = [(bytes(row["prompt_key"]), fold) for row, fold in zip(first, folds)]
+    return several.sparkSession.createDataFrame(rows, "prompt_key binary, fold int")
+
+
+def _dealt_round(several: DataFrame, k: int, seed: int, n_groups: int) -> DataFrame:
+    """Prompts of several rows with their fold, dealt one after the other in the order of their strata.
+
+    A stratum is what has the same number of rows of each class. Strata follow each other by falling size and,
+    there and back, by their classes, so that neighbours are alike and every k of them differ little.
+    """
+    back = F.when(F.col("n_rows") % 2 == 0, F.col("n_a")).otherwise(-F.col("n_a"))
+    forth = F.when(F.col("n_a") % 2 == 0, F.col("n_b")).otherwise(-F.col("n_b"))
+    strata = several.groupBy(*STRATUM, "n_rows").agg(F.count("*").alias("_n")).select(
+        *STRATUM, (-F.col("n_rows")).alias("_falling"), back.alias("_back"), forth.alias("_forth"), "_n"
     )
-    # Twice the middle, so that all numbers are whole.
-    middle = 2 * F.col("_start") + (2 * F.col("_rank") - 1) * F.col("n_rows")
-    return (
-        ranked.join(starts, ["n_rows", "_piece"])
-        .withColumn("fold", _whole_parts(k * middle, max(1, 2 * total)))
-        .select("prompt_key", *STRATUM, "n_rows", "fold")
+    # Nearly all prompts may be of one stratum, so each is there once per piece.
+    starts = running_before(strata, ["_falling", "_back", "_forth"], "_n", "_start").select(
+        *STRATUM, "_start", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_piece")
+    )
+    ranked = _hash_ranked(several, list(STRATUM), seed, n_groups).withColumn(
+        "_piece", F.pmod(F.xxhash64("prompt_key"), F.lit(SPREAD)).cast("int")
     )
+    fold = F.pmod(F.col("_start") + F.col("_rank") - 1, F.lit(k)).cast("int")
+    return ranked.join(starts, [*STRATUM, "_piece"]).select("prompt_key", *STRATUM, "n_rows", fold.alias("fold"))
 
 
-def _whole_parts(value: Column, part: int) -> Column:
-    """Whole-number division."""
-    return ((value - F.pmod(value, F.lit(part))) / part).cast("int")
+def _dealt_by_rows(several: DataFrame, k: int, seed: int, n_several: int, big: int) -> DataFrame:
+    """Prompts of several rows with their fold: the biggest by least deviation, the others in turn."""
+    # As many rows as `big` says.
+    first = F.broadcast(_big_dealt(several, k, seed, big))
+    columns = ("prompt_key", *STRATUM, "n_rows", "fold")
+    dealt = several.join(first, "prompt_key").select(*columns)
+    if n_several <= big:
+        return dealt
+    rest = several.join(first.select("prompt_key"), "prompt_key", "left_anti")
+    return dealt.unionByName(_dealt_round(rest, k, seed, n_several))
 
 
 def _fill(held: Sequence[int], amount: int) -> list[int]:
@@ -100,26 +144,29 @@ def _loads(dealt: DataFrame, k: int) -> list[dict[str, int]]:
     ]
 
 
-def group_folds(groups: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
+def group_folds(groups: DataFrame, k: int = 5, seed: int = 0, big: int = BIG_PROMPTS) -> DataFrame:
     """(prompt_key, n_a, n_b, n_tie, n_rows, fold) from `prompt_groups`, one row per prompt.
 
-    Prompts of several rows are dealt by their rows, each fold an even share of them; the one-row prompts of
-    each class then fill the folds up to one level of that class.
+    The `big` prompts with the most rows go, by falling size, where the squared deviation of rows and classes from
+    even folds grows least; other prompts of several rows are dealt in turn, stratum after stratum; the
+    one-row prompts of each class then fill the folds up to one level of that class.
     """
-    several = stage(_dealt_by_rows(groups.where("n_rows > 1"), k, seed), "several")
     singles = [
         F.count_if((F.col("n_rows") == 1) & (F.col(name) == 1)).alias(f"single_{name}")
         for name in STRATUM
     ]
-    whole = groups.agg(*singles).first()
+    whole = groups.agg(*singles, F.count_if(F.col("n_rows") > 1).alias("several")).first()
+    dealt = _dealt_by_rows(groups.where("n_rows > 1"), k, seed, whole["several"], big)
+    several = stage(dealt, "several")
     held = _loads(several, k)
     fold = F.lit(0)
     for name in STRATUM:
         ranked = _passed(F.col("_rank"), _fill([one[name] for one in held], whole[f"single_{name}"]))
         fold = F.when(F.col(name) == 1, ranked).otherwise(fold)
-    alone = _hash_ranked(groups.where("n_rows = 1"), list(STRATUM), seed)
-    dealt = alone.select("prompt_key", *STRATUM, "n_rows", fold.cast("int").alias("fold"))
-    return several.unionByName(dealt)
+    n_singles = sum(whole[f"single_{name}"] for name in STRATUM)
+    alone = _hash_ranked(groups.where("n_rows = 1"), list(STRATUM), seed, n_singles)
+    filled = alone.select("prompt_key", *STRATUM, "n_rows", fold.cast("int").alias("fold"))
+    return several.unionByName(filled)
 
 
 def assign_folds(

@@ -1,12 +1,16 @@
 """Folds keep prompts whole and classes even, also around a giant prompt."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pairwright.operators.folds import (
+    _least_deviation,
     assign_folds,
     filter_rows,
     fold_sizes,
+    group_folds,
     training_rows,
     validation_rows,
 )
@@ -67,6 +71,47 @@ def test_fewer_prompts_than_folds(spark):
     assert assign_folds(pairs(spark, rows=3), 5, 0).count() == 3
 
 
+def of_sizes(spark, prompts=2000):
+    """Prompts of 2 to 34 rows whose class depends on their size, as groups."""
+    size = F.col("id") % 33 + 2
+    n_a = F.floor(size * (F.col("id") % 33) / 32)
+    n_b = F.floor((size - n_a) / 2)
+    return spark.range(prompts).select(
+        F.encode(F.col("id").cast("string"), "utf-8").alias("prompt_key"),
+        n_a.alias("n_a"), n_b.alias("n_b"), (size - n_a - n_b).alias("n_tie"), size.alias("n_rows"),
+    )
+
+
+@pytest.mark.parametrize("big", [0, 50, 4096])
+def test_classes_that_depend_on_the_size_are_even(spark, big):
+    """One by one, in turn, or both: folds have the size mix and the class shares of the whole."""
+    groups = of_sizes(spark)
+    dealt = group_folds(groups, 5, 0, big)
+    folds = dealt.groupBy("fold").agg(
+        *[F.sum(n).alias(n) for n in ("n_a", "n_b", "n_tie", "n_rows")], F.count("*").alias("n")
+    ).collect()
+    whole = groups.agg(*[F.sum(n).alias(n) for n in ("n_a", "n_b", "n_tie", "n_rows")]).first()
+    assert len(folds) == 5 and sum(f.n for f in folds) == 2000
+    for fold in folds:
+        assert abs(fold.n_rows / whole.n_rows - 0.2) < 0.002 and abs(fold.n - 400) <= 20
+        for name in ("n_a", "n_b", "n_tie"):
+            assert abs(fold[name] / fold.n_rows - whole[name] / whole.n_rows) < 0.005
+
+
+def test_dealing_by_least_deviation():
+    """Every vector went where the sum of squares is least."""
+    rng = random.Random(2)
+    vectors = [[rng.randint(0, 5) for _ in range(3)] for _ in range(200)]
+    vectors = [[*v, sum(v)] for v in vectors]
+    loads = [[0] * 4 for _ in range(4)]
+    for vector, fold in zip(vectors, _least_deviation(vectors, 4)):
+        def squares(f):
+            return sum((x + y * (g == f)) ** 2 for g, load in enumerate(loads) for x, y in zip(load, vector))
+
+        assert squares(fold) == min(squares(f) for f in range(4))
+        loads[fold] = [x + y for x, y in zip(loads[fold], vector)]
+
+
 def test_text_predicates(spark):
     table = spark.range(20).select((F.col("id") % 5).cast("int").alias("fold"))
     assert filter_rows(table, "fold != 0").count() == 16

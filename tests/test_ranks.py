@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.turns import seeded_hash
 from pairwright.operators.joins import salted_join
-from pairwright.operators.ranks import global_rank, ordered_rank, rank_within, running_before
+from pairwright.operators.ranks import global_rank, hash_digits, ordered_rank, rank_within, running_before
 from pairwright.operators.skew import HOT_KEYS, hot_keys, key_counts
 
 
@@ -24,6 +24,21 @@ def test_global_rank(spark):
     assert found == {row: place for place, row in enumerate(ordered)}
 
 
+def test_buckets_follow_the_row_count():
+    assert [hash_digits(n, 10) for n in (0, 2560, 2561, 40_960, 40_961)] == [2, 2, 3, 3, 4]
+    assert hash_digits(10**11) == 5
+
+
+def test_global_rank_over_two_levels(spark):
+    """Five digits: no bucket has more than a few rows, and no window more than 4,096 counts."""
+    ranked = global_rank(skewed(spark), 5, "row_id", bucket_rows=0.01)
+    found = {r.row_id: r["rank"] for r in ranked.collect()}
+    ordered = sorted(range(3000), key=lambda i: hashlib.md5(f"5:{i}".encode()).hexdigest())
+    assert found == {row: place for place, row in enumerate(ordered)}
+    assert {r.n_rows for r in ranked.select("n_rows").distinct().collect()} == {3000}
+    assert "_top#" in ranked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_another_seed_gives_another_order(spark):
     one, two = (
         [r.row_id for r in global_rank(spark.range(50).withColumnRenamed("id", "row_id"), seed,
@@ -33,10 +48,10 @@ def test_another_seed_gives_another_order(spark):
     assert sorted(one) == sorted(two) and one != two
 
 
-@pytest.mark.parametrize("digits", [0, 1, 2])
+@pytest.mark.parametrize("digits", [0, 1, 2, 5])
 def test_rank_within_equals_a_window(spark, digits):
     rows = skewed(spark).withColumn("h", seeded_hash(3, F.col("row_id")))
-    ranked = rank_within(rows, ["key"], ["h", "row_id"], F.substring("h", 1, digits))
+    ranked = rank_within(rows, ["key"], ["h", "row_id"], F.substring("h", 1, digits), digits=digits)
     group = Window.partitionBy("key")
     plain = rows.select(
         "row_id",
