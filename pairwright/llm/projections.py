@@ -328,8 +328,9 @@ def near_vectors(
     met = stage(_met(dealt, alike, medians), "met")
     links = met.groupBy("item").agg(F.sum("links").alias("links"))
     roots = components(met.select(F.col("item").alias("u"), F.col("first").alias("v")))
-    named = roots.join(items.select(F.col("item").alias("node"), "least").hint("merge"), "node")
-    component = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that a large component is dealt to several tasks.
+    named = stage(roots.join(items.select(F.col("item").alias("node"), "least").hint("merge"), "node"), "named")
+    component = stage(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     rooted = named.join(component.hint("merge"), "root").select(F.col("node").alias("item"), "component_id")
     judged = stage(
         items.select("item", "least", "copies")
