@@ -6,9 +6,11 @@ rounded to six places, so that another engine can be held against them.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,7 +51,6 @@ from pairwright.operators.packing import (
     assign_shards,
     batch_totals,
     collate_varlen,
-    micro_batch_texts,
     order_in_batch,
     ordered_batches,
     pad_to_shards,
@@ -60,7 +61,7 @@ from pairwright.operators.packing import (
 )
 from pairwright.operators.fitting import FitSettings, fit_preference, predict_preference
 from pairwright.operators.ranks import global_rank, ordered_rank
-from pairwright.operators.scoring import score, tokenize_with, tokens_of
+from pairwright.operators.scoring import score, score_micro_batches, tokenize_with, tokens_of
 from pairwright.plans.labelling import LENGTH_INPUTS, pseudo_label, with_lengths
 from pairwright.plans.recipes import (
     CORPORA_SOFT,
@@ -68,11 +69,13 @@ from pairwright.plans.recipes import (
     MINED,
     MINED_SOFT,
     RECIPES,
+    SHARDS as RECIPE_SHARDS,
     TRAINVAL,
     Recipe,
     recipe_batches,
     recipe_leaks,
     recipe_lengths,
+    recipe_micro_batches,
     recipe_samples,
 )
 from pairwright.schemas import LABEL_COLUMNS, PROBABILITY_COLUMNS
@@ -566,19 +569,50 @@ def tokenizer_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select(*PLAN_COLUMNS)
 
 
+# Both sides of a stage-1 run with small batches, the training side of another.
+TEXT_RUNS = (("stage1/m0", "valid"), ("stage1/m3", "train"))
+
+
 def batch_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The validation micro batches of stage 1 with their texts, shown as digests."""
-    tables = views.recipe_tables(spark, sf_dir, TRAINVAL)
+    """Micro batches of two runs with their texts, shown as digests."""
+    tables = views.recipe_tables(spark, sf_dir, TRAINVAL, EXTRA)
+    parts = []
+    for name, side in TEXT_RUNS:
+        made = recipe_micro_batches(RECIPES[name], side, tables)
+        digests = F.transform("samples", lambda one: F.sha2(one["input_text"], 256))
+        labels = F.transform("samples", lambda one: one["label"].cast("array<int>"))
+        parts.append(
+            made.select(
+                F.lit(name).alias("recipe"),
+                F.lit(side).alias("side"),
+                "batch_id",
+                "shard",
+                "micro_batch",
+                encode_turns(digests).alias("texts"),
+                encode_turns(labels).alias("labels"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _digest_scorer(frame: pd.DataFrame) -> np.ndarray:
+    """Logits from the digest of a text and its length: no other text has them."""
+    digests = [hashlib.sha256(text.encode()).hexdigest() for text in frame["input_text"]]
+    parts = [(int(one[:6], 16) / 2**24, int(one[6:12], 16) / 2**24) for one in digests]
+    return np.column_stack([np.array(parts).reshape(-1, 2), frame["seq_len"].to_numpy() / 4096])
+
+
+def planned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 1's validation rows, scored by micro batches under the token budget and brought back in order."""
+    tables = views.recipe_tables(spark, sf_dir, TRAINVAL, EXTRA)
     recipe = RECIPES["stage1/m0"]
-    made = micro_batch_texts(
-        recipe_batches(recipe, "valid", tables), recipe_samples(recipe, "valid", tables)
-    )
-    return made.select(
-        "batch_id",
-        "shard",
-        "micro_batch",
-        encode_turns(F.transform("texts", lambda text: F.sha2(text, 256))).alias("texts"),
-        encode_turns(F.transform("labels", lambda one: one.cast("array<int>"))).alias("labels"),
+    batches = stage(recipe_micro_batches(recipe, "valid", tables), "micro-batches")
+    tokens = F.aggregate("samples", F.lit(0).cast("long"), lambda total, one: total + one["seq_len"])
+    within = (tokens <= recipe.member.max_tokens) | (F.size("samples") == 1)
+    budgets = batches.select("batch_id", "shard", "micro_batch", within.alias("within_budget"))
+    logits = restore_order(score_micro_batches(batches, _digest_scorer), RECIPE_SHARDS)
+    return logits.join(budgets, ["batch_id", "shard", "micro_batch"]).select(
+        "row_id", "batch_id", F.col("position").cast("int").alias("position"), *[rounded(name) for name in LOGIT_COLUMNS], "within_budget"
     )
 
 
@@ -776,6 +810,7 @@ QUERIES: dict[str, Query] = {
     "recipe_batches": recipe_plans,
     "tokenizer_batches": tokenizer_plan,
     "micro_batch_texts": batch_texts,
+    "planned_scores": planned_scores,
     "recipe_leak_check": recipe_leak_check,
     "io_round_trip": io_round_trip,
     "raw_corpus": raw_corpus,

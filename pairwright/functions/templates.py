@@ -115,6 +115,25 @@ def _turns_text(lists: list[Column], labels: list[str]) -> Column:
     return F.array_join(blocks, "")
 
 
+def bodies(template: Template, prompt: Column, response_a: Column, response_b: Column) -> list[Column]:
+    """The conversation without head, tail and separator: one text, or one per side. Cutting is done on these."""
+    if template.joint:
+        labels = [template.user_label, template.a_label, template.b_label]
+        return [_turns_text([prompt, response_a, response_b], labels)]
+    # Both sides stop at the shortest of all three lists.
+    turns = F.least(F.size(prompt), F.size(response_a), F.size(response_b))
+    first = F.slice(prompt, F.lit(1), turns)
+    return [
+        _turns_text([first, F.slice(answer, F.lit(1), turns)], [template.user_label, label])
+        for answer, label in ((response_a, template.a_label), (response_b, template.b_label))
+    ]
+
+
+def literals_around(template: Template) -> list[str]:
+    """What stands before, between and after the bodies."""
+    return [template.head, template.tail] if template.joint else [template.head, template.separator, template.tail]
+
+
 def render(
     template: Template,
     prompt: Column,
@@ -124,26 +143,11 @@ def render(
     tokens: Tokens = WHITESPACE,
 ) -> Column:
     """The conversation text. Cutting comes before head and tail are put on."""
-
-    def cut(text: Column) -> Column:
-        return text if max_length is None else tokens.cut(text, template.side_limit(max_length))
-
-    if template.joint:
-        labels = [template.user_label, template.a_label, template.b_label]
-        body = cut(_turns_text([prompt, response_a, response_b], labels))
-        return F.concat(F.lit(template.head), body, F.lit(template.tail))
-    # Both sides stop at the shortest of all three lists.
-    turns = F.least(F.size(prompt), F.size(response_a), F.size(response_b))
-    first = F.slice(prompt, F.lit(1), turns)
-    side_a = _turns_text(
-        [first, F.slice(response_a, F.lit(1), turns)], [template.user_label, template.a_label]
-    )
-    side_b = _turns_text(
-        [first, F.slice(response_b, F.lit(1), turns)], [template.user_label, template.b_label]
-    )
-    return F.concat(
-        F.lit(template.head), cut(side_a), F.lit(template.separator), cut(side_b), F.lit(template.tail)
-    )
+    parts = bodies(template, prompt, response_a, response_b)
+    if max_length is not None:
+        parts = [tokens.cut(one, template.side_limit(max_length)) for one in parts]
+    first, *rest = (F.lit(one) for one in literals_around(template))
+    return F.concat(first, *[column for pair in zip(parts, rest) for column in pair])
 
 
 def chat_frame(template: Template, system_role: bool, markup: ChatMarkup = MARKUP) -> list[str]:

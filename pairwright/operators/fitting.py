@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -84,6 +86,61 @@ def fit_preference(pairs: DataFrame, settings: FitSettings = FitSettings()) -> P
     )
 
 
+def gradient_norms(model: PipelineModel, pairs: DataFrame) -> DataFrame:
+    """(part, n, worst): per part of the model, its coefficients and the largest slope of the fitted loss along one.
+
+    The loss is the mean soft cross entropy of `pairs` plus the penalty on coefficients scaled by their
+    features' deviation. At its optimum all slopes are 0, whatever the optimizer did, so this tells a fit that ended
+    from one that was cut short. One pass over the pairs; sums per feature are combined before they are moved.
+    """
+    fitted = model.stages[-1]
+    penalty, width = fitted.getOrDefault("regParam"), fitted.numFeatures
+    scored = model.transform(_with_words(pairs.select("response_a", "response_b", *LABEL_COLUMNS)))
+    probabilities = vector_to_array("_probability")
+    over = F.array(*[F.get(probabilities, F.lit(i)) - F.col(name) for i, name in enumerate(LABEL_COLUMNS)])
+    # Behind the features a constant one for the intercepts.
+    features = F.concat(vector_to_array("_features"), F.array(F.lit(1.0)))
+    rows = scored.select(over.alias("over"), F.posexplode(features).alias("at", "x"), *LABEL_COLUMNS).where("x <> 0")
+    weight = reduce(add, [F.col(name) for name in LABEL_COLUMNS])
+    squares = reduce(add, [F.col(name) * F.col(name) for name in LABEL_COLUMNS])
+    sums = rows.groupBy("at").agg(
+        *[F.sum(F.col("over")[i] * F.col("x")).alias(f"slope_{i}") for i in range(len(LABEL_COLUMNS))],
+        F.sum(weight * F.col("x")).alias("first"),
+        F.sum(weight * F.col("x") * F.col("x")).alias("second"),
+    )
+    whole = pairs.agg(F.sum(weight).alias("n"), F.sum(squares).alias("squares")).first()
+    # As many rows as the model has features.
+    matrix = fitted.coefficientMatrix.toArray()
+    held = pairs.sparkSession.createDataFrame(
+        [(at, *[float(c) for c in matrix[:, at]]) for at in range(width)] + [(width, 0.0, 0.0, 0.0)],
+        "at int, w_0 double, w_1 double, w_2 double",
+    )
+    n = F.lit(whole["n"])
+    # The weighted sample variance, as features are scaled by.
+    variance = (F.col("second") - F.col("first") * F.col("first") / n) / (n - whole["squares"] / n)
+    slopes = [
+        F.abs(F.col(f"slope_{i}") / n + penalty * F.when(F.col("at") < width, variance).otherwise(0.0) * F.col(f"w_{i}"))
+        for i in range(len(LABEL_COLUMNS))
+    ]
+    # A slope is held against the scale of its feature. What is the same in all rows has no coefficient.
+    varies = (F.col("at") == width) | (variance > 1e-9 * F.col("second") / n)
+    scale = F.when(F.col("at") < width, F.sqrt(F.abs(variance))).otherwise(1.0)
+    half = (width - 2) // 2
+    part = (
+        F.when(F.col("at") < half, "words_a")
+        .when(F.col("at") < 2 * half, "words_b")
+        .when(F.col("at") == 2 * half, "size_a")
+        .when(F.col("at") == 2 * half + 1, "size_b")
+        .otherwise("intercepts")
+    )
+    return (
+        sums.join(F.broadcast(held), "at")
+        .select(part.alias("part"), F.when(varies, F.greatest(*slopes) / scale).otherwise(0.0).alias("slope"))
+        .groupBy("part")
+        .agg((F.count("*") * len(LABEL_COLUMNS)).alias("n"), F.max("slope").alias("worst"))
+    )
+
+
 def predict_preference(
     model: PipelineModel, pairs: DataFrame, name: str, row_id: str = "row_id"
 ) -> DataFrame:

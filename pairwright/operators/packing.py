@@ -7,12 +7,18 @@ the first shuffle by `batch_id` every step here reuses that partitioning.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairwright.functions.text import bind
 from pairwright.operators.ranks import global_rank, ordered_rank
+from pairwright.schemas import TURN_COLUMNS
+
+# Ranges of batches that texts are sent to: the driver sees the first key of each, a megabyte or two at most.
+HOMES = 1 << 14
 
 
 def seeded_batches(
@@ -167,24 +173,61 @@ def collate_varlen(samples: DataFrame) -> DataFrame:
     )
 
 
-def micro_batch_texts(planned: DataFrame, samples: DataFrame) -> DataFrame:
-    """(batch_id, shard, micro_batch, texts, labels) in row order: what a worker reads.
+def _homes(firsts: DataFrame, key: Column) -> Column:
+    """How many of the `first` keys (HOMES rows at most) lie at or before the key, less one.
+
+    They become one literal of the plan. The key is held against every so-many-th of them, then against those
+    that follow it, both as hex digits, which have the order of the texts.
+    """
+    borders = sorted(row["first"] for row in firsts.select(F.hex("first").alias("first")).collect())
+    if not borders:
+        return F.lit(-1)
+    width = max(1, math.isqrt(len(borders)))
+    digits = F.hex(key)
+
+    def passed(ascending: Column) -> Column:
+        return F.size(F.filter(ascending, lambda one: one <= digits))
+
+    row = passed(F.split(F.lit(",".join(borders[::width])), ",")) - 1
+    beside = F.slice(F.split(F.lit(",".join(borders)), ","), F.greatest(row, F.lit(0)) * width + 1, F.lit(width))
+    return bind(row, lambda at: F.when(at < 0, -1).otherwise(at * width + passed(beside) - 1))
+
 
-    `samples` bring (row_id, variant_no, input_text, label); each text is moved to its micro batch once.
+def micro_batch_texts(planned: DataFrame, pairs: DataFrame, key: Column, texts: Column) -> DataFrame:
+    """(batch_id, shard, micro_batch, samples): what a worker reads, with the texts of its samples in row order.
+
+    `planned` is a written plan, `pairs` are its source rows, `texts` makes a pair's texts by `variant_no`. Batches
+    are runs of rows in the order of the text `key`, which both tables have the columns for. So a pair can be sent to where its
+    batch is put together by the first keys of some batches: it is moved once, as it is, and rendered there. Ends
+    the job when the plan has a row that `pairs` lack; rows without a batch are left out.
     """
-    item = F.struct("row", "input_text", "label")
-    met = planned.select("batch_id", "shard", "micro_batch", "row", "row_id", "variant_no").join(
-        samples.select("row_id", "variant_no", "input_text", "label"), ["row_id", "variant_no"]
+    last = planned.agg(F.max("batch_id").alias("last")).first()["last"]
+    per_home = (last or 0) // HOMES + 1
+    firsts = planned.where(F.col("batch_id") % per_home == 0).groupBy("batch_id").agg(F.min(key).alias("first"))
+    place = F.struct("batch_id", "shard", "micro_batch", "row", "variant_no", "is_pad", "seq_len", "label")
+    pair = F.struct(*TURN_COLUMNS)
+    placed = planned.select(F.floor(F.col("batch_id") / per_home).cast("int").alias("home"), "row_id", place.alias("place"))
+    sent = pairs.select(_homes(firsts, key).cast("int").alias("home"), "row_id", pair.alias("pair"))
+    # One exchange by home; what follows groups by it and more, so nothing is moved again.
+    met = placed.unionByName(sent, allowMissingColumns=True).repartition("home")
+    rows = (
+        met.groupBy("home", "row_id")
+        .agg(F.any_value("pair", F.lit(True)).alias("pair"), F.collect_list("place").alias("places"))
+        .where(F.size("places") > 0)
     )
-    grouped = met.groupBy("batch_id", "shard", "micro_batch").agg(
-        F.array_sort(F.collect_list(item)).alias("_items")
+    stop = F.raise_error(F.concat(F.lit("planned row without a pair: "), F.col("row_id").cast("string")))
+    sound = F.when(F.col("pair").isNull(), stop.cast(rows.schema["pair"].dataType)).otherwise(F.col("pair"))
+    rendered = rows.withColumn("pair", sound).select("home", "row_id", "places", "pair.*").select(
+        "home", "row_id", texts.alias("texts"), F.inline("places")
     )
-    return grouped.select(
-        "batch_id",
-        "shard",
-        "micro_batch",
-        F.transform("_items", lambda one: one["input_text"]).alias("texts"),
-        F.transform("_items", lambda one: one["label"]).alias("labels"),
+    item = F.struct(
+        "row", "row_id", "variant_no", "is_pad", "seq_len", "label", F.get("texts", F.col("variant_no")).alias("input_text")
+    )
+    return (
+        rendered.select("home", "batch_id", "shard", "micro_batch", item.alias("item"))
+        .groupBy("home", "batch_id", "shard", "micro_batch")
+        .agg(F.array_sort(F.collect_list("item")).alias("samples"))
+        .drop("home")
     )
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,4 +120,39 @@ def tokens_of(tokenizer: LimitedTokenizer) -> Tokens:
     return Tokens(
         cut=lambda text, limit: limited(limit)(text)["text"],
         count=lambda text: limited(None)(text)["n_tokens"],
+        batch=tokenizer,
     )
+
+
+# Logits of a micro batch: (batch_id, shard, micro_batch, row, row_id, variant_no, is_pad, three logits).
+_PLACE = ("batch_id", "shard", "micro_batch")
+_SAMPLE = ("row", "row_id", "variant_no", "is_pad")
+
+
+def score_micro_batches(batches: DataFrame, scorer: Scorer, inputs: Sequence[str] = ("input_text", "seq_len")) -> DataFrame:
+    """Logits of planned micro batches, a row per sample with its place; `restore_order` brings them back in order.
+
+    `batches` are those of `micro_batch_texts`. The scorer gets the samples of one micro batch at a time, in row
+    order, as a frame of `inputs`, so what it holds at once is what the token budget of the plan allows. Padding is
+    scored as well, as the shards of a batch work in step.
+    """
+    sample = batches.schema["samples"].dataType.elementType
+    schema = T.StructType(
+        [T.StructField(name, batches.schema[name].dataType) for name in _PLACE]
+        + [T.StructField(name, sample[name].dataType) for name in _SAMPLE]
+        + [T.StructField(column, T.DoubleType()) for column in LOGIT_COLUMNS]
+    )
+    columns = list(inputs)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(part.num_rows):
+                one = part.slice(at, 1)
+                samples = pa.Table.from_struct_array(one.column("samples").flatten())
+                logits = _logits(scorer, samples.select(columns).to_pandas())
+                arrays = [pa.repeat(one.column(name)[0], samples.num_rows) for name in _PLACE]
+                arrays += [samples.column(name).combine_chunks() for name in _SAMPLE]
+                arrays += [pa.array(logits[:, i]) for i in range(len(LOGIT_COLUMNS))]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return batches.select(*_PLACE, "samples").mapInArrow(run, schema)

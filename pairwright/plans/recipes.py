@@ -9,17 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.templates import JOINT, SPLIT, Template
-from pairwright.functions.turns import turns_key
+from pairwright.functions.turns import seeded_hash, turns_key
 from pairwright.functions.text import WHITESPACE, Tokens
 from pairwright.operators.augment import (
     TURN_COUNTS,
     flatten_samples,
     sample_texts,
+    variant_texts,
     with_sample_lengths,
 )
 from pairwright.operators.ensemble import concat_sources
 from pairwright.operators.folds import filter_rows
-from pairwright.operators.packing import ordered_batches, plan_batches, seeded_batches
+from pairwright.operators.packing import micro_batch_texts, ordered_batches, plan_batches, seeded_batches
 from pairwright.schemas import LABEL_COLUMNS, TURN_COLUMNS
 from pairwright.sources.corpora import CORPUS_NAMES
 from pairwright.staging import stage
@@ -179,6 +180,31 @@ def recipe_batches(
     )
 
 
+def recipe_micro_batches(
+    recipe: Recipe,
+    side: str,
+    tables: Mapping[str, DataFrame],
+    seed: int = 0,
+    shards: int = SHARDS,
+    tokens: Tokens = WHITESPACE,
+) -> DataFrame:
+    """The micro batches of one side with their texts: (batch_id, shard, micro_batch, samples)."""
+    planned = stage(recipe_batches(recipe, side, tables, seed, shards, tokens), "plan")
+    training = side == "train"
+    row_id = F.col("row_id")
+    # The order in which rows were put into batches.
+    source = F.lpad(F.col("source_no").cast("string"), 10, "0")
+    key = F.concat(seeded_hash(seed, row_id) if training else source, row_id)
+    texts = variant_texts(
+        recipe.templates(side),
+        include_swap=training,
+        max_length=recipe.member.max_length,
+        system_role=recipe.member.system_role,
+        tokens=tokens,
+    )
+    return micro_batch_texts(planned, recipe_rows(recipe, side, tables), key, texts)
+
+
 def prompt_leaks(train: DataFrame, valid: DataFrame) -> DataFrame:
     """Prompts on both sides, with their row counts. No row means no leak.
 

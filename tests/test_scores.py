@@ -16,7 +16,7 @@ from pairwright.functions.labels import (
     softmax,
 )
 from pairwright.operators.ensemble import attach_predictions, concat_sources, ensemble_mean
-from pairwright.operators.fitting import fit_preference, predict_preference
+from pairwright.operators.fitting import FitSettings, fit_preference, gradient_norms, predict_preference
 from pairwright.operators.losses import log_loss, micro_batch_loss, rolling_loss, weighted_loss
 from pairwright.operators.scoring import MadeOnce, score, tokenize_with
 from pairwright.plans.labelling import LENGTH_INPUTS, length_scorer, pseudo_label, with_lengths
@@ -163,6 +163,15 @@ def test_fitted_model_beats_the_class_prior(spark, softness):
     assert loss.log_loss < 0.7 * math.log(3)
 
 
+def test_slopes_tell_whether_a_fit_ended(spark):
+    table = judged(spark).withColumns({c: F.col(c) * 0.7 + 0.1 for c in LABEL_COLUMNS}).cache()
+    parts = {"words_a", "words_b", "size_a", "size_b", "intercepts"}
+    ended = {r.part: r.worst for r in gradient_norms(fit_preference(table, FitSettings(features=64, steps=200)), table).collect()}
+    assert set(ended) == parts and max(ended.values()) < 1e-4
+    short = {r.part: r.worst for r in gradient_norms(fit_preference(table, FitSettings(features=64, steps=2)), table).collect()}
+    assert max(short.values()) > 1e-3
+
+
 def test_pseudo_labels_are_the_mean_of_scorers(spark):
     table = judged(spark, 30).withColumn("row_id", F.col("row_id").cast("string"))
     scorers = {"one": length_scorer(1.0, 0.0), "two": length_scorer(2.0, 0.5)}

@@ -53,6 +53,13 @@ def test_truncation(texts, limit):
         assert found[n] == expected
 
 
+def test_truncation_does_not_look_at_the_tail(spark):
+    """The split stops behind the last token kept."""
+    plan = spark.range(1).select(truncate_tokens(F.concat(F.lit("a b"), F.col("id").cast("string")), 100))
+    found = plan._jdf.queryExecution().analyzed().toString()
+    assert "split(" in found and ", 101)" in found and "regexp_extract_all" not in found
+
+
 PAIRS = [
     (["q1", "q2"], ["a1", "a2"], ["b1", "b2"]),
     ([None], ["a"], [None]),
