@@ -27,7 +27,7 @@ from pairwright.operators.augment import (
     with_sample_lengths,
     with_turn_counts,
 )
-from pairwright.operators.chats import check_turns, split_roles
+from pairwright.operators.chats import check_turns, split_chats, split_roles
 from pairwright.operators.ensemble import (
     LOGIT_COLUMNS,
     attach_predictions,
@@ -45,7 +45,7 @@ from pairwright.operators.mining import (
     prompt_overlap,
     repeated_prompts,
 )
-from pairwright.operators.preference import check_corpus
+from pairwright.operators.preference import check_corpus, convert_corpus
 from pairwright.operators.preference import corpus_to_pairs as convert
 from pairwright.operators.packing import (
     assign_shards,
@@ -59,7 +59,7 @@ from pairwright.operators.packing import (
     restore_order,
     seeded_batches,
 )
-from pairwright.operators.fitting import FitSettings, fit_preference, predict_preference
+from pairwright.operators.fitting import FitSettings, fit_preference, gradient_norms, predict_preference
 from pairwright.operators.ranks import global_rank, ordered_rank
 from pairwright.operators.scoring import score, score_micro_batches, tokenize_with, tokens_of
 from pairwright.plans.labelling import LENGTH_INPUTS, pseudo_label, with_lengths
@@ -76,6 +76,7 @@ from pairwright.plans.recipes import (
     recipe_leaks,
     recipe_lengths,
     recipe_micro_batches,
+    recipe_rows,
     recipe_samples,
 )
 from pairwright.schemas import LABEL_COLUMNS, PROBABILITY_COLUMNS
@@ -563,9 +564,9 @@ def _pieces(texts: pd.Series, limit: int | None) -> tuple[pd.Series, pd.Series]:
 
 
 def tokenizer_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The training plan of stage 1 with a tokenizer of the user's."""
+    """A training plan of stage 1, with both templates and batches of 16 pairs, with a tokenizer of the user's."""
     tables = views.recipe_tables(spark, sf_dir, TRAINVAL, EXTRA)
-    planned = recipe_batches(RECIPES["stage1/m0"], "train", tables, tokens=tokens_of(_pieces))
+    planned = recipe_batches(RECIPES["stage1/m3"], "train", tables, tokens=tokens_of(_pieces))
     return planned.select(*PLAN_COLUMNS)
 
 
@@ -696,13 +697,42 @@ def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def corpus_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of a corpus with its verdict; every fifth conversation has its last answer taken away."""
+def _broken_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus in which every fifth conversation has lost its last rejected turn."""
     corpus = views.corpus(spark, sf_dir)
     short = F.slice("rejected", F.lit(1), F.size("rejected") - 1)
     short_rows = F.pmod(F.col("row_id").cast("long"), F.lit(5)) == 0
-    broken = corpus.withColumn("rejected", F.when(short_rows, short).otherwise(F.col("rejected")))
-    return check_corpus(broken).select("row_id", F.coalesce("reason", F.lit("ok")).alias("reason"))
+    return corpus.withColumn("rejected", F.when(short_rows, short).otherwise(F.col("rejected")))
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats and corpus rows that are used and those set apart, both with their texts, beside the counts of the pass."""
+    pairs, corpus = convert_corpus(_broken_corpus(spark, sf_dir), views.SEED)
+    chats = split_chats(views.chats(spark, sf_dir))
+    content = F.transform(F.col("chosen"), lambda turn: turn["content"])
+    turns = F.transform(F.col("conversation"), lambda turn: turn["content"])
+    none = F.lit(None).cast("string")
+    sides = [
+        pairs.select(F.lit("corpus").alias("source"), "row_id", none.alias("reason"), as_json("prompt")),
+        corpus.unfit.select(F.lit("corpus").alias("source"), "row_id", "reason", encode_turns(content).alias("prompt")),
+        chats.fit.select(F.lit("chats").alias("source"), F.col("conv_id").cast("string").alias("row_id"), none.alias("reason"), as_json("prompt")),
+        chats.unfit.select(F.lit("chats").alias("source"), F.col("conv_id").cast("string").alias("row_id"), "reason", encode_turns(turns).alias("prompt")),
+    ]
+    counts = {"corpus": corpus, "chats": chats}
+    n_fit, n_unfit = (
+        reduce(lambda rest, name: F.when(F.col("source") == name, getattr(counts[name], kind)).otherwise(rest), counts, F.lit(0))
+        for kind in ("n_fit", "n_unfit")
+    )
+    return reduce(DataFrame.unionByName, sides).select(
+        "source", "row_id", F.coalesce("reason", F.lit("ok")).alias("reason"), F.sha2("prompt", 256).alias("texts_sha256"),
+        n_fit.cast("long").alias("n_fit"), n_unfit.cast("long").alias("n_unfit"),
+    )
+
+
+def corpus_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of a corpus with its verdict."""
+    checked = check_corpus(_broken_corpus(spark, sf_dir))
+    return checked.select("row_id", F.coalesce("reason", F.lit("ok")).alias("reason"))
 
 
 def pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -762,6 +792,42 @@ def fit_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.unionByName(means.select(F.inline(facts)))
 
 
+SOFT_FIT = FitSettings(features=128, steps=100)
+
+
+def fit_soft_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage-2 run: fit on the soft labels of all mined and converted pairs and their mirrors.
+
+    What shows that the fit is the one asked for: along no part of the model does the penalised soft cross entropy
+    slope; the mean probabilities are the mean labels; the loss is below that of the mean labels alone.
+    """
+    tables = views.recipe_tables(spark, sf_dir, MINED_SOFT, CORPORA_SOFT)
+    rows = recipe_rows(RECIPES["stage2/m0"], "train", tables).drop("model_a", "model_b", "prompt")
+    training = stage(swap_augment(rows), "soft")
+    model = fit_preference(training, SOFT_FIT)
+    slopes = gradient_norms(model, training).select(
+        F.col("part").alias("what"), F.round("worst", 3).alias("value"), (F.col("worst") < 1e-3).alias("met")
+    )
+    key = F.struct("row_id", "swapped", *LABEL_COLUMNS)
+    fitted = predict_preference(model, training.withColumn("row_id", key), "words")
+    labels = [F.col(f"row_id.{name}") for name in LABEL_COLUMNS]
+    means = fitted.agg(
+        F.count("*").alias("n"),
+        *[F.avg(label).alias(f"share_{i}") for i, label in enumerate(labels)],
+        *[F.avg(name).alias(f"mean_{i}") for i, name in enumerate(PROBABILITY_COLUMNS)],
+        F.avg(row_log_loss(labels, [F.col(name) for name in PROBABILITY_COLUMNS])).alias("loss"),
+    )
+    shares = [F.col(f"share_{i}") for i in range(3)]
+    prior = -reduce(Column.__add__, [s * F.log(s) for s in shares])
+    facts = [("rows", F.col("n").cast("double"), F.lit(True)), ("prior", F.round(prior, 6), F.col("loss") < prior)]
+    facts += [
+        (name, F.round(share, 6), F.abs(F.col(f"mean_{i}") - share) < 1e-3)
+        for i, (name, share) in enumerate(zip(LABEL_COLUMNS, shares))
+    ]
+    listed = F.array(*[F.struct(F.lit(what).alias("what"), value.alias("value"), met.alias("met")) for what, value, met in facts])
+    return slopes.unionByName(means.select(F.inline(listed)))
+
+
 QUERIES: dict[str, Query] = {
     "roles_split": roles_split,
     "chat_validation": chat_validation,
@@ -815,7 +881,9 @@ QUERIES: dict[str, Query] = {
     "io_round_trip": io_round_trip,
     "raw_corpus": raw_corpus,
     "corpus_check": corpus_check,
+    "quarantine": quarantine,
     "score_rows": score_rows,
     "pseudo_label": pseudo_labels,
     "fit_and_score": fit_and_score,
+    "fit_soft_labels": fit_soft_labels,
 }

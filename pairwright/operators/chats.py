@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.turns import texts_of
+from pairwright.operators.quarantine import Split, split_checked
 
 # The two roles a chat may have.
 ROLES = ("user", "assistant")
@@ -58,7 +61,7 @@ def chat_reason(conversation: Column) -> Column:
 
 
 def check_chats(chats: DataFrame, mode: str = "quarantine") -> DataFrame:
-    """Add `reason`. In mode "fail" the first unfit conversation ends the job."""
+    """Add `reason`; `split_chats` parts the rows by it. In mode "fail" the first unfit conversation ends the job."""
     checked = chats.withColumn("reason", chat_reason(F.col("conversation")))
     if mode == "quarantine":
         return checked
@@ -70,6 +73,12 @@ def check_chats(chats: DataFrame, mode: str = "quarantine") -> DataFrame:
     raise ValueError(f"mode is 'quarantine' or 'fail', not {mode!r}")
 
 
+def split_chats(chats: DataFrame) -> Split:
+    """Conversations that are fit for pairing, with `prompt` and `response`, and those that are not, with the reason."""
+    split = split_checked(check_chats(chats), "chats")
+    return replace(split, fit=split_roles(split.fit))
+
+
 def check_turns(turns: DataFrame) -> DataFrame:
     """The same check on turn rows: counters only, combined before the shuffle."""
 

@@ -1,43 +1,50 @@
-"""A filter of fixed size in front of a join: rows that cannot meet anything stay where they are."""
+"""A filter in front of a join: rows that cannot meet anything stay where they are."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# 1 MB, whatever the data; above some ten million keys it lets most rows through.
-FILTER_BITS = 1 << 23
-# Bits of one bitmap of Spark's.
-_PIECE = 1 << 15
+from pairwright.staging import stage
 
+# Bits per key: about one row in fifty passes without being among the keys.
+BITS_PER_KEY = 16
+# Sizes of a filter, in 64-bit words: 1 KB at least, 16 MB at most. That much is full at eight million keys; with many
+# times more of them most rows pass, and nothing else changes.
+LEAST_WORDS, MOST_WORDS = 1 << 7, 1 << 21
 
-def _bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+def filter_words(keys: int) -> int:
+    """Words of the filter of so many keys: a power of two."""
+    words = LEAST_WORDS
+    while words < MOST_WORDS and words * 64 < keys * BITS_PER_KEY:
+        words *= 2
+    return words
+
+
+def _mask(hashed: Column) -> Column:
+    """Two bits of a word, from digits of the hash that do not say which word."""
+    one = F.lit(1).cast("long")
+    first, second = (F.shiftrightunsigned(hashed, digits).bitwiseAND(F.lit(63)).cast("int") for digits in (52, 58))
+    return F.call_function("shiftleft", one, first).bitwiseOR(F.call_function("shiftleft", one, second))
 
 
 def may_be_among(keys: DataFrame, column: str) -> Column:
     """Whether a row's `column` may be among those of `keys`: never a wrong no, a few wrong yeses.
 
-    Runs `keys` at once, so hand in a written table; the driver sees the filter alone. It is made and looked
-    up by the hash of the key, and only that number goes to Python.
+    A Bloom filter of blocks of one word: a key's hash names a word and two bits in it. It is sized by the number of
+    `keys`, which are run at once for that, so hand in a written table. It is a scalar of the plan, an array of longs of
+    bounded size, and looked up in the JVM.
     """
-    bit = _bit(F.col(column))
-    pieces = (
-        keys.select(F.floor(bit / _PIECE).cast("long").alias("piece"), (bit % _PIECE).alias("at"))
-        .groupBy("piece")
-        .agg(F.bitmap_construct_agg("at").alias("bits"))
-        .collect()
+    words = filter_words(keys.count())
+    hashed = F.xxhash64(column)
+    place = F.pmod(hashed, F.lit(words)).cast("int")
+    held = keys.select(place.alias("place"), _mask(hashed).alias("mask")).groupBy("place").agg(F.bit_or("mask").alias("mask"))
+    every = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("place"))
+    # MOST_WORDS rows at most.
+    whole = every.join(held, "place", "left").agg(
+        F.array_sort(F.collect_list(F.struct("place", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))).alias("all")
     )
-    held = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in pieces:
-        held[row["piece"] * (_PIECE // 8) : (row["piece"] + 1) * (_PIECE // 8)] = np.frombuffer(row["bits"], np.uint8)
-
-    @F.arrow_udf("boolean")
-    def among(bits: pa.Array) -> pa.Array:
-        at = bits.to_numpy(zero_copy_only=False)
-        return pa.array((held[at >> 3] >> (at & 7) & 1).astype(bool))
-
-    # Not copied to the other side of a join, where every row passes.
-    return among.asNondeterministic()(bit)
+    # Written, so that each place where the filter is used reads one row.
+    bits = stage(whole.select(F.transform("all", lambda one: one["mask"]).alias("bits")), "filter").scalar()
+    return F.get(bits, place).bitwiseAND(_mask(hashed)) == _mask(hashed)

@@ -64,17 +64,23 @@ def dedup_keys(keys: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def dedup_first(rows: DataFrame) -> DataFrame:
+def dedup_first(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Whole rows: the first per (prompt, response) by `row_id`.
 
-    The copies are found by digests; whole rows only meet the list of later copies, by a hash join, so no
-    text is sorted, and none is moved where that list is small.
+    The copies are found by digests, a digest that very many rows have by many tasks. Rows that cannot be a later
+    copy, by a filter of those, stay where they are; only the others meet the list of later copies.
     """
     both = turns_key(F.concat(F.array(F.to_json("prompt")), F.col("response")))
     keys = rows.select("row_id", both.alias("_key"))
-    several = keys.groupBy("_key").agg(F.min("row_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    later = keys.join(several, "_key").where("row_id <> _first").select("row_id")
-    return rows.join(later.hint("shuffle_hash"), "row_id", "left_anti")
+    several = stage(
+        keys.groupBy("_key").agg(F.min("row_id").alias("_first"), F.count("*").alias("n_rows")).where("n_rows > 1"), "copied"
+    )
+    firsts = salted_join(
+        keys, several.select("_key", "_first"), "_key", "inner", ["row_id"], hot_rows=hot_rows, counts=several.select("_key", "n_rows")
+    )
+    later = stage(firsts.where("row_id <> _first").select("row_id"), "later-copies")
+    may_be_later = may_be_among(later, "row_id")
+    return rows.where(~may_be_later).unionByName(rows.where(may_be_later).join(later, "row_id", "left_anti"))
 
 
 def first_per_model(keys: DataFrame, seed: int, carry: Sequence[str] = ()) -> DataFrame:

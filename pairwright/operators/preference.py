@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.turns import seeded_hash, texts_of
+from pairwright.operators.quarantine import Split, split_checked
 
 # Fixed value: id and model of a converted row.
 UNKNOWN = "a"
@@ -21,12 +22,18 @@ def check_corpus(corpus: DataFrame) -> DataFrame:
 
 
 def split_corpus(corpus: DataFrame) -> DataFrame:
-    """(row_id, prompt, preferred, other); unfit rows are left to `check_corpus`."""
-    fit = check_corpus(corpus).where(F.col("reason").isNull())
+    """(row_id, prompt, preferred, other). The first row that `check_corpus` finds unfit ends the job.
+
+    `convert_corpus` sets such rows apart beforehand.
+    """
+    checked = check_corpus(corpus)
+    stop = F.raise_error(F.concat(F.lit("unfit corpus row: "), F.col("reason")))
+    chosen = F.when(F.col("reason").isNotNull(), stop.cast(corpus.schema["chosen"].dataType)).otherwise(F.col("chosen"))
+    sound = checked.withColumn("chosen", chosen)
     chosen = F.col("chosen")
     # The rejected side is read only as far as the chosen one goes.
     rejected = F.slice("rejected", F.lit(1), F.size(chosen))
-    return fit.select(
+    return sound.select(
         *[c for c in corpus.columns if c not in ("chosen", "rejected")],
         texts_of(chosen, "user").alias("prompt"),
         texts_of(chosen, "assistant").alias("preferred"),
@@ -55,6 +62,12 @@ def corpus_to_pairs(corpus: DataFrame, seed: int = 42) -> DataFrame:
     )
 
 
+def convert_corpus(corpus: DataFrame, seed: int = 42) -> tuple[DataFrame, Split]:
+    """Pairs of the fit rows, and both sides of the check with their counts; no row gets lost between them."""
+    split = split_checked(check_corpus(corpus), "corpus")
+    return corpus_to_pairs(split.fit, seed), split
+
+
 def with_placeholder_labels(pairs: DataFrame) -> DataFrame:
     """Labels 1/0/0 for pairs nobody has judged yet."""
     return pairs.withColumns(

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pairwright.operators.chats import check_chats, check_turns, nest_turns, split_roles
+from pairwright.operators.chats import check_chats, check_turns, nest_turns, split_chats, split_roles
 from pairwright.operators.preference import (
     check_corpus,
+    convert_corpus,
     corpus_to_pairs,
     with_placeholder_labels,
 )
@@ -87,7 +88,12 @@ def test_corpus_conversion(spark):
     rows.append(("short", chosen, rejected[:2]))
     corpus = spark.createDataFrame(rows, CORPUS)
     assert [r.row_id for r in check_corpus(corpus).where("reason is not null").collect()] == ["short"]
-    pairs = corpus_to_pairs(corpus, seed=7).collect()
+    with pytest.raises(Exception, match="unfit corpus row: short_rejected"):
+        corpus_to_pairs(corpus, seed=7).collect()
+    made, split = convert_corpus(corpus, seed=7)
+    assert (split.n_fit, split.n_unfit) == (200, 1)
+    assert [(r.row_id, r.reason) for r in split.unfit.collect()] == [("short", "short_rejected")]
+    pairs = made.collect()
     assert len(pairs) == 200
     at_a = 0
     for row in pairs:
@@ -104,6 +110,30 @@ def test_corpus_conversion(spark):
     assert 60 < at_a < 140
 
 
+def test_split_chats_add_up(spark):
+    good = [turn("user", "q"), turn("assistant", "a")]
+    rows = [("m", good if i % 3 else good[:1]) for i in range(30)]
+    chats = spark.createDataFrame(rows, CHAT_LOG)
+    split = split_chats(chats)
+    assert (split.n_fit, split.n_unfit) == (20, 10)
+    assert {(tuple(r.prompt), tuple(r.response)) for r in split.fit.collect()} == {(("q",), ("a",))}
+    assert {r.reason for r in split.unfit.collect()} == {"count_mismatch"}
+    assert split.unfit.drop("reason").columns == chats.columns
+    none = split_chats(chats.where("false"))
+    assert (none.n_fit, none.n_unfit, none.fit.count(), none.unfit.count()) == (0, 0, 0, 0)
+
+
+def test_quarantine_notices_missing_rows(spark, monkeypatch):
+    """Sides that do not add up to what the pass read end the job."""
+    from pairwright.operators import quarantine
+
+    checked = check_chats(spark.createDataFrame([("m", [turn("user", "q"), turn("assistant", "a")])], CHAT_LOG))
+    real = quarantine.Observation.get.fget
+    monkeypatch.setattr(quarantine.Observation, "get", property(lambda self: {**real(self), "n_rows": 2}))
+    with pytest.raises(RuntimeError, match="1 and 0 rows written"):
+        quarantine.split_checked(checked)
+
+
 def test_placeholder_labels(spark):
     row = with_placeholder_labels(spark.range(1)).first()
     assert (row.winner_model_a, row.winner_model_b, row.winner_tie) == (1.0, 0.0, 0.0)

@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks import views
 from checks.queries import QUERIES
 from pairwright.operators.folds import group_folds, prompt_groups
+from pairwright.operators.keys import with_row_key
 from pairwright.operators.mining import candidate_keys, dedup_first, pair_plan
 from pairwright.operators.scoring import score
 from pairwright.plans.labelling import LENGTH_INPUTS, pseudo_label
@@ -52,23 +54,58 @@ def no_broadcasts(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_dedup_sorts_no_texts(spark, sf_dir, no_broadcasts):
-    plan = planned(dedup_first(views.candidates(spark, sf_dir)))
-    assert "partial_min" in plan
-    for line in plan.splitlines():
-        if re.search(r" Sort |SortAggregate", line):
-            assert "response" not in line and "text" not in line
+def exchanges_over(plan, column):
+    """Exchanges that carry `column`, of a printed plan: those below which a scan reads it, without a filter between."""
+    lines = plan.splitlines()
+    moved = []
+    for i, line in enumerate(lines):
+        if "Exchange" not in line:
+            continue
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        for below in lines[i + 1 :]:
+            own = len(below) - len(below.lstrip(" :+-*()0123456789"))
+            if own <= depth:
+                break
+            if "Filter" in below and "Subquery subquery" in below:
+                break
+            if "FileScan" in below and column in below:
+                moved.append(line)
+                break
+    return moved
+
+
+def test_dedup_leaves_texts_in_place(spark, sf_dir, no_broadcasts):
+    """No exchange has texts below it but behind the filter of later copies; no text is sorted or hashed to a join."""
+    plan = planned(dedup_first(stage(views.candidates(spark, sf_dir).drop("lang"), "rows")))
+    assert "Subquery subquery" in plan and "Union" in plan
+    assert exchanges_over(plan, "response:array") == []
+    assert [line for line in plan.splitlines() if "Exchange" in line]
+
+
+def test_a_text_on_a_third_of_rows_is_deduplicated(spark):
+    rows = spark.range(3000).select(
+        F.format_string("%05d", "id").alias("row_id"),
+        (F.col("id") % 5).cast("string").alias("model"),
+        F.array(F.lit("p")).alias("prompt"),
+        F.array(F.when(F.col("id") % 3 == 0, "copied").otherwise(F.col("id").cast("string"))).alias("response"),
+    )
+    kept = dedup_first(rows, hot_rows=100)
+    assert kept.count() == 2001
+    assert [r.row_id for r in kept.where("response[0] = 'copied'").collect()] == ["00000"]
+    assert dedup_first(rows.where("false")).count() == 0
+
+
+def test_keys_leave_texts_in_place(spark, sf_dir, no_broadcasts):
+    frame = stage(views.corpus(spark, sf_dir).drop("row_id"), "corpus")
+    plan = planned(with_row_key(frame))
+    assert not re.search(r" Sort |SortAggregate|Window", plan)
+    assert exchanges_over(plan, "chosen:array") == []
 
 
 def test_texts_are_filtered_before_they_move(spark, sf_dir, no_broadcasts):
     plan = planned(views.judged_pairs(spark, sf_dir))
-    lines = plan.splitlines()
-    (at,) = [i for i, line in enumerate(lines) if "ArrowEvalPython" in line]
-    above = [line for line in lines[:at] if "Exchange" in line]
-    below = lines[at:]
-    assert above and any("FileScan parquet" in line and "text" in line for line in below)
-    scan = next(i for i, line in enumerate(below) if "FileScan parquet" in line)
-    assert not any("Exchange" in line for line in below[:scan])
+    assert "EvalPython" not in plan and "InPandas" not in plan and "InArrow" not in plan
+    assert exchanges_over(plan, "text:string") == [] and "text:string" in plan
 
 
 def test_scoring_is_one_scan_without_a_shuffle(spark):
