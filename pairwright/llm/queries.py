@@ -167,6 +167,59 @@ ORACLES = {
         SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
         FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND place = 1
     """,
+    "op3_minhash_near_dedup": r"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), sets AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN len(words) = 1 THEN [md5(words[1])]
+                                ELSE list_distinct([md5(words[i] || ' ' || words[i + 1]) FOR i IN range(1, len(words))]) END AS shingles
+            FROM worded
+        ), posted AS MATERIALIZED (
+            SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+        ), common AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n_u, any_value(b.n) AS n_v, count(*) AS shared
+            FROM posted a JOIN posted b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+             AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id
+        ), links AS MATERIALIZED (
+            SELECT u, v FROM common WHERE 100 * shared >= 80 * (n_u + n_v - shared)
+        ), reached AS (
+            SELECT u AS a, u AS b FROM links UNION SELECT a, v FROM reached JOIN links ON u = b
+        ), roots AS (
+            SELECT a, min(b) AS root FROM reached GROUP BY a
+        )
+        SELECT doc_id, CAST(coalesce(len(shingles), 0) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id,
+               coalesce(root, doc_id) = doc_id AS kept
+        FROM sets LEFT JOIN roots ON a = doc_id
+    """,
+    "op10_suffix_array_dedup": r"""
+        WITH bytes AS MATERIALIZED (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents
+        ), pieces AS MATERIALIZED (
+            SELECT doc_id, first, digits[2 * first + 1 : 2 * first + 718] AS piece
+            FROM (SELECT doc_id, digits, unnest(range(0, strlen(digits) // 2, 260)) AS first FROM bytes)
+        ), windows AS MATERIALIZED (
+            SELECT doc_id, first + i AS start, md5(piece[2 * i + 1 : 2 * i + 200]) AS body
+            FROM (SELECT doc_id, first, piece, unnest(range(least(260, strlen(piece) // 2 - 99))) AS i FROM pieces)
+        ), later AS MATERIALIZED (
+            SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS place FROM windows) WHERE place > 1
+        ), opened AS (
+            SELECT doc_id, start, coalesce(start > lag(start) OVER w + 100, true) AS opens FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY start)
+        ), numbered AS (
+            SELECT doc_id, start, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM opened
+        ), spans AS (
+            SELECT doc_id, span, min(start) AS a, max(start) + 100 AS b FROM numbered GROUP BY doc_id, span
+        ), gaps AS (
+            SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans
+            FROM spans GROUP BY doc_id
+        ), kept AS (
+            SELECT d.doc_id, strlen(digits) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+                   CASE WHEN g.doc_id IS NULL THEN digits
+                        ELSE array_to_string([digits[2 * list_prepend(0, ends)[i] + 1 : 2 * list_append(starts, strlen(digits) // 2)[i]] FOR i IN range(1, n_spans + 2)], '') END AS rest
+            FROM bytes d LEFT JOIN gaps g ON g.doc_id = d.doc_id
+        )
+        SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+    """,
     "op7_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
