@@ -14,7 +14,7 @@ import numpy as np
 #: Words a worker remembers before it starts anew; those before are looked up a while longer.
 REMEMBERED = 600_000
 #: Words it carries on to its next task: the first ones met, so the common ones.
-CARRIED = 200_000
+CARRIED = 300_000
 #: New words that go to the tokenizer in one call.
 TOGETHER = 500
 _TAIL = ".,!?;:"
@@ -55,8 +55,6 @@ class WordIds:
                     self.parts[head] = self._alone(head)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.older, self.known, self.parts = self.known, {}, {}
         new = []
         for word in words.difference(self.known):
             if word in self.older:
@@ -87,9 +85,16 @@ class WordIds:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         cut = [text.split() for text in texts]
-        self.learn(set().union(*cut))
+        if len(self.known) > REMEMBERED:
+            self.older, self.known, self.parts = self.known, {}, {}
+        # Most words are known: looked up first, and only those that are not are gathered.
+        found = [list(map(self.known.get, words)) for words in cut]
+        missed = [number for number, ids in enumerate(found) if None in ids]
+        self.learn({word for number in missed for word, ids in zip(cut[number], found[number]) if ids is None})
         look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in cut]
+        for number in missed:
+            found[number] = map(look, cut[number])
+        return [b"".join(ids) for ids in found]
 
 
 def word_ids(path: str) -> WordIds:
