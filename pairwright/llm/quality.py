@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.tables import hashed_sample
+from pairwright.llm.tables import hashed_sample, text_slices
 
 PER_CLASS = 3_000
 SAMPLE_BYTES = 16_384
@@ -123,7 +123,10 @@ def held_out(doc_id: str) -> Column:
 def fit_quality(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS
 ) -> QualityModel:
-    """Fit on labelled rows that are not held out. Ids with contradicting labels are not used; a null text is empty."""
+    """Fit on labelled rows that are not held out. Ids with contradicting labels are not used; a null text is empty.
+
+    Of several texts with one id the smallest is taken, whatever the order of rows.
+    """
     marked = (
         labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
         .where("id IS NOT NULL AND label IN (0, 1)")
@@ -143,8 +146,9 @@ def fit_quality(
         docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
         .where(F.octet_length("body") <= SAMPLE_BYTES)
         .join(F.broadcast(chosen), "id")  # 2 * per_class rows of three numbers
-        .dropDuplicates(["id"])
-        .select("at", "id", "body", "label")
+        # Of several texts with one id the first in code-point order.
+        .groupBy("at", "id", "label")
+        .agg(F.min("body").alias("body"))
         .collect()  # at most 2 * per_class * sample_bytes bytes
     )
     sample.sort(key=lambda row: (row["at"], row["id"], row["body"]))
@@ -160,9 +164,11 @@ def quality_score(model: QualityModel, text: str = "text") -> Column:
         sizes = _Sizes(good, bad) if weights is not None else None
         for texts in batches:
             out = np.full(len(texts), share)
-            for at in range(0, len(texts) if sizes else 0, TOGETHER):
-                own = [t or b"" for t in texts.slice(at, TOGETHER).cast(pa.binary()).to_pylist()]
-                out[at : at + TOGETHER] = _curve(sizes.features(own) @ weights)
+            if sizes:
+                at = 0
+                for _, own in text_slices([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", TOGETHER):
+                    out[at : at + len(own)] = _curve(sizes.features(own) @ weights)
+                    at += len(own)
             yield pa.array(out)
 
     return score(F.col(text).cast("string"))

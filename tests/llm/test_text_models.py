@@ -203,6 +203,45 @@ def test_quality_on_a_larger_sample(spark):
     assert keep_good(docs, labels).count() == sum(r.predicted for r in got.values())
 
 
+def test_scores_are_those_of_the_library(spark, sf_dir):
+    """Every score again, with the same dictionaries: plain compression of the pieces of a text, one by one."""
+    import math
+
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 50_000)], "doc_id long, text string"))
+    model = quality.fit_quality(docs, labels)
+    settings = zstandard.ZstdCompressionParameters.from_level(quality.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+
+    def size(text, own):
+        at_once = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(own), compression_params=settings)
+        step = quality.PIECE_BYTES
+        return sum(len(at_once.compress(text[at : at + step])) for at in range(0, max(1, len(text)), step))
+
+    got = {r.doc_id: r.score for r in classify(docs, labels).collect()}
+    for row in docs.collect():
+        text = (row.text or "").encode()
+        good, bad = size(text, model.good), size(text, model.bad)
+        per_byte = max(1, len(text))
+        x = [1, (bad - good) / max(good, bad), min(1.25, good / per_byte), min(1.25, bad / per_byte)]
+        total = sum(w * one for w, one in zip(model.weights, x))
+        assert got[row.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, total)))), abs=1e-9)
+
+
+def test_repeated_ids_fit_one_model(spark):
+    """Of several texts with one id the same one is used, in whatever order the rows come."""
+    rng = random.Random(6)
+    rows = [(doc, "".join(rng.choices("abcd " if doc % 2 else "WXYZ!", k=200))) for doc in range(60) for _ in range(3)]
+    labels = spark.createDataFrame([(doc, doc % 2) for doc in range(60)], "doc_id long, quality int")
+    models = set()
+    for _ in range(3):
+        rng.shuffle(rows)
+        model = quality.fit_quality(spark.createDataFrame(rows, "doc_id long, text string").repartition(rng.randint(2, 9)), labels)
+        models.add((model.good, model.bad, tuple(model.weights)))
+    assert len(models) == 1
+
+
 def test_quality_without_labels_and_of_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     rows = classify(odd, labels).collect()
