@@ -43,6 +43,41 @@ def test_directory_doubles_only_where_buckets_are_overfull(spark):
         assert n <= 70 or depth == last
 
 
+def test_directory_doubles_until_no_bucket_is_overfull(spark):
+    """Keys that share their first 24 bits, far more than a first depth parts."""
+    slots = spark.range(1000).select((F.shiftleft(F.lit(0x123456).cast("long"), 40) + F.col("id") * (1 << 29)).alias("key"))
+    entries, last = directory(slots, bucket_slots=10, doublings=3)
+    held = defaultdict(int)
+    buckets = {r.entry: r.bucket for r in entries.collect()}
+    for r in slots.select(F.shiftrightunsigned("key", 64 - last).alias("entry")).collect():
+        held[buckets[r.entry]] += 1
+    assert last > 24 and sum(held.values()) == 1000 and max(held.values()) <= 10
+
+
+def test_copies_are_found_where_the_directory_deals_them(spark, docs, monkeypatch):
+    """The owners of the buckets find the copies: without directory entries there are none."""
+    from pairwright.llm import exact
+
+    assert exact_dedup(docs, bucket_slots=7).where("group_size > 1").count() > 0
+    build = exact.build_index
+
+    def astray(slots, bucket_slots):
+        index, entries, last = build(slots, bucket_slots)
+        return index, entries.where("false"), last
+
+    monkeypatch.setattr(exact, "build_index", astray)
+    assert exact_dedup(docs, bucket_slots=7).where("group_size > 1").count() == 0
+
+
+def test_a_text_on_a_third_of_all_rows(spark):
+    frame = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 1, F.lit("one  and\tthe same")).otherwise(F.col("id").cast("string")).alias("text")
+    )
+    got = exact_dedup(frame, bucket_slots=50)
+    assert got.where("group_size = 2000 AND keep_id = 1").count() == 2000
+    assert got.where("kept").count() == 4001
+
+
 def test_exact_dedup_of_odd_rows(odd, nothing):
     rows = exact_dedup(odd).collect()
     assert len(rows) == 6
