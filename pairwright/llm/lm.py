@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.tables import text_slices
-from pairwright.llm.words import word_ids
+from pairwright.llm.words import TEXT_BYTES, TEXTS, word_ids
 from pairwright.staging import stage
 
 #: Bigrams that tasks share instead of joining them.
 FREQUENT = 1 << 20
 #: Pseudo-counts: of a context's bigrams, given to its unigrams, and of each token of the vocabulary.
 CONTEXT_WEIGHT, TOKEN_WEIGHT = 50.0, 0.5
-#: Tokens a task handles at a time, and texts it encodes at a time.
-TOKENS, TEXTS = 1 << 20, 256
+#: Tokens a task handles at a time.
+TOKENS = 1 << 20
 
 
 def token_table(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -36,7 +36,7 @@ def token_table(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
-        for some, texts in text_slices(batches, "text", TEXTS):
+        for some, texts in text_slices(batches, "text", TEXTS, TEXT_BYTES):
             ids = pa.array(words.encode(texts), pa.binary())
             yield pa.RecordBatch.from_arrays([some.column("row"), some.column("doc_id"), ids], names=["row", "doc_id", "ids"])
         words.forget()

@@ -22,15 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.llm.tables import text_slices
-from pairwright.llm.words import word_ids
+from pairwright.llm.words import TEXT_BYTES, TEXTS, word_ids
 from pairwright.staging import stage
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length and slot that a task numbers.
 SLOT_ROWS = 5_000
-#: Texts that a task encodes at a time.
-TEXTS = 256
 
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -48,7 +46,7 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
-        for some, texts in text_slices(batches, "text", TEXTS):
+        for some, texts in text_slices(batches, "text", TEXTS, TEXT_BYTES):
             out: list[list] = [[] for _ in schema]
             for doc, ids in zip(some.column("doc_id").to_pylist(), words.encode(texts)):
                 ids += end

@@ -1,26 +1,34 @@
 """Token ids of whole texts by a public word-level BPE, worked out once per distinct word.
 
 The tokenizer never joins characters across ASCII white space, so the ids of a text are those of its
-words in a row. A worker keeps the ids of the words it has met, up to a bound, and asks the tokenizer
-for new words only, many at a time.
+words in a row. Arrow cuts some texts into words and numbers the distinct ones; only those are looked up
+among the words a worker has met, and only new ones go to the tokenizer, many at a time.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words a worker remembers before it starts anew; those before are looked up a while longer.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 #: Words it carries on to its next task: the first ones met, so the common ones.
-CARRIED = 450_000
+CARRIED = 120_000
 #: New words that go to the tokenizer in one call.
-TOGETHER = 500
+TOGETHER = 100
+#: Texts, and bytes of them, that are encoded at a time.
+TEXTS, TEXT_BYTES = 4096, 1 << 22
 _TAIL = ".,!?;:"
+#: Letters that the tokenizer's normalization leaves as they are, and that are one run to it.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _workers: dict[str, WordIds] = {}
 
 
@@ -31,12 +39,18 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model without normalization and patterns, for words of plain letters, which both leave alone.
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        by_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        held |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, by_bytes]}}
+        self.bare = Tokenizer.from_str(json.dumps(held))
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _alone(self, words: list[str]) -> Iterator[bytes]:
         """The ids of texts that each stand by themselves."""
@@ -44,65 +58,75 @@ class WordIds:
             for found in self.tokenizer.encode_batch_fast(words[at : at + TOGETHER], add_special_tokens=False):
                 yield array("I", found.ids).tobytes()
 
-    def _learn_heads(self, heads: list[str]) -> None:
-        """Words of letters alone are one run of tokens each, whose last token ends the word."""
+    def _heads(self, heads: list[str]) -> Iterator[bytes]:
+        """The ids of words of plain letters: one run of tokens each, whose last token ends the word."""
         for at in range(0, len(heads), TOGETHER):
             some = heads[at : at + TOGETHER]
-            ids = np.asarray(
-                self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32
-            )
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some) and len(ids) == stops[-1]:
-                start = 0
-                for head, stop in zip(some, stops.tolist()):
-                    self.parts[head] = ids[start:stop].tobytes()
-                    start = stop
+            ids = array("I", self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
+            stops = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 4).tolist()
+            packed = ids.tobytes()
+            if len(stops) == len(some) and len(packed) == stops[-1]:
+                yield from map(packed.__getitem__, map(slice, [0, *stops], stops))
             else:
-                self.parts.update(zip(some, self._alone(some)))
+                yield from self._alone(some)
 
-    def learn(self, words: set[bytes]) -> None:
-        new = []
-        for word in words.difference(self.known):
-            if word in self.older:
-                self.known[word] = self.older[word]
-            else:
-                new.append(word)
-        split: list[tuple[bytes, str, str]] = []
-        odd: list[bytes] = []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            head = text.rstrip(_TAIL)
-            small = head.lower()
-            if head.isalpha() and small.isalpha():
-                # The tokenizer lower-cases by itself; only its sigma does not hang on the place in the word.
-                split.append((word, head if "Σ" in head else small, text[len(head) :]))
-            else:
-                odd.append(word)
-        self.known.update(zip(odd, self._alone([word.decode("utf-8", "replace") for word in odd])))
-        self._learn_heads(list({head for _, head, _ in split if head not in self.parts}))
-        tails = list({tail for _, _, tail in split if tail and tail not in self.parts})
-        self.parts.update(zip(tails, self._alone(tails)))
-        for word, head, tail in split:
-            self.known[word] = self.parts[head] + (self.parts[tail] if tail else b"")
+    def _learned(self, words: list[bytes]) -> list[bytes]:
+        """The ids of some distinct words."""
+        texts = [word.decode("utf-8", "replace") for word in words]
+        heads = [text.rstrip(_TAIL) for text in texts]
+        small = [head.lower() for head in heads]
+        plain = list(map(_PLAIN.fullmatch, small))
+        own = dict.fromkeys(head for head, fits in zip(small, plain) if fits)
+        own.update(zip(own, self._heads(list(own))))
+        odd = [text for text, fits in zip(texts, plain) if not fits]
+        others = self._alone(odd)
+        tails = [text[len(head) :] for text, head in zip(texts, heads)]
+        new = list({tail for tail, fits in zip(tails, plain) if fits}.difference(self.tails))
+        self.tails.update(zip(new, self._alone(new)))
+        out = [own[head] + self.tails[tail] if fits else next(others) for head, tail, fits in zip(small, tails, plain)]
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
+        return out
+
+    def _found(self, words: list[bytes], often: list[bool]) -> list[bytes]:
+        """The ids of distinct words. Only those met often are remembered: most words of a corpus occur once."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        ids = list(map(self.known.get, words))
+        missed = [at for at, own in enumerate(ids) if own is None]
+        if self.older:
+            for at in missed:
+                ids[at] = self.older.get(words[at])
+        new = [at for at in missed if ids[at] is None]
+        for at, own in zip(new, self._learned([words[at] for at in new])):
+            ids[at] = own
+        self.known.update((words[at], ids[at]) for at in missed if often[at])
+        return ids
 
     def forget(self) -> None:
         """Most of what a task has met."""
         self.known = dict(islice(self.known.items(), CARRIED))
-        self.older, self.parts = {}, {}
+        self.older = {}
+        pa.default_memory_pool().release_unused()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        cut = [text.split() for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.older, self.known, self.parts = self.known, {}, {}
-        # Most words are known: looked up first, and only those that are not are gathered.
-        found = [list(map(self.known.get, words)) for words in cut]
-        missed = [number for number, ids in enumerate(found) if None in ids]
-        self.learn({word for number in missed for word, ids in zip(cut[number], found[number]) if ids is None})
-        look = self.known.__getitem__
-        for number in missed:
-            found[number] = map(look, cut[number])
-        return [b"".join(ids) for ids in found]
+        # Only ASCII white space is looked at, so bytes that are no UTF-8 stay as they are.
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        coded = cut.values.dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        words = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = self._found(words, (np.bincount(number) > 1).tolist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        begins = np.cumsum(sizes) - sizes
+        own = sizes[number]
+        ends = np.cumsum(own)
+        at = np.repeat(begins[number] - (ends - own), own)
+        at += np.arange(len(at))
+        packed = flat[at].tobytes()
+        edges = (4 * np.concatenate([[0], ends])[cut.offsets.to_numpy()]).tolist()
+        return list(map(packed.__getitem__, map(slice, edges, edges[1:])))
 
 
 def word_ids(path: str) -> WordIds:

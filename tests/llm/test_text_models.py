@@ -32,6 +32,21 @@ def test_word_ids_are_the_tokenizers_own(corpus, tokenizer):
         assert np.frombuffer(ids, np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_met_once_are_not_remembered(tokenizer):
+    words = WordIds(WORDS)
+    once = [f"w{number}x rare{chr(97 + number % 26)}{'e' * (number // 26)}" for number in range(2000)]
+    texts = [f"{text} the, cat" for text in once]
+    for _ in range(2):
+        for text, ids in zip(texts, words.encode([t.encode() for t in texts])):
+            assert np.frombuffer(ids, np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert set(words.known) == {b"the,", b"cat"}
+    # Letters that normalization changes, and bytes that are no UTF-8.
+    odd = ["\u212a\u212b \u1e9e.. \u1100\u1161 \ufb01n\u0178!", " \x0b a\x1cb \t"]
+    for text, ids in zip(odd, words.encode([t.encode() for t in odd])):
+        assert np.frombuffer(ids, np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.encode([b"a\xff b"]) == words.encode(["a\ufffd b".encode()])
+
+
 def check_packing(rows, capacity):
     places = {}
     for r in rows:
