@@ -6,12 +6,14 @@ below the dropout rate, otherwise merged. No piece has a blank after another cha
 texts are cut there.
 
 The hash is keyed by seed, document and the stretch's place in it, so every occurrence of a stretch draws for
-itself. A worker remembers what no draw decides: which candidates a stretch's agenda offers after given skips,
-and the ids if there is no further one. The same seed gives the same ids on every run and cluster.
+itself. A worker remembers what no draw decides: which candidates a stretch's agenda offers without a skip,
+and the ids it then has. Occurrences that skip one are worked off side by side, a candidate of each at a time,
+and not remembered. The same seed gives the same ids on every run and cluster.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from array import array
@@ -27,10 +29,12 @@ from pyspark.sql import functions as F
 
 DROPOUT = 0.1
 SEED = 17
-#: Stretches, and skips in them, that a worker remembers before it starts anew; those before are looked up a while longer.
-REMEMBERED = 120_000
+#: Half the stretches that a worker remembers before it starts anew; those before are looked up a while longer.
+REMEMBERED = 60_000
 #: Symbols up to which the agenda is a plain list.
 FEW = 24
+#: Stretches that are worked off side by side.
+BESIDE = 1 << 15
 #: Texts that a task reads at a time.
 TOGETHER = 128
 _BLANK = "▁"
@@ -39,6 +43,8 @@ _STRETCH = re.compile("\n| *[^ \n]+| +")
 _MASK = 0xFFFFFFFFFFFFFFFF
 _ODD = 0x9E3779B97F4A7C15
 _NONE = 1 << 40
+#: No place, in arrays; and what places are multiplied by to be ordered with symbols' numbers.
+_NOTHING, _SLOTS = 1 << 25, 32
 
 
 def _drawn(x: int) -> int:
@@ -47,14 +53,62 @@ def _drawn(x: int) -> int:
     return ((x ^ x >> 32) * _ODD & _MASK) >> 32
 
 
+def _drawn_all(x: np.ndarray) -> np.ndarray:
+    """`_drawn` of many candidates."""
+    x = x * np.uint64(_ODD)
+    return ((x ^ (x >> np.uint64(32))) * np.uint64(_ODD)) >> np.uint64(32)
+
+
+class PairTable:
+    """Places of pairs of symbols, looked up many at a time: an open hash table of at most a quarter full."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int]) -> None:
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1 << 40, np.int64)
+        self.places = np.full(1 << bits, _NOTHING, np.int32)
+        both = np.array(list(pairs), np.int64).reshape(-1, 2)
+        keys, places = both[:, 0] << 20 | both[:, 1], np.fromiter(pairs.values(), np.int32, len(pairs))
+        at = self._first(keys)
+        while len(keys):
+            _, own = np.unique(at, return_index=True)
+            own = own[self.places[at[own]] == _NOTHING]
+            self.keys[at[own]], self.places[at[own]] = keys[own], places[own]
+            left = np.ones(len(keys), bool)
+            left[own] = False
+            keys, places, at = keys[left], places[left], at[left] + 1 & self.last
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(_ODD)) >> self.shift).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair's piece; `_NOTHING` if it has none, as symbols below 0 have none."""
+        keys = left.astype(np.int64) << 20 | right
+        at = self._first(keys)
+        out = self.places[at]
+        open_at = np.flatnonzero((self.keys[at] != keys) & (out != _NOTHING))
+        at = at[open_at]
+        while len(open_at):
+            at = at + 1 & self.last
+            out[open_at] = found = self.places[at]
+            still = (self.keys[at] != keys[open_at]) & (found != _NOTHING)
+            open_at, at = open_at[still], at[still]
+        return out
+
+
 class Outcome:
-    """What a stretch became after some skips: its ids without a further one, and the candidates offered since."""
+    """What a stretch becomes without a skip, and the candidates offered."""
+
+    __slots__ = ("candidates", "ids", "stretch")
+
+    def __init__(self, stretch: str, ids: bytes, candidates: bytes) -> None:
+        self.stretch, self.ids, self.candidates = stretch, ids, candidates
 
-    __slots__ = ("after", "candidates", "ids", "skips", "stretch")
 
-    def __init__(self, stretch: str, skips: tuple[int, ...], ids: bytes, candidates: bytes) -> None:
-        self.stretch, self.skips, self.ids, self.candidates = stretch, skips, ids, candidates
-        self.after: dict[int, Outcome] | None = None  # by the place of the next skip among the candidates
+def _cut(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Packed parts of these sizes."""
+    packed, ends = flat.tobytes(), (np.cumsum(sizes) * flat.itemsize).tolist()
+    return list(map(packed.__getitem__, map(slice, [0, *ends], ends)))
 
 
 class Pieces:
@@ -81,6 +135,14 @@ class Pieces:
             for cut in range(1, len(piece))
             if piece[:cut] in self.place and piece[cut:] in self.place
         }
+        self.beside = PairTable(self.pairs)
+        self.ids_of = np.array(ordered, np.uint32)
+        # By character; the vocabulary's own blank stands for a blank, that character itself has no piece.
+        self.place_of = np.full(0x110000, -1, np.int32)
+        for piece, place in self.place.items():
+            if len(piece) == 1:
+                self.place_of[ord(piece)] = place
+        self.place_of[[ord(" "), ord(_BLANK)]] = self.place_of[ord(_BLANK)], -1
         self.neighbours = {pair for piece in self.place for pair in zip(piece, piece[1:])}
         self.bytes = [b""] * len(text)
         for i in plain:
@@ -128,17 +190,14 @@ class Pieces:
                 agenda[at] = pairs.get((place, symbols[at + 1]), _NONE)
         return symbols
 
-    def _offered(self, symbols: list[int], skips: tuple[int, ...]) -> tuple[list[int], list[int]]:
-        """The agenda of `_merge_few` with given skips (places among all candidates offered): what the symbols became, and the candidates."""
+    def _offered(self, symbols: list[int]) -> tuple[list[int], list[int]]:
+        """The agenda of `_merge_few` without skips: what the symbols became, and the candidates offered."""
         pairs, offered = self.pairs.get, []
         agenda = [pairs(pair, _NONE) for pair in zip(symbols, symbols[1:])]
         starts = list(range(len(symbols)))
         while agenda and (place := min(agenda)) != _NONE:
             at = agenda.index(place)
             offered.append(place << 32 | starts[at])
-            if skips and len(offered) - 1 in skips:
-                agenda[at] = _NONE
-                continue
             symbols[at] = place
             del symbols[at + 1], starts[at + 1], agenda[at]
             if at:
@@ -147,6 +206,77 @@ class Pieces:
                 agenda[at] = pairs((place, symbols[at + 1]), _NONE)
         return symbols, offered
 
+    def _side_by_side(self, symbols: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The agendas of `_merge_few` of many stretches, a column each, ended by -1: in each turn every stretch takes its next candidate.
+
+        What the symbols became (below 0 where one is gone); without keys nothing is skipped, and the candidates
+        offered and their columns are returned, those of a column in order.
+        """
+        slots, columns = symbols.shape
+        out, index, limit = symbols.copy(), np.arange(columns), np.uint64(int(self.dropout * 2**32))
+        number = np.arange(slots, dtype=np.int32)[:, None]
+        after, before = np.repeat(number + 1, columns, 1), np.repeat(number - 1, columns, 1)
+        agenda = np.full(symbols.shape, _NOTHING * _SLOTS, np.int32)
+        agenda[:-1] = self.beside(symbols[:-1].ravel(), symbols[1:].ravel()).reshape(slots - 1, columns) * _SLOTS + number[:-1]
+        offered, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        while True:
+            best = agenda.min(0) if columns else agenda[0]
+            column = np.flatnonzero(best < _NOTHING * _SLOTS)
+            if 2 * len(column) < len(index):
+                out[:, index] = symbols
+                if not len(column):
+                    break
+                symbols, after, before, agenda = (x[:, column] for x in (symbols, after, before, agenda))
+                index, best, column = index[column], best[column], np.arange(len(column))
+            best = best[column]
+            place, at = best // _SLOTS, best % _SLOTS
+            candidate = place.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64)
+            if keys is None:
+                offered.append(candidate)
+                of.append(index[column])
+            else:
+                skipped = _drawn_all(keys[index[column]] ^ candidate) < limit
+                agenda[at[skipped], column[skipped]] = _NOTHING * _SLOTS
+                column, place, at = column[~skipped], place[~skipped], at[~skipped]
+            right = after[at, column]
+            following, leader = after[right, column], before[at, column]
+            symbols[at, column], symbols[right, column] = place, -2
+            agenda[right, column] = _NOTHING * _SLOTS
+            after[at, column], before[following, column] = following, at
+            agenda[at, column] = self.beside(place, symbols[following, column]) * _SLOTS + at
+            # Before the first symbol is the last slot, which holds none.
+            agenda[leader, column] = self.beside(symbols[leader, column], place) * _SLOTS + leader % slots
+        return out, np.concatenate(offered), np.concatenate(of)
+
+    def _work_off(self, stretches: list[str], keys: np.ndarray | None) -> Iterator[tuple[list[int], list[bytes], list[bytes]]]:
+        """Numbers of some stretches of at most `FEW` characters, their packed ids and, without keys, the candidates offered."""
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        ends = np.cumsum(sizes)
+        places = self.place_of[np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        odd = np.zeros(len(stretches), bool)
+        odd[np.searchsorted(ends, np.flatnonzero(places < 0), "right")] = True
+        for at in np.flatnonzero(odd).tolist():
+            if keys is None:
+                outcome = self.outcome(stretches[at])
+                yield [at], [outcome.ids], [outcome.candidates]
+            else:
+                yield [at], [self.stretch_ids(stretches[at], int(keys[at]))], []
+        # Those of about one length together.
+        order = np.flatnonzero(~odd)
+        order = order[np.argsort(sizes[order], kind="stable")]
+        for begin in range(0, len(order), BESIDE):
+            own = order[begin : begin + BESIDE]
+            slots = np.arange(sizes[own[-1]] + 1)[:, None]
+            inside = slots < sizes[own]
+            symbols = np.full(inside.shape, -1, np.int32)
+            symbols[inside] = places[((ends - sizes)[own] + slots)[inside]]
+            became, offered, of = self._side_by_side(symbols, None if keys is None else keys[own])
+            became = np.ascontiguousarray(became.T)
+            left = became >= 0
+            yield own.tolist(), _cut(self.ids_of[became[left]], left.sum(1)), (
+                _cut(offered[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(own))) if keys is None else []
+            )
+
     def _merge_many(self, symbols: list[int], key: int) -> list[int]:
         """The agenda as a heap."""
         pairs, limit, size = self.pairs.get, int(self.dropout * 2**32), len(symbols)
@@ -217,22 +347,16 @@ class Pieces:
         symbols, missing = self._symbols(stretch)
         return self._packed(self.merge(symbols, key), missing)
 
-    def outcome(self, stretch: str, skips: tuple[int, ...] = ()) -> Outcome:
+    def outcome(self, stretch: str) -> Outcome:
         symbols, missing = self._symbols(stretch)
-        symbols, offered = self._offered(symbols, skips)
-        since = skips[-1] + 1 if skips else 0
-        self.size += 1
-        return Outcome(stretch, skips, self._packed(symbols, missing), array("Q", offered[since:]).tobytes())
-
-    def _part(self, part: str) -> tuple[Outcome | str]:
-        if part not in self.known:
-            self.known[part] = (self.outcome(part) if len(part) <= FEW else part,)
-        return self.known[part]
+        symbols, offered = self._offered(symbols)
+        return Outcome(stretch, self._packed(symbols, missing), array("Q", offered).tobytes())
 
     def _learn(self, stretches: set[str]) -> None:
         if self.size > 2 * REMEMBERED:
             self.known, self.older, self.size = {}, self.known, 0
         known, older = self.known, self.older
+        cut: dict[str, tuple[str, ...]] = {}
         for stretch in stretches.difference(known):
             if stretch in older:
                 known[stretch] = older[stretch]
@@ -240,10 +364,18 @@ class Pieces:
                 continue
             head = stretch.rstrip(_TAIL)
             # Marks after a word stand alone where no piece has them beside its last character.
-            if head and head != stretch and (head[-1], stretch[len(head)]) not in self.neighbours:
-                known[stretch] = self._part(head) + self._part(stretch[len(head) :])
-            else:
-                self._part(stretch)
+            split = head and head != stretch and (head[-1], stretch[len(head)]) not in self.neighbours
+            cut[stretch] = (head, stretch[len(head) :]) if split else (stretch,)
+        new = set(chain.from_iterable(cut.values())).difference(known)
+        known.update((part, (part,)) for part in new if len(part) > FEW)
+        few = [part for part in new if len(part) <= FEW]
+        self.size += len(few)
+        for numbers, ids, candidates in self._work_off(few, None):
+            for at, *found in zip(numbers, ids, candidates):
+                known[few[at]] = (Outcome(few[at], *found),)
+        for stretch, parts in cut.items():
+            if len(parts) > 1:
+                known[stretch] = known[parts[0]] + known[parts[1]]
 
     def _keys(self, document: int, places: int) -> np.ndarray:
         """A key for every place of a document."""
@@ -258,8 +390,7 @@ class Pieces:
         offered = [outcome.candidates for outcome in outcomes]
         sizes = np.fromiter(map(len, offered), np.int64, len(offered)) >> 3
         ends = np.cumsum(sizes)
-        x = (np.frombuffer(b"".join(offered), np.uint64) ^ np.repeat(keys, sizes)) * np.uint64(_ODD)
-        x = ((x ^ (x >> np.uint64(32))) * np.uint64(_ODD)) >> np.uint64(32)
+        x = _drawn_all(np.frombuffer(b"".join(offered), np.uint64) ^ np.repeat(keys, sizes))
         skipped = np.flatnonzero(x < np.uint64(int(self.dropout * 2**32)))
         owners = np.searchsorted(ends, skipped, "right")
         first = np.flatnonzero(np.diff(owners, prepend=-1))
@@ -268,6 +399,16 @@ class Pieces:
 
     def encode_all(self, texts: list[str], documents: list[int]) -> list[bytes]:
         """Packed ids of each text, with the blank that the vocabulary puts before it."""
+        # Nothing here refers to itself; looking for such objects again and again takes longer than the agendas.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encoded(texts, documents)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encoded(self, texts: list[str], documents: list[int]) -> list[bytes]:
         cut = [_STRETCH.findall(" " + text) if text else [] for text in texts]
         self._learn(set(chain.from_iterable(cut)))
         look = self.known.__getitem__
@@ -275,29 +416,18 @@ class Pieces:
         sizes = list(map(len, parts))
         keys = np.concatenate([np.empty(0, np.uint64), *map(self._keys, documents, sizes)])
         ends: list[Outcome | str] = list(chain.from_iterable(parts))
-        out: list[bytes] = [b""] * len(ends)
-        for at, part in enumerate(ends):
-            if part.__class__ is str:
-                out[at] = self.stretch_ids(part, int(keys[at]))
-            else:
-                out[at] = part.ids
+        out = [part if part.__class__ is str else part.ids for part in ends]
+        long = [at for at, part in enumerate(out) if part.__class__ is str]
+        for at in long:
+            out[at] = self.stretch_ids(out[at], int(keys[at]))
         if self.dropout:
-            open_at = np.array([at for at, part in enumerate(ends) if part.__class__ is not str], np.int64)
-            open_now = [part for part in ends if part.__class__ is not str]
-            while len(open_at):
-                owners, skipped = self._first_skips(open_now, keys[open_at])
-                open_at, following = open_at[owners], []
-                for at, owner, place in zip(open_at.tolist(), owners.tolist(), skipped.tolist()):
-                    outcome = open_now[owner]
-                    if outcome.after is None:
-                        outcome.after = {}
-                    after = outcome.after.get(place)
-                    if after is None:
-                        since = outcome.skips[-1] + 1 if outcome.skips else 0
-                        after = outcome.after[place] = self.outcome(outcome.stretch, (*outcome.skips, since + place))
-                    out[at] = after.ids
-                    following.append(after)
-                open_now = following
+            short = np.delete(np.arange(len(ends)), long)
+            offered = list(map(ends.__getitem__, short.tolist())) if long else ends
+            at = short[self._first_skips(offered, keys[short])[0]]
+            places = at.tolist()
+            for numbers, ids, _ in self._work_off([ends[place].stretch for place in places], keys[at]):
+                for number, own in zip(numbers, ids):
+                    out[places[number]] = own
         joined, begin = [], 0
         for size in sizes:
             joined.append(b"".join(out[begin : begin + size]))

@@ -172,6 +172,18 @@ def test_every_occurrence_draws_for_itself():
     assert 1 - skipped / places == pytest.approx(0.9 ** (len(outcome.candidates) // 8), abs=0.02)
 
 
+def test_occurrences_with_skips_are_not_remembered():
+    pieces = Pieces(PIECES)
+    pieces.set(0.3, 3)
+    words = ["internationalisation", "\u2581odd\u4e00\U0001f600", "x" * 40]
+    text = " ".join(words * 300)
+    got = pieces.encode_all([text, "", text], [7, 8, 9])
+    assert pieces.size == len(words) - 1 and got[1] == b"" and got[0] != got[2]
+    for document, ids in zip((7, 9), (got[0], got[2])):
+        keys = pieces._keys(document, 900).tolist()
+        assert ids == b"".join(pieces.stretch_ids(" " + word, key) for word, key in zip(words * 300, keys))
+
+
 def test_outcomes_are_those_of_the_agenda(corpus):
     pieces = Pieces(PIECES)
     pieces.set(0.2, 5)
