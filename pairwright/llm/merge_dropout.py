@@ -19,6 +19,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
+from operator import attrgetter
 from typing import ClassVar
 
 import numpy as np
@@ -97,11 +98,11 @@ class PairTable:
 
 
 class Outcome:
-    """What a stretch becomes without a skip, and the candidates offered."""
+    """What a stretch becomes without a skip, and the candidates offered; a long one has no ids here."""
 
     __slots__ = ("candidates", "ids", "stretch")
 
-    def __init__(self, stretch: str, ids: bytes, candidates: bytes) -> None:
+    def __init__(self, stretch: str, ids: bytes | None, candidates: bytes) -> None:
         self.stretch, self.ids, self.candidates = stretch, ids, candidates
 
 
@@ -149,9 +150,9 @@ class Pieces:
             self.bytes[i] = text[i].replace(_BLANK, " ").encode()
         for value, i in self.byte.items():
             self.bytes[i] = bytes([value])
-        # By stretch: its outcome without skips, or those of its two parts; a long one, as it is, is worked off each time.
-        self.known: dict[str, tuple[Outcome | str, ...]] = {}
-        self.older: dict[str, tuple[Outcome | str, ...]] = {}
+        # By stretch: its outcome without skips, or those of its two parts; a long one is worked off each time.
+        self.known: dict[str, tuple[Outcome, ...]] = {}
+        self.older: dict[str, tuple[Outcome, ...]] = {}
         self.size = 0
         self.dropout, self.seed = 0.0, 0
 
@@ -367,7 +368,7 @@ class Pieces:
             split = head and head != stretch and (head[-1], stretch[len(head)]) not in self.neighbours
             cut[stretch] = (head, stretch[len(head) :]) if split else (stretch,)
         new = set(chain.from_iterable(cut.values())).difference(known)
-        known.update((part, (part,)) for part in new if len(part) > FEW)
+        known.update((part, (Outcome(part, None, b""),)) for part in new if len(part) > FEW)
         few = [part for part in new if len(part) <= FEW]
         self.size += len(few)
         for numbers, ids, candidates in self._work_off(few, None):
@@ -387,7 +388,7 @@ class Pieces:
 
     def _first_skips(self, outcomes: list[Outcome], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which outcomes have a candidate that is skipped, and the place of the first among its candidates."""
-        offered = [outcome.candidates for outcome in outcomes]
+        offered = list(map(attrgetter("candidates"), outcomes))
         sizes = np.fromiter(map(len, offered), np.int64, len(offered)) >> 3
         ends = np.cumsum(sizes)
         x = _drawn_all(np.frombuffer(b"".join(offered), np.uint64) ^ np.repeat(keys, sizes))
@@ -410,20 +411,20 @@ class Pieces:
 
     def _encoded(self, texts: list[str], documents: list[int]) -> list[bytes]:
         cut = [_STRETCH.findall(" " + text) if text else [] for text in texts]
-        self._learn(set(chain.from_iterable(cut)))
-        look = self.known.__getitem__
-        parts = [list(chain.from_iterable(map(look, stretches))) for stretches in cut]
-        sizes = list(map(len, parts))
+        flat = list(chain.from_iterable(cut))
+        self._learn(set(flat))
+        parts = list(map(self.known.__getitem__, flat))
+        ends = list(chain.from_iterable(parts))
+        # Parts before each stretch, and of each text.
+        before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        sizes = np.diff(before[np.cumsum([0, *map(len, cut)])]).tolist()
         keys = np.concatenate([np.empty(0, np.uint64), *map(self._keys, documents, sizes)])
-        ends: list[Outcome | str] = list(chain.from_iterable(parts))
-        out = [part if part.__class__ is str else part.ids for part in ends]
-        long = [at for at, part in enumerate(out) if part.__class__ is str]
+        out = list(map(attrgetter("ids"), ends))
+        long = [at for at, ids in enumerate(out) if ids is None]
         for at in long:
-            out[at] = self.stretch_ids(out[at], int(keys[at]))
+            out[at] = self.stretch_ids(ends[at].stretch, int(keys[at]))
         if self.dropout:
-            short = np.delete(np.arange(len(ends)), long)
-            offered = list(map(ends.__getitem__, short.tolist())) if long else ends
-            at = short[self._first_skips(offered, keys[short])[0]]
+            at = self._first_skips(ends, keys)[0]
             places = at.tolist()
             for numbers, ids, _ in self._work_off([ends[place].stretch for place in places], keys[at]):
                 for number, own in zip(numbers, ids):
