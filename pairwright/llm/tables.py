@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,3 +64,11 @@ def text_slices(
                 held += len(text)
         if texts:
             yield batch.slice(begin, len(texts)), texts
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed: it lives on beside the tasks of other queries."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # the C library of most Linux systems has it
+        trim(0)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.llm import lm, merge_dropout, quality
+from pairwright.llm import words as words_module
 from pairwright.llm.lm import score_documents
 from pairwright.llm.merge_dropout import Pieces, decode_pieces, encode_pieces
 from pairwright.llm.packing_fit import pack_texts, plan_packing
@@ -47,6 +48,36 @@ def test_words_met_once_are_not_remembered(tokenizer):
     assert words.encode([b"a\xff b"]) == words.encode(["a\ufffd b".encode()])
 
 
+def test_letters_of_known_words_are_not_worked_out_again(tokenizer):
+    words = WordIds(WORDS)
+    words.encode([b"cat bird cat bird"])
+    asked, bare = [], words.bare
+
+    class Bare:
+        def encode_batch_fast(self, lines, add_special_tokens):
+            asked.extend(word for line in lines for word in line.split())
+            return bare.encode_batch_fast(lines, add_special_tokens=add_special_tokens)
+
+    words.bare = Bare()
+    texts = ["cat, Cat. CAT!? bird; dog", "", "dog! dog DOG: cat", "\u00d7cat \u00c9t\u00e9. cat's"]
+    for text, ids in zip(texts, words.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == ["dog", "\u00e9t\u00e9"]
+
+
+def test_a_full_memory_keeps_the_words_of_most_calls(monkeypatch, tokenizer):
+    monkeypatch.setattr(words_module, "REMEMBERED", 6)
+    monkeypatch.setattr(words_module, "CARRIED", 2)
+    words = WordIds(WORDS)
+    for turn in range(12):
+        texts = [f"the the cat, cat, n{turn} n{turn} {'x' * turn} \xa0{'y' * turn}y \xa0{'y' * turn}y"]
+        for text, ids in zip(texts, words.encode([t.encode() for t in texts])):
+            assert np.frombuffer(ids, np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(words.known) <= 10
+    words.forget()
+    assert words.known == [b"the", b"cat,"] and words.encode([]) == [] and words.encode([b"", b" "]) == [b"", b""]
+
+
 def check_packing(rows, capacity):
     places = {}
     for r in rows:
