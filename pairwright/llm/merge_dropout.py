@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairwright.llm.tables import give_back, text_slices
+
 DROPOUT = 0.1
 SEED = 17
 #: Half the stretches that a worker remembers before it starts anew; those before are looked up a while longer.
@@ -36,10 +38,11 @@ REMEMBERED = 60_000
 FEW = 24
 #: Stretches that are worked off side by side.
 BESIDE = 1 << 15
-#: Texts that a task reads at a time.
-TOGETHER = 128
+#: Texts, and bytes of them, that a task reads at a time.
+TOGETHER, TEXT_BYTES = 1024, 1 << 21
 _BLANK = "▁"
 _TAIL = ".,!?;:"
+#: What `_stretches` cuts texts into.
 _STRETCH = re.compile("\n| *[^ \n]+| +")
 _MASK = 0xFFFFFFFFFFFFFFFF
 _ODD = 0x9E3779B97F4A7C15
@@ -97,6 +100,22 @@ class PairTable:
         return out
 
 
+def _stretches(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The stretches of all texts in a row, and how many each text has: a line feed, or blanks with what follows them up to the next."""
+    packed = [(" " + text).encode("utf-8", "surrogatepass") if text else b"" for text in texts]
+    joined = b"".join(packed)
+    data, sizes = np.frombuffer(joined, np.uint8), np.fromiter(map(len, packed), np.int64, len(packed))
+    feed, blank = data == 10, data == 32
+    opens = feed.copy()
+    opens[1:] |= feed[:-1] | blank[1:] & ~blank[:-1]
+    begins = np.cumsum(sizes) - sizes
+    opens[begins[sizes > 0]] = True
+    starts = np.flatnonzero(opens)
+    offsets = pa.py_buffer(np.append(starts, len(joined)))
+    cut = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(joined)])
+    return cut, np.diff(np.searchsorted(starts, [*begins, len(joined)]))
+
+
 class Outcome:
     """What a stretch becomes without a skip, and the candidates offered; a long one has no ids here."""
 
@@ -106,10 +125,27 @@ class Outcome:
         self.stretch, self.ids, self.candidates = stretch, ids, candidates
 
 
-def _cut(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Packed parts of these sizes."""
-    packed, ends = flat.tobytes(), (np.cumsum(sizes) * flat.itemsize).tolist()
-    return list(map(packed.__getitem__, map(slice, [0, *ends], ends)))
+class Parts:
+    """Numbers of several things in a row: those of one are `flat[begins[at] : begins[at] + sizes[at]]`."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat, self.sizes, self.begins = flat, sizes, np.cumsum(sizes) - sizes
+
+    @classmethod
+    def of(cls, packed: list[bytes], kind: type) -> Parts:
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // np.dtype(kind).itemsize
+        return cls(np.frombuffer(b"".join(packed), kind), sizes)
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """The numbers of some, in a row."""
+        sizes = self.sizes[at]
+        places = np.repeat(self.begins[at] - (np.cumsum(sizes) - sizes), sizes)
+        places += np.arange(len(places))
+        return self.flat[places]
+
+    def packed(self) -> list[bytes]:
+        joined, ends = self.flat.tobytes(), ((self.begins + self.sizes) * self.flat.itemsize).tolist()
+        return list(map(joined.__getitem__, map(slice, [0, *ends], ends)))
 
 
 class Pieces:
@@ -249,19 +285,26 @@ class Pieces:
             agenda[leader, column] = self.beside(symbols[leader, column], place) * _SLOTS + leader % slots
         return out, np.concatenate(offered), np.concatenate(of)
 
-    def _work_off(self, stretches: list[str], keys: np.ndarray | None) -> Iterator[tuple[list[int], list[bytes], list[bytes]]]:
-        """Numbers of some stretches of at most `FEW` characters, their packed ids and, without keys, the candidates offered."""
-        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
-        ends = np.cumsum(sizes)
+    def _work_off(self, stretches: list[str], keys: np.ndarray | None = None, of: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, Parts, Parts]]:
+        """Of stretches of at most `FEW` characters: numbers of some, their ids and the candidates offered.
+
+        With keys, `of` says which stretch each key's occurrence is of; the numbers are those of the keys and no
+        candidates are returned.
+        """
+        lengths = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        ends = np.cumsum(lengths)
         places = self.place_of[np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32)]
         odd = np.zeros(len(stretches), bool)
         odd[np.searchsorted(ends, np.flatnonzero(places < 0), "right")] = True
-        for at in np.flatnonzero(odd).tolist():
+        of = np.arange(len(stretches)) if of is None else of
+        sizes, begins, odd = lengths[of], (ends - lengths)[of], odd[of]
+        if alone := np.flatnonzero(odd).tolist():
             if keys is None:
-                outcome = self.outcome(stretches[at])
-                yield [at], [outcome.ids], [outcome.candidates]
+                outcomes = [self.outcome(stretches[of[at]]) for at in alone]
+                ids, offered = [own.ids for own in outcomes], [own.candidates for own in outcomes]
             else:
-                yield [at], [self.stretch_ids(stretches[at], int(keys[at]))], []
+                ids, offered = [self.stretch_ids(stretches[of[at]], int(keys[at])) for at in alone], []
+            yield np.array(alone), Parts.of(ids, np.uint32), Parts.of(offered, np.uint64)
         # Those of about one length together.
         order = np.flatnonzero(~odd)
         order = order[np.argsort(sizes[order], kind="stable")]
@@ -270,12 +313,12 @@ class Pieces:
             slots = np.arange(sizes[own[-1]] + 1)[:, None]
             inside = slots < sizes[own]
             symbols = np.full(inside.shape, -1, np.int32)
-            symbols[inside] = places[((ends - sizes)[own] + slots)[inside]]
-            became, offered, of = self._side_by_side(symbols, None if keys is None else keys[own])
+            symbols[inside] = places[(begins[own] + slots)[inside]]
+            became, offered, column = self._side_by_side(symbols, None if keys is None else keys[own])
             became = np.ascontiguousarray(became.T)
             left = became >= 0
-            yield own.tolist(), _cut(self.ids_of[became[left]], left.sum(1)), (
-                _cut(offered[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(own))) if keys is None else []
+            yield own, Parts(self.ids_of[became[left]], left.sum(1)), Parts(
+                offered[np.argsort(column, kind="stable")], np.bincount(column, minlength=len(own))
             )
 
     def _merge_many(self, symbols: list[int], key: int) -> list[int]:
@@ -371,8 +414,8 @@ class Pieces:
         known.update((part, (Outcome(part, None, b""),)) for part in new if len(part) > FEW)
         few = [part for part in new if len(part) <= FEW]
         self.size += len(few)
-        for numbers, ids, candidates in self._work_off(few, None):
-            for at, *found in zip(numbers, ids, candidates):
+        for numbers, ids, candidates in self._work_off(few):
+            for at, *found in zip(numbers.tolist(), ids.packed(), candidates.packed()):
                 known[few[at]] = (Outcome(few[at], *found),)
         for stretch, parts in cut.items():
             if len(parts) > 1:
@@ -380,18 +423,29 @@ class Pieces:
 
     def _keys(self, document: int, places: int) -> np.ndarray:
         """A key for every place of a document."""
-        base = xxhash.xxh3_64_intdigest((document & _MASK).to_bytes(8, "little"), self.seed & _MASK)
-        x = np.arange(1, places + 1, dtype=np.uint64) * np.uint64(_ODD) + np.uint64(base)
+        return self._all_keys([document], np.array([places]))
+
+    def _all_keys(self, documents: list[int], places: np.ndarray) -> np.ndarray:
+        """The keys of several documents in a row."""
+        seed = self.seed & _MASK
+        base = [xxhash.xxh3_64_intdigest((document & _MASK).to_bytes(8, "little"), seed) for document in documents]
+        begins = np.cumsum(places) - places
+        x = (np.arange(1, places.sum() + 1) - np.repeat(begins, places)).astype(np.uint64) * np.uint64(_ODD)
+        x += np.repeat(np.array(base, np.uint64), places)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
-    def _first_skips(self, outcomes: list[Outcome], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which outcomes have a candidate that is skipped, and the place of the first among its candidates."""
-        offered = list(map(attrgetter("candidates"), outcomes))
-        sizes = np.fromiter(map(len, offered), np.int64, len(offered)) >> 3
+    def _first_skips(self, outcomes: list[Outcome], keys: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Which occurrences have a candidate that is skipped, and the place of the first among its candidates.
+
+        `of` says which outcome each key's occurrence has; by itself, one each.
+        """
+        offered = Parts.of(list(map(attrgetter("candidates"), outcomes)), np.uint64)
+        of = np.arange(len(outcomes)) if of is None else of
+        sizes = offered.sizes[of]
         ends = np.cumsum(sizes)
-        x = _drawn_all(np.frombuffer(b"".join(offered), np.uint64) ^ np.repeat(keys, sizes))
+        x = _drawn_all(offered.take(of) ^ np.repeat(keys, sizes))
         skipped = np.flatnonzero(x < np.uint64(int(self.dropout * 2**32)))
         owners = np.searchsorted(ends, skipped, "right")
         first = np.flatnonzero(np.diff(owners, prepend=-1))
@@ -410,30 +464,42 @@ class Pieces:
                 gc.enable()
 
     def _encoded(self, texts: list[str], documents: list[int]) -> list[bytes]:
-        cut = [_STRETCH.findall(" " + text) if text else [] for text in texts]
-        flat = list(chain.from_iterable(cut))
-        self._learn(set(flat))
-        parts = list(map(self.known.__getitem__, flat))
-        ends = list(chain.from_iterable(parts))
-        # Parts before each stretch, and of each text.
-        before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-        sizes = np.diff(before[np.cumsum([0, *map(len, cut)])]).tolist()
-        keys = np.concatenate([np.empty(0, np.uint64), *map(self._keys, documents, sizes)])
-        out = list(map(attrgetter("ids"), ends))
-        long = [at for at, ids in enumerate(out) if ids is None]
-        for at in long:
-            out[at] = self.stretch_ids(ends[at].stretch, int(keys[at]))
+        cut, stretches = _stretches(texts)
+        coded = cut.dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        distinct = [stretch.decode("utf-8", "surrogatepass") for stretch in coded.dictionary.to_numpy(zero_copy_only=False)]
+        self._learn(set(distinct))
+        # From here on occurrences are numbers: of their outcome among those of the distinct stretches.
+        parts = list(map(self.known.__getitem__, distinct))
+        outcomes = list(chain.from_iterable(parts))
+        several = np.fromiter(map(len, parts), np.int64, len(parts))
+        of = Parts(np.arange(len(outcomes)), several).take(number)
+        ends = np.concatenate([[0], np.cumsum(several[number])])[np.concatenate([[0], np.cumsum(stretches)])]
+        keys = self._all_keys(documents, np.diff(ends))
+        own_ids = list(map(attrgetter("ids"), outcomes))
+        long = np.array([ids is None for ids in own_ids], bool)
+        ids = Parts.of([own or b"" for own in own_ids], np.uint32)
+        begins, sizes, flat = ids.begins[of], ids.sizes[of], [ids.flat]
+        # What stands for itself alone comes behind the ids of the distinct ones.
+        instead = []
+        if long.any():
+            at = np.flatnonzero(long[of])
+            instead.append((at, Parts.of([self.stretch_ids(outcomes[of[place]].stretch, int(keys[place])) for place in at.tolist()], np.uint32)))
         if self.dropout:
-            at = self._first_skips(ends, keys)[0]
-            places = at.tolist()
-            for numbers, ids, _ in self._work_off([ends[place].stretch for place in places], keys[at]):
-                for number, own in zip(numbers, ids):
-                    out[places[number]] = own
-        joined, begin = [], 0
-        for size in sizes:
-            joined.append(b"".join(out[begin : begin + size]))
-            begin += size
-        return joined
+            at = self._first_skips(outcomes, keys, of)[0]
+            met, own = np.unique(of[at], return_inverse=True)
+            worked = self._work_off([outcomes[place].stretch for place in met.tolist()], keys[at], own)
+            instead += [(at[numbers], found) for numbers, found, _ in worked]
+        behind = len(ids.flat)
+        for at, found in instead:
+            begins[at], sizes[at] = behind + found.begins, found.sizes
+            flat.append(found.flat)
+            behind += len(found.flat)
+        every = Parts(np.concatenate(flat), sizes)
+        every.begins = begins
+        joined = every.take(np.arange(len(of))).tobytes()
+        edges = (4 * np.concatenate([[0], np.cumsum(sizes)])[ends]).tolist()
+        return list(map(joined.__getitem__, map(slice, edges, edges[1:])))
 
     def encode(self, text: str, document: int) -> bytes:
         return self.encode_all([text], [document])[0]
@@ -455,12 +521,12 @@ def encode_pieces(path: str, text: str, key: Column, dropout: float = DROPOUT, s
         pieces.set(dropout, seed)
         for texts, keys in batches:
             out: list[bytes] = []
-            for at in range(0, len(texts), TOGETHER):
-                some = [text or "" for text in texts.slice(at, TOGETHER).to_pylist()]
-                out += pieces.encode_all(some, keys.slice(at, TOGETHER).to_pylist())
+            for part, some in text_slices([pa.RecordBatch.from_arrays([texts, keys], names=["text", "key"])], "text", TOGETHER, TEXT_BYTES):
+                out += pieces.encode_all([text.decode() for text in some], part.column("key").to_pylist())
             yield pa.array(out, pa.binary())
         # What a task has met; common stretches are soon learned again by the next.
         pieces.forget()
+        give_back()
 
     # Evaluated once, also where its ids go into another function.
     encode = encode.asNondeterministic()

@@ -215,6 +215,32 @@ def test_occurrences_with_skips_are_not_remembered():
         assert ids == b"".join(pieces.stretch_ids(" " + word, key) for word, key in zip(words * 300, keys))
 
 
+def test_stretches_are_those_of_the_pattern(corpus):
+    texts = [text or "" for _, text, _ in corpus]
+    texts += ["", " ", "\n", "\n\n a  b \n", "  a", "a  ", "x\n\n", "\u2581 \u00a0\u3000\n \ud800", "\t\r a\tb"]
+    cut, counts = merge_dropout._stretches(texts)
+    wanted = [merge_dropout._STRETCH.findall(" " + text) if text else [] for text in texts]
+    assert counts.tolist() == list(map(len, wanted))
+    assert [s.decode("utf-8", "surrogatepass") for s in cut.to_pylist()] == [s for own in wanted for s in own]
+    assert [len(x) for x in merge_dropout._stretches([])] == [0, 0]
+
+
+def test_a_stretch_is_looked_up_once_for_all_its_occurrences():
+    class Counted(dict):
+        looked_up = 0
+
+        def __getitem__(self, stretch):
+            Counted.looked_up += 1
+            return super().__getitem__(stretch)
+
+    pieces = Pieces(PIECES)
+    pieces.set(0.1, 3)
+    pieces.known = Counted()
+    texts = ["internationalisation, of words\n" * 500] * 3
+    got = pieces.encode_all(texts, [1, 2, 1])
+    assert got[0] == got[2] != got[1] and Counted.looked_up < 20
+
+
 def test_outcomes_are_those_of_the_agenda(corpus):
     pieces = Pieces(PIECES)
     pieces.set(0.2, 5)
