@@ -40,6 +40,8 @@ FEW = 24
 BESIDE = 1 << 15
 #: Texts, and bytes of them, that a task reads at a time.
 TOGETHER, TEXT_BYTES = 1024, 1 << 21
+#: Bytes of ids that are decoded at a time.
+ID_BYTES = 1 << 17
 _BLANK = "▁"
 _TAIL = ".,!?;:"
 #: What `_stretches` cuts texts into.
@@ -186,6 +188,7 @@ class Pieces:
             self.bytes[i] = text[i].replace(_BLANK, " ").encode()
         for value, i in self.byte.items():
             self.bytes[i] = bytes([value])
+        self.spelled = Parts.of(self.bytes, np.uint8)
         # By stretch: its outcome without skips, or those of its two parts; a long one is worked off each time.
         self.known: dict[str, tuple[Outcome, ...]] = {}
         self.older: dict[str, tuple[Outcome, ...]] = {}
@@ -400,26 +403,28 @@ class Pieces:
         if self.size > 2 * REMEMBERED:
             self.known, self.older, self.size = {}, self.known, 0
         known, older = self.known, self.older
-        cut: dict[str, tuple[str, ...]] = {}
-        for stretch in stretches.difference(known):
-            if stretch in older:
-                known[stretch] = older[stretch]
-                self.size += 1
-                continue
+        new = stretches.difference(known)
+        if older:
+            again = new.intersection(older)
+            known.update(zip(again, map(older.__getitem__, again)))
+            self.size += len(again)
+            new -= again
+        # Marks after a word stand alone where no piece has them beside its last character.
+        split: dict[str, tuple[str, str]] = {}
+        for stretch in [stretch for stretch in new if stretch[-1] in _TAIL]:
             head = stretch.rstrip(_TAIL)
-            # Marks after a word stand alone where no piece has them beside its last character.
-            split = head and head != stretch and (head[-1], stretch[len(head)]) not in self.neighbours
-            cut[stretch] = (head, stretch[len(head) :]) if split else (stretch,)
-        new = set(chain.from_iterable(cut.values())).difference(known)
+            if head and (head[-1], stretch[len(head)]) not in self.neighbours:
+                split[stretch] = head, stretch[len(head) :]
+        new.difference_update(split)
+        new.update(part for part in chain.from_iterable(split.values()) if part not in known)
         known.update((part, (Outcome(part, None, b""),)) for part in new if len(part) > FEW)
         few = [part for part in new if len(part) <= FEW]
         self.size += len(few)
         for numbers, ids, candidates in self._work_off(few):
-            for at, *found in zip(numbers.tolist(), ids.packed(), candidates.packed()):
-                known[few[at]] = (Outcome(few[at], *found),)
-        for stretch, parts in cut.items():
-            if len(parts) > 1:
-                known[stretch] = known[parts[0]] + known[parts[1]]
+            own = list(map(few.__getitem__, numbers.tolist()))
+            known.update(zip(own, zip(map(Outcome, own, ids.packed(), candidates.packed()))))
+        for stretch, (head, tail) in split.items():
+            known[stretch] = known[head] + known[tail]
 
     def _keys(self, document: int, places: int) -> np.ndarray:
         """A key for every place of a document."""
@@ -477,8 +482,11 @@ class Pieces:
         ends = np.concatenate([[0], np.cumsum(several[number])])[np.concatenate([[0], np.cumsum(stretches)])]
         keys = self._all_keys(documents, np.diff(ends))
         own_ids = list(map(attrgetter("ids"), outcomes))
-        long = np.array([ids is None for ids in own_ids], bool)
-        ids = Parts.of([own or b"" for own in own_ids], np.uint32)
+        long = np.zeros(len(own_ids), bool)
+        if None in own_ids:
+            long[:] = [own is None for own in own_ids]
+            own_ids = [own or b"" for own in own_ids]
+        ids = Parts.of(own_ids, np.uint32)
         begins, sizes, flat = ids.begins[of], ids.sizes[of], [ids.flat]
         # What stands for itself alone comes behind the ids of the distinct ones.
         instead = []
@@ -508,6 +516,14 @@ class Pieces:
         text = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, np.uint32).tolist()))
         return text[1:].decode("utf-8", "surrogatepass")
 
+    def decode_all(self, packed: list[bytes]) -> list[str]:
+        """`decode` of some texts' ids at once."""
+        ids = Parts.of(packed, np.uint32)
+        joined = self.spelled.take(ids.flat).tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.spelled.sizes[ids.flat])])
+        edges = ends[np.concatenate([[0], np.cumsum(ids.sizes)])].tolist()
+        return [joined[begin + 1 : end].decode("utf-8", "surrogatepass") for begin, end in zip(edges, edges[1:])]
+
 
 def encode_pieces(path: str, text: str, key: Column, dropout: float = DROPOUT, seed: int = SEED) -> Column:
     """Packed 32-bit ids of each whole text. Null and empty texts have no ids.
@@ -538,7 +554,10 @@ def decode_pieces(path: str, ids: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(packed: pa.Array) -> pa.Array:
-        pieces = Pieces.of(path)
-        return pa.array([pieces.decode(packed[at].as_py() or b"") for at in range(len(packed))], pa.string())
+        pieces, out = Pieces.of(path), []
+        for _, some in text_slices([pa.RecordBatch.from_arrays([packed], names=["ids"])], "ids", TOGETHER, ID_BYTES):
+            # A long text by itself, in little room.
+            out += pieces.decode_all(some) if len(some) > 1 else map(pieces.decode, some)
+        return pa.array(out, pa.string())
 
     return decode(F.col(ids))

@@ -241,6 +241,14 @@ def test_a_stretch_is_looked_up_once_for_all_its_occurrences():
     assert got[0] == got[2] != got[1] and Counted.looked_up < 20
 
 
+def test_decoding_together(corpus):
+    pieces = Pieces(PIECES)
+    pieces.set(0.2, 5)
+    texts = [text or "" for _, text, _ in corpus] + ["", "\u2581 \u4e00\U0001f600", "\n"]
+    assert pieces.decode_all(pieces.encode_all(texts, list(range(len(texts))))) == texts
+    assert pieces.decode_all([]) == [] and pieces.decode_all([b""]) == [""]
+
+
 def test_outcomes_are_those_of_the_agenda(corpus):
     pieces = Pieces(PIECES)
     pieces.set(0.2, 5)
