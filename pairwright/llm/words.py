@@ -175,7 +175,7 @@ class WordIds:
         out: list[bytes] = []
         # Ids take several times the room of their text meanwhile, so they are put together for a few texts at a time.
         held = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        edges = np.unique(np.searchsorted(held, np.arange(0, held[-1] if len(held) else 0, OUT_BYTES), "left"))
+        edges = np.unique(np.searchsorted(held, np.arange(0, held[-1] + 1 if len(held) else 0, OUT_BYTES), "left"))
         for begin, end in zip(edges.tolist(), [*edges[1:].tolist(), len(texts)]):
             own = number[offsets[begin] : offsets[end]]
             sizes = ids.sizes[own]

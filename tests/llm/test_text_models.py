@@ -76,6 +76,7 @@ def test_a_full_memory_keeps_the_words_of_most_calls(monkeypatch, tokenizer):
         assert len(words.known) <= 10
     words.forget()
     assert words.known == [b"the", b"cat,"] and words.encode([]) == [] and words.encode([b"", b" "]) == [b"", b""]
+    assert words.encode([b""]) == [b""] and words.encode([b"", b""]) == [b"", b""]
 
 
 def check_packing(rows, capacity):
